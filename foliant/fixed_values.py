@@ -84,7 +84,7 @@ LOCAL_SUFFIXES = [".localhost", ".local", ".internal"]
 
 # ------------------------------------------------------------------ fixed values: screening
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-INVISIBLE = r"[​-‏‪-‮⁠-⁤﻿]"
+INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
 MAX_QUERY_CHARS = 4000
 
 # (name, pattern, severity); "high" blocks in block mode

@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 
@@ -88,7 +89,7 @@ def read_page(html: str) -> tuple[str, str]:
     return title, "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("struct<title string, text string>")
+@F.pandas_udf(T.StructType().add("title", T.StringType()).add("text", T.StringType()))
 def _read_pages(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(page or "") for page in html], columns=["title", "text"])
 

@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 
@@ -22,7 +23,7 @@ def _is_public(host: str) -> bool | None:
     return address.is_global and not address.is_multicast
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _public_addresses(hosts: pd.Series) -> pd.Series:
     return hosts.map(lambda h: None if h is None else _is_public(h)).astype(object)
 

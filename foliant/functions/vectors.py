@@ -20,7 +20,7 @@ _WORDS = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Embedder:
-    """A model: its name, its dimension and a function from a batch of texts to a matrix."""
+    """A model: its name, its dimension and a function from a batch of texts to a matrix, whose rows need no scaling."""
 
     name: str
     dim: int
@@ -35,7 +35,7 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def hash_features(texts: Sequence[str], dim: int = fv.HASH_DIM) -> np.ndarray:
-    """Signed feature hashing of words and word pairs, one unit row per text."""
+    """Signed feature hashing of words and word pairs, one row per text."""
     seen: dict[str, int] = {}  # features repeat within a batch; each is hashed once
     counts, codes = [], []
     for text in texts:
@@ -51,7 +51,7 @@ def hash_features(texts: Sequence[str], dim: int = fv.HASH_DIM) -> np.ndarray:
     slot = np.repeat(np.arange(len(counts)), counts) * dim + code % dim
     sign = ((code >> 16) & 1) * 2.0 - 1.0
     sums = np.bincount(slot, weights=sign, minlength=len(counts) * dim)
-    return unit_rows(sums.reshape(len(counts), dim))
+    return sums.reshape(len(counts), dim)
 
 
 def hash_embedder(dim: int = fv.HASH_DIM) -> Embedder:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions.text import clean_layout, safe_name
@@ -59,7 +60,7 @@ def triage_kind(name: Column, content: Column) -> Column:
     return F.struct(F.when(error.isNull(), kind).alias("kind"), error.alias("error"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _utf16(content: pd.Series) -> pd.Series:
     def decode(data):
         try:
@@ -78,7 +79,7 @@ def decode_text(content: Column) -> Column:
     as_utf8 = content.cast("string")
     head = F.substring(content, 1, 2)
     marked = F.when(~F.is_valid_utf8(as_utf8) & head.isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff")), content)
-    text = (F.when(F.is_valid_utf8(as_utf8), F.regexp_replace(as_utf8, r"^﻿", ""))
+    text = (F.when(F.is_valid_utf8(as_utf8), F.regexp_replace(as_utf8, r"^\ufeff", ""))
             .otherwise(F.coalesce(_utf16(marked), F.decode(content, "ISO-8859-1"))))
     return clean_layout(F.substring(text, 1, fv.MAX_TEXT_CHARS))
 
