@@ -121,10 +121,12 @@ def sql_luhn(x: str) -> str:
 def sql_pii(source: str, key: str, text: str) -> str:
     """CTEs ending in ``personal(key, text, found)``. RE2 has no look-around: the phone pattern takes in its neighbours
     and runs twice, for numbers that share one."""
-    gaps = f"regexp_split_to_array({text}, '{fv.CARD}')"
-    cards = f"regexp_extract_all({text}, '{fv.CARD}')"
+    # letters outside ASCII are put between ASCII letters for the card step, so that \b sees them as letters
+    wrapped = f"regexp_replace(regexp_replace({text}, '([^\\x00-\\x7F])', 'zQ\\1Qz', 'g'), 'zQ([^\\p{{L}}\\p{{N}}])Qz', '\\1', 'g')"
+    gaps, cards = f"regexp_split_to_array(w, '{fv.CARD}')", f"regexp_extract_all(w, '{fv.CARD}')"
     joined = f"array_to_string(list_transform({gaps}, lambda g, i: g || CASE WHEN i > len({cards}) THEN '' WHEN {sql_luhn(f'({cards})[i]')} THEN '{fv.CARD_LABEL}' ELSE ({cards})[i] END), '')"
-    ctes = [f"p1 AS (SELECT {key}, {text} AS x0, CASE WHEN regexp_matches({text}, '{fv.CARD}') THEN {joined} ELSE {text} END AS x1 FROM {source})"]
+    ctes = [f"p0 AS (SELECT {key}, {text} AS x0, {wrapped} AS w FROM {source})",
+            f"p1 AS (SELECT * EXCLUDE (w), CASE WHEN regexp_matches(w, '{fv.CARD}') THEN regexp_replace({joined}, 'zQ(.)Qz', '\\1', 'g') ELSE x0 END AS x1 FROM p0)"]
     found = ["CASE WHEN x0 <> x1 THEN 'credit_card' END"]
     for i, (name, pattern, label) in enumerate(fv.PII_PATTERNS, 1):
         if name == "phone":
