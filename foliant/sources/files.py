@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions.text import clean_layout, safe_name
+from ..session import staged
 
 NO_TEXT = "No extractable text found (is this a scanned document? Upload it as an image to use OCR)."
 
@@ -37,27 +38,28 @@ def admit_batches(files: DataFrame, *, limit: int = fv.MAX_FILES_PER_BATCH) -> D
     return files.join(sizes, ["org", "batch"]).withColumn("error", error).drop("__files")
 
 
-def triage_kind(name: Column, content: Column) -> Column:
-    """Struct of ``kind`` and ``error`` from the extension and the first bytes."""
-    ext = F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)\z", 1))
-    kind = F.create_map(*[F.lit(x) for pair in fv.KIND_BY_EXTENSION.items() for x in pair])[ext]
-    hint = F.create_map(*[F.lit(x) for pair in fv.LEGACY_HINTS.items() for x in pair])[ext]
-    starts = lambda *heads: [F.startswith(content, F.lit(h)) for h in heads]
-    png, jpeg, riff, zipped = starts(b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"RIFF", b"PK\x03\x04")
-    pdf = F.hex(F.substring(content, 1, 1024)).rlike("^(?:20|09|0A|0B|0C|0D)*255044462D")
-    valid = (F.when(kind == "pdf", pdf)
-             .when(kind.isin("docx", "pptx"), zipped)
-             .when(kind == "image", png | jpeg | (riff & (F.substring(content, 9, 4) == F.lit(b"WEBP"))))
-             .otherwise(~F.contains(F.substring(content, 1, 8192), F.lit(b"\x00"))))
-    error = (
-        F.when(hint.isNotNull(), F.concat(F.lit("'"), ext, F.lit("' is an old binary format. Open it and use Save As "), hint,
-                                          F.lit(", then upload that file.")))
-        .when(kind.isNull(), F.concat(F.lit("Unsupported file type '"), F.when(ext == "", "unknown").otherwise(ext),
-                                      F.lit(f"'. Allowed: {fv.ALLOWED_LABEL}.")))
-        .when(F.length(content) == 0, "The file is empty.")
-        .when(~valid, F.concat(F.lit("'"), name, F.lit("' does not look like a valid "), F.upper(kind), F.lit(" file.")))
-    )
-    return F.struct(F.when(error.isNull(), kind).alias("kind"), error.alias("error"))
+def triage_kind(files: DataFrame, name: str = "name", content: str = "content", *, kind: str = "kind", error: str = "kind_error") -> DataFrame:
+    """Add ``kind`` from the extension and the first bytes, or the reason why a file has none."""
+    ext, hint, raw = "__ext", "__hint", "__kind"
+    data = F.col(content)
+    look_up = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col(ext)]
+    starts = lambda head: F.startswith(data, F.lit(head))
+    pdf = F.hex(F.substring(data, 1, 1024)).rlike("^(?:20|09|0A|0B|0C|0D)*255044462D")
+    webp = starts(b"RIFF") & (F.substring(data, 9, 4) == F.lit(b"WEBP"))
+    valid = (F.when(F.col(raw) == "pdf", pdf)
+             .when(F.col(raw).isin("docx", "pptx"), starts(b"PK\x03\x04"))
+             .when(F.col(raw) == "image", starts(b"\x89PNG\r\n\x1a\n") | starts(b"\xff\xd8\xff") | webp)
+             .otherwise(~F.contains(F.substring(data, 1, 8192), F.lit(b"\x00"))))
+    reason = (
+        F.when(F.col(hint).isNotNull(), F.concat(F.lit("'"), ext, F.lit("' is an old binary format. Open it and use Save As "), hint,
+                                                 F.lit(", then upload that file.")))
+        .when(F.col(raw).isNull(), F.concat(F.lit("Unsupported file type '"), F.when(F.col(ext) == "", "unknown").otherwise(F.col(ext)),
+                                            F.lit(f"'. Allowed: {fv.ALLOWED_LABEL}.")))
+        .when(F.length(data) == 0, "The file is empty.")
+        .when(~valid, F.concat(F.lit("'"), name, F.lit("' does not look like a valid "), F.upper(raw), F.lit(" file."))))
+    named = files.withColumn(ext, F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)\z", 1)))
+    judged = named.withColumns({raw: look_up(fv.KIND_BY_EXTENSION), hint: look_up(fv.LEGACY_HINTS)}).withColumn(error, reason)
+    return judged.withColumn(kind, F.when(F.col(error).isNull(), F.col(raw))).drop(ext, hint, raw)
 
 
 @F.pandas_udf(T.StringType())
@@ -85,16 +87,23 @@ def decode_text(content: Column) -> Column:
 
 
 def text_segments(files: DataFrame) -> DataFrame:
-    """Add ``kind``, ``text`` and ``error``; text kinds are decoded, the other kinds get their segments elsewhere."""
-    judged = files.withColumn("__t", triage_kind(F.col("name"), F.col("content")))
-    judged = judged.withColumns({"error": F.coalesce("error", "__t.error"), "kind": F.col("__t.kind")})
+    """Add ``kind``, ``text`` and ``error``; text kinds are decoded, the other kinds get their segments elsewhere.
+
+    ``content`` is kept only where there is no text.
+    """
+    judged = triage_kind(files).withColumn("error", F.coalesce("error", "kind_error")).drop("kind_error")
     is_text = F.col("error").isNull() & F.col("kind").isin("txt", "md")
-    read = judged.withColumn("text", decode_text(F.when(is_text, F.col("content")))).drop("__t")
-    return read.withColumn("error", F.when(is_text & (F.col("text") == ""), NO_TEXT).otherwise(F.col("error")))
+    read = judged.withColumn("__text", is_text).withColumn("text", decode_text(F.when(F.col("__text"), F.col("content"))))
+    error = F.when(F.col("__text") & (F.col("text") == ""), NO_TEXT).otherwise(F.col("error"))
+    return read.withColumns({"error": error, "content": F.when(~F.col("__text"), F.col("content"))}).drop("__text")
 
 
 def split_accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without an error, and the rest."""
+    """Rows without an error, and the rest.
+
+    Rows are staged once: filtering an unread plan twice would parse and decode every file twice.
+    """
+    rows = staged(rows, "intake")
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL")
 
 
