@@ -61,7 +61,7 @@ KINDS = """SELECT conv_id, turn, CASE (conv_id + turn) % 24
 
 # uploads, deletions and clearings: every document is uploaded under a name shared by a few, later ones replace
 # earlier ones; every seventh event deletes, some clear the library of their organisation
-LIBRARY_EVENTS = """SELECT source AS org, doc_id AS seq, 1704067200 + doc_id * 600 AS at,
+LIBRARY_EVENTS = """SELECT source AS org, doc_id AS seq, 1704067200 + doc_id * 600 AS happened,
  CASE WHEN doc_id % 397 = 211 THEN 'clear' WHEN doc_id % 7 = 3 THEN 'delete' ELSE 'upload' END AS action,
  'file-' || CAST(doc_id % 173 AS STRING) || '.txt' AS name FROM documents"""
 
@@ -76,7 +76,7 @@ TRAIL = """SELECT 'org' || CAST(user_id % 12 AS STRING) AS org, event_id AS id,
  ELSE 'user.login' END AS action,
  CASE event_type WHEN 'error' THEN 'Report-' || CAST(event_id % 97 AS STRING) || '.pdf'
  WHEN 'purchase' THEN 'report-' || CAST(event_id % 61 AS STRING) || '.pdf' ELSE '' END AS target FROM events"""
-TRAIL_NAMES = "SELECT org, target AS name FROM ({trail}) AS t WHERE action = 'document.upload' AND id % 5 = 0"
+TRAIL_NAMES = "SELECT org, CASE WHEN id % 3 = 0 THEN 'copy of ' || target ELSE target END AS name FROM ({trail}) AS t WHERE action = 'document.upload' AND id % 5 = 0".format(trail=TRAIL)
 
 ASKED = """SELECT 'org' || CAST(user_id % 12 AS STRING) AS org, event_id AS id, ts,
  CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'blocked' ELSE 'answered' END AS outcome FROM events"""

@@ -1 +1,119 @@
-"""stub"""
+"""Queries over library views."""
+
+from pyspark.sql import functions as F
+
+from ..operators import library as lib
+from ..operators.folds import storage_admission as admit
+from . import inputs
+from . import sql_blocks as b
+from .registry import Tables, query
+from .search import LIB, library
+
+NOW = "2024-01-31 00:00:00"
+LATEST = f"up AS ({inputs.UPLOADS}), latest AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY org, name ORDER BY seq DESC) = 1)"
+
+
+@query("list_documents", f"WITH {LATEST} SELECT org, document_id, name, created_at FROM latest")
+def list_documents(t: Tables):
+    """Documents of the library, newest first."""
+    return lib.list_documents(lib.latest_by_name(t.sql(inputs.UPLOADS))).select("org", "document_id", "name", "created_at")
+
+
+@query("preview_chunks", LIB + b.passages() + " SELECT org, document_id, ordinal, content FROM chunks WHERE ordinal < 3")
+def preview_chunks(t: Tables):
+    """First passages of every document."""
+    return lib.preview_chunks(library(t), 3).select("org", "document_id", F.col("ordinal").cast("bigint").alias("ordinal"), "content")
+
+
+@query("usage_stats", f"""WITH {LATEST}, lib AS ({inputs.LIBRARY}), {b.passages()}
+SELECT d.org, d.documents, coalesce(c.chunks, 0) AS chunks, d.bytes FROM (SELECT org, count(*) AS documents, sum(size)::BIGINT AS bytes FROM latest GROUP BY org) d
+LEFT JOIN (SELECT org, count(*) AS chunks FROM chunks GROUP BY org) c USING (org)""")
+def usage_stats(t: Tables):
+    """Documents, passages and bytes per organisation."""
+    return lib.usage_stats(lib.latest_by_name(t.sql(inputs.UPLOADS)), library(t))
+
+
+@query("latest_by_name", f"WITH {LATEST} SELECT org, name, seq, size FROM latest")
+def latest_by_name(t: Tables):
+    """Last upload of every name."""
+    return lib.latest_by_name(t.sql(inputs.UPLOADS)).select("org", "name", "seq", "size")
+
+
+DELETIONS = "SELECT CASE WHEN doc_id % 14 = 3 THEN 'src0' ELSE source END AS org, doc_id AS document_id FROM documents WHERE doc_id % 7 = 3"
+
+
+@query("delete_documents", f"WITH up AS ({inputs.UPLOADS}), gone AS ({DELETIONS}) SELECT org, document_id, name FROM up WHERE (org, document_id) NOT IN (SELECT (org, document_id) FROM gone)")
+def delete_documents(t: Tables):
+    """What deletions leave; an id under another organisation deletes nothing."""
+    return lib.delete_documents(t.sql(inputs.UPLOADS), t.sql(DELETIONS)).select("org", "document_id", "name")
+
+
+CLEARED = "SELECT CASE n_nationkey WHEN 20 THEN 'nobody' ELSE 'src' || CAST(n_nationkey AS STRING) END AS org FROM nation WHERE n_nationkey % 5 = 0"
+
+
+@query("clear_library", f"""WITH up AS ({inputs.UPLOADS}), c AS ({CLEARED}) SELECT org, 'kept' AS state, count(*) AS n FROM up WHERE org NOT IN (SELECT org FROM c) GROUP BY org
+UNION ALL SELECT c.org, 'removed', count(up.org) FROM c LEFT JOIN up ON up.org = c.org GROUP BY c.org""")
+def clear_library(t: Tables):
+    """Documents kept and removed when organisations clear their library."""
+    kept, removed = lib.clear_library(t.sql(inputs.UPLOADS), t.sql(CLEARED))
+    return kept.groupBy("org").agg(F.count("*").alias("n")).select("org", F.lit("kept").alias("state"), "n").unionByName(
+        removed.select("org", F.lit("removed").alias("state"), F.col("removed").alias("n")))
+
+
+@query("library_as_of", f"""WITH e AS ({inputs.LIBRARY_EVENTS}), past AS (SELECT * FROM e WHERE happened <= (SELECT avg(happened) FROM e)),
+last AS (SELECT * FROM past WHERE action <> 'clear' QUALIFY row_number() OVER (PARTITION BY org, name ORDER BY seq DESC) = 1)
+SELECT org, name, seq, happened AS ts FROM last l WHERE action = 'upload' AND seq > coalesce((SELECT max(seq) FROM past p WHERE p.org = l.org AND p.action = 'clear'), -1)""")
+def library_as_of(t: Tables):
+    """The library half way through its history."""
+    events = t.sql(inputs.LIBRARY_EVENTS).withColumnRenamed("happened", "ts")
+    half = events.agg(F.avg("ts").alias("half"))
+    return lib.library_as_of(events.join(F.broadcast(half)).where("ts <= half").drop("half"))
+
+
+@query("library_now", f"""WITH e AS ({inputs.LIBRARY_EVENTS}), last AS (SELECT * FROM e WHERE action <> 'clear' QUALIFY row_number() OVER (PARTITION BY org, name ORDER BY seq DESC) = 1)
+SELECT org, name, seq, happened AS ts FROM last l WHERE action = 'upload' AND seq > coalesce((SELECT max(seq) FROM e p WHERE p.org = l.org AND p.action = 'clear'), -1)""")
+def library_now(t: Tables):
+    """The library after all its events."""
+    return lib.library_as_of(t.sql(inputs.LIBRARY_EVENTS).withColumnRenamed("happened", "ts"))
+
+
+SQL_CATALOGUE = f"""{LATEST}, first50 AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY org ORDER BY name) <= 50),
+catalogue AS (SELECT org, string_agg(name || ' (' || upper(kind) || CASE WHEN pages > 0 THEN ', ' || pages || ' pages' ELSE '' END || ')', '; ' ORDER BY name) AS catalogue, count(*) AS listed FROM first50 GROUP BY org)"""
+
+
+@query("catalogue", f"WITH {SQL_CATALOGUE} SELECT * FROM catalogue")
+def catalogue(t: Tables):
+    """One line per library."""
+    return lib.catalogue(lib.latest_by_name(t.sql(inputs.UPLOADS)))
+
+
+SQL_REMOVED = f"""trail AS ({inputs.TRAIL}), current_names AS ({inputs.TRAIL_NAMES}),
+recent AS (SELECT * FROM trail WHERE action = 'document.delete' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY QUALIFY row_number() OVER (PARTITION BY org ORDER BY id DESC) <= 40),
+gone AS (SELECT org, target AS name, max(id) AS id FROM recent WHERE target <> '' GROUP BY ALL),
+removed AS (SELECT org, name, id FROM gone g WHERE NOT EXISTS (SELECT 1 FROM current_names c WHERE c.org = g.org AND (lower(c.name) = lower(g.name)
+ OR (least(length(c.name), length(g.name)) >= 8 AND (contains(lower(c.name), lower(g.name)) OR contains(lower(g.name), lower(c.name)))))))"""
+
+
+def removed(t: Tables):
+    return lib.removed_documents(t.sql(inputs.TRAIL), t.sql(inputs.TRAIL_NAMES), F.expr(f"TIMESTAMP_NTZ '{NOW}'"))
+
+
+@query("removed_documents", f"WITH {SQL_REMOVED} SELECT * FROM removed")
+def removed_documents(t: Tables):
+    """Documents deleted lately and not back."""
+    return removed(t)
+
+
+QUOTA = 60_000
+
+
+@query("storage_admission", f"""WITH RECURSIVE up AS ({inputs.UPLOADS}), e AS (SELECT org, seq, name, size, row_number() OVER (PARTITION BY org ORDER BY seq) AS rn FROM up),
+r AS (SELECT org, seq, rn, size <= {QUOTA} AS admitted, CASE WHEN size <= {QUOTA} THEN size ELSE 0 END AS used,
+  CASE WHEN size <= {QUOTA} THEN MAP {{name: size}} ELSE MAP {{'': 0::BIGINT}} END AS sizes FROM e WHERE rn = 1
+ UNION ALL SELECT org, seq, rn, after <= {QUOTA}, CASE WHEN after <= {QUOTA} THEN after ELSE used END, CASE WHEN after <= {QUOTA} THEN map_concat(sizes, MAP {{name: size}}) ELSE sizes END
+ FROM (SELECT e.*, r.used, r.sizes, r.used - coalesce(r.sizes[e.name], 0) + e.size AS after FROM r JOIN e ON e.org = r.org AND e.rn = r.rn + 1))
+SELECT org, seq, admitted::INT::BIGINT AS admitted, used::BIGINT AS used FROM r""")
+def storage_admission(t: Tables):
+    """Uploads within the bytes of their organisation."""
+    uploads = t.sql(inputs.UPLOADS).select("org", "seq", "name", "size")
+    return admit(uploads, limit=QUOTA).select("org", "seq", F.col("admitted").cast("bigint").alias("admitted"), "used")

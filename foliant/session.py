@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,23 +51,6 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, as ``--py-files`` would; once per application."""
-    application = spark.sparkContext.applicationId
-    if application in _shipped:
-        return
-    root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(application)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input that arrives in few partitions one per core; large inputs pass without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
