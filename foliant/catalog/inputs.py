@@ -91,7 +91,7 @@ ORGS = """SELECT 'n' || CAST(n_nationkey AS STRING) AS org_id, n_name AS name, f
 MEMBERSHIPS = """SELECT c_custkey AS user_id, 'p' || CAST(c_custkey AS STRING) AS org_id, 'owner' AS role, 1704067200 + c_custkey AS joined_at FROM customer
  UNION ALL SELECT c_custkey + 1 AS user_id, 'p' || CAST(c_custkey AS STRING) AS org_id, CASE WHEN c_custkey % 10 = 0 THEN 'owner' ELSE 'viewer' END AS role,
  1704070000 + c_custkey AS joined_at FROM customer WHERE c_custkey % 5 = 0
- UNION ALL SELECT c_custkey AS user_id, 'n' || CAST(c_nationkey AS STRING) AS org_id,
+ UNION ALL SELECT c_custkey AS user_id, 'n' || CAST((c_nationkey + c_custkey % 3) % 25 AS STRING) AS org_id,
  CASE c_custkey % 29 WHEN 0 THEN 'owner' WHEN 1 THEN 'admin' WHEN 2 THEN 'viewer' ELSE 'member' END AS role, 1704080000 + c_custkey AS joined_at FROM customer"""
 INVITES = """SELECT o_orderkey AS invite_id, 'n' || CAST(o_orderkey % 25 AS STRING) AS org_id, 'USER' || CAST(o_custkey AS STRING) || '@' ||
  CASE o_custkey % 4 WHEN 0 THEN 'corp' || CAST(o_orderkey % 25 AS STRING) || '.example.com' ELSE 'mail.example.org' END AS email,
