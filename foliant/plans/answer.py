@@ -64,7 +64,7 @@ def prompt_questions(chunks: DataFrame, questions: DataFrame, catalogues: DataFr
                      key: str, k: int = fv.DEFAULT_K, pii: bool = False, mode: str = "block", texts: PromptTexts = PromptTexts(),
                      assistant_name: str | None = None) -> Asked:
     """Screen, route, search and write prompts. ``catalogues``: org, catalogue, listed; ``removed``: org, name, id."""
-    judged = screen_questions(questions, pii=pii, mode=mode, assistant_name=assistant_name)
+    judged = staged(screen_questions(questions, pii=pii, mode=mode, assistant_name=assistant_name), "questions")
     hits = staged(retrieve_routed(chunks, judged, catalogues, model, k=k), "hits")
     context = context_block(prepare_passages(hits, pii=pii), ["qid"])
     gone = removed.groupBy("org").agg(F.array_sort(F.collect_list(F.struct((-F.col("id")).alias("n"), "name"))).alias("r"))
