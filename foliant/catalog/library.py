@@ -66,8 +66,8 @@ SELECT org, name, seq, happened AS ts FROM last l WHERE action = 'upload' AND se
 def library_as_of(t: Tables):
     """The library half way through its history."""
     events = t.sql(inputs.LIBRARY_EVENTS).withColumnRenamed("happened", "ts")
-    half = events.agg(F.avg("ts").alias("half"))
-    return lib.library_as_of(events.join(F.broadcast(half)).where("ts <= half").drop("half"))
+    half = events.agg(F.avg("ts")).first()[0]
+    return lib.library_as_of(events, F.lit(half))
 
 
 @query("library_now", f"""WITH e AS ({inputs.LIBRARY_EVENTS}), last AS (SELECT * FROM e WHERE action <> 'clear' QUALIFY row_number() OVER (PARTITION BY org, name ORDER BY seq DESC) = 1)

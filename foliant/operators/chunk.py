@@ -65,7 +65,7 @@ def chunk_documents(docs: DataFrame, text: str = "text", *, size: int = fv.CHUNK
     Adds ``ordinal`` and ``content`` and drops ``text``; a document without text gives no row.
     """
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, F.posexplode(pieces(F.col(text), size, overlap)).alias("ordinal", "content"))
+    return docs.select(*kept, F.posexplode_outer(pieces(F.col(text), size, overlap)).alias("ordinal", "content")).where("ordinal IS NOT NULL")
 
 
 def chunk_segments(segments: DataFrame, keys: list[str], *, seg_no: str = "seg_no", page: str = "page", text: str = "text",
@@ -82,7 +82,7 @@ def chunk_segments(segments: DataFrame, keys: list[str], *, seg_no: str = "seg_n
     kept = counted.withColumn("__kept", F.filter(
         "__all", lambda p: F.col("__single") | (F.length(p) >= fv.MIN_PIECE_CHARS)))
     placed = kept.withColumn("__start", F.coalesce(F.sum(F.size("__kept")).over(before), F.lit(0)))
-    rows = placed.select(*keys, page, "__start", F.posexplode("__kept").alias("__pos", "content"))
+    rows = placed.select(*keys, page, "__start", F.posexplode_outer("__kept").alias("__pos", "content")).where("__pos IS NOT NULL")
     return rows.select(*keys, page, (F.col("__start") + F.col("__pos")).cast("int").alias("ordinal"), "content")
 
 

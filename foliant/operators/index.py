@@ -22,8 +22,9 @@ def postings(chunks: DataFrame, *, text: str = "content", terms: DataFrame | Non
     words = _words(chunks, text)
     if terms is None:
         words = words.repartition("org", "chunk_id")
-    exploded = words.select("org", "chunk_id", F.size("words").alias("doc_len"), F.explode("words").alias("word"))
-    rows = exploded.select("org", "chunk_id", "doc_len", stem(F.col("word")).alias("term"))
+    # the outer form keeps Spark from testing the word list for emptiness below the exchange, which would tokenize twice
+    exploded = words.select("org", "chunk_id", F.size("words").alias("doc_len"), F.explode_outer("words").alias("word"))
+    rows = exploded.where("word IS NOT NULL").select("org", "chunk_id", "doc_len", stem(F.col("word")).alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("org", "term").distinct(), ["org", "term"], "left_semi")
     return rows.groupBy("org", "chunk_id", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))

@@ -32,7 +32,7 @@ def clamp_k(k: Column) -> Column:
 def explode_terms(questions: DataFrame) -> DataFrame:
     """``qid, org, term, n_terms``: the distinct terms of each question."""
     terms = questions.select("qid", "org", query_terms(F.col("query")).alias("terms"))
-    return terms.select("qid", "org", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    return terms.select("qid", "org", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
 
 
 def bm25_parts(terms: DataFrame, posted: DataFrame, corpus: DataFrame) -> DataFrame:
