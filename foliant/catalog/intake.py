@@ -49,7 +49,7 @@ FILES = """SELECT org, batch, doc_id, name, hexed, CAST(length(hexed) / 2 AS BIG
  CASE doc_id % 16 WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN '20' ELSE '200A255044462D' END WHEN 5 THEN CASE WHEN doc_id % 3 = 0 THEN '' ELSE '504B0304' END WHEN 6 THEN '504B0304'
  WHEN 7 THEN '89504E470D0A1A0A' WHEN 8 THEN CASE WHEN doc_id % 3 = 0 THEN '41' ELSE 'FFD8FF' END WHEN 9 THEN CASE WHEN doc_id % 3 = 0 THEN '524946460000000057455B50' ELSE '524946460000000057454250' END
  WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'EFBBBF' ELSE '' END WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN '00' ELSE '' END
- WHEN 2 THEN CASE doc_id % 3 WHEN 0 THEN 'E92061E0A0' WHEN 1 THEN 'FFFEE9006100200062000A00' ELSE '' END ELSE '' END
+ WHEN 2 THEN CASE doc_id % 3 WHEN 0 THEN 'E92061E0A0' WHEN 1 THEN 'FFFE226F575B874E' ELSE '' END ELSE '' END
  || CASE WHEN doc_id % 16 = 2 AND doc_id % 3 < 2 THEN '' ELSE hex(text) END END AS hexed FROM documents) AS f"""
 
 

@@ -18,6 +18,7 @@ def read_files(spark: SparkSession, path: str, *, cap: int = fv.MAX_FILE_BYTES)
     """``batch, org, name, size, content, error`` of the files under ``path/<org>/<batch>/``.
 
     The size cap is pushed to the source, so the content of a larger file is never read; it becomes an error row.
+    Spark's file sources leave out files without a single byte; these can only be reported by who lists the folder.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parts = F.split(F.col("path"), "/")
