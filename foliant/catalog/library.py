@@ -1,9 +1,15 @@
 """Queries over library views."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from ..functions.vectors import hash_embedder
 from ..operators import library as lib
 from ..operators.folds import storage_admission as admit
+from ..session import shared_folder
+from ..sources.library_sink import replace_documents
+from ..streaming.jobs import ingest_stream as start_intake
 from . import inputs
 from . import sql_blocks as b
 from .registry import Tables, query
@@ -117,3 +123,25 @@ def storage_admission(t: Tables):
     """Uploads within the bytes of their organisation."""
     uploads = t.sql(inputs.UPLOADS).select("org", "seq", "name", "size")
     return admit(uploads, limit=QUOTA).select("org", "seq", F.col("admitted").cast("bigint").alias("admitted"), "used")
+
+
+@query("library_sink", f"WITH {LATEST} SELECT org, name, seq, size FROM latest")
+def library_sink(t: Tables):
+    """The library after two writes, later documents replacing earlier ones under the same name."""
+    path = f"{shared_folder(t.spark)}/foliant/{uuid4().hex}/documents"
+    uploads = t.sql(inputs.UPLOADS).select("org", "name", "seq", "size")
+    half = uploads.agg(F.max("seq")).first()[0] // 2
+    replace_documents(path, lib.latest_by_name(uploads.where(F.col("seq") <= half)))
+    replace_documents(path, lib.latest_by_name(uploads.where(F.col("seq") > half)))
+    return t.spark.read.schema(uploads.schema).parquet(path)
+
+
+@query("ingest_stream", f"""WITH lib AS ({inputs.LIBRARY}), {b.passages()} SELECT org, document, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY ALL""")
+def ingest_stream(t: Tables):
+    """Passages of the documents table taken in as a stream."""
+    path = f"{shared_folder(t.spark)}/foliant/{uuid4().hex}"
+    docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    named = docs.select(F.col("source").alias("org"), F.col("doc_id").alias("document_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
+                        "text", F.col("doc_id").alias("seq"))
+    start_intake(named, path, hash_embedder(), f"{path}-checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/chunks").groupBy("org", "document").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))

@@ -189,6 +189,16 @@ def split_late(t: Tables):
     return good.select("event_id", F.lit("in time").alias("state")).unionByName(late.select("event_id", F.lit("late").alias("state")))
 
 
+@query("audit_stream", f"WITH trail AS ({inputs.TRAIL}) SELECT org, action, count(*) AS n FROM trail WHERE action = 'chat.flagged' GROUP BY ALL")
+def audit_stream(t: Tables):
+    """Flagged questions of a stream, written to the trail as they arrive."""
+    events = stream(t).where("event_type = 'signup'").select(
+        F.concat(F.lit("org"), (F.col("user_id") % 12).cast("string")).alias("org"), F.col("ts"), F.lit("chat.flagged").alias("action"), F.lit("").alias("target"))
+    path = f"{shared_folder(t.spark)}/foliant/{uuid.uuid4().hex}"
+    jobs.audit_stream(events, f"{path}/audit", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/audit").groupBy("org", "action").agg(F.count("*").alias("n"))
+
+
 @query("audit_sink", f"WITH trail AS ({inputs.TRAIL}) SELECT org, action, count(*) AS n, max(length(target)) AS longest FROM trail GROUP BY ALL")
 def audit_sink(t: Tables):
     """The trail written by the stream's sink and read back."""

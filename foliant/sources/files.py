@@ -32,11 +32,16 @@ def read_files(spark: SparkSession, path: str, *, cap: int = fv.MAX_FILE_BYTES)
 
 
 def admit_batches(files: DataFrame, *, limit: int = fv.MAX_FILES_PER_BATCH) -> DataFrame:
-    """Refuse every file of a batch that holds more files than allowed, and files without a usable name."""
+    """Refuse every file of a batch that holds more files than allowed, and files without a usable name.
+
+    Files are only counted, and only the batches over the limit are joined back: file contents need no shuffle unless
+    these are very many.
+    """
     sizes = files.groupBy("org", "batch").agg(F.count("*").alias("__files"))
-    error = (F.when(F.col("__files") > limit, f"At most {limit} files per upload.")
+    over = sizes.where(F.col("__files") > limit)
+    error = (F.when(F.col("__files").isNotNull(), f"At most {limit} files per upload.")
              .when(F.col("name") == "", "Invalid file name.").otherwise(F.col("error")))
-    return files.join(sizes, ["org", "batch"]).withColumn("error", error).drop("__files")
+    return files.join(over, ["org", "batch"], "left").withColumn("error", error).drop("__files")
 
 
 def triage_kind(files: DataFrame, name: str = "name", content: str = "content", *, kind: str = "kind", error: str = "kind_error") -> DataFrame:

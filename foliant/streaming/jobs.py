@@ -28,7 +28,7 @@ class _Fold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "value string")
+        self.state = handle.getValueState("state", "value string, until bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "id"])  # one key's part of one trigger
@@ -37,18 +37,18 @@ class _Fold(StatefulProcessor):
         for row in zip(*[batch[c].tolist() for c in self.machine.inputs]):
             state, result = self.machine.step(state, row)
             out.append(result)
-        self.state.update((json.dumps(state),))
+        until = int(batch["at"].iloc[-1] + (self.life or 0)) // 1000 + 1
+        self.state.update((json.dumps(state), until))
         if self.life:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer(int(batch["at"].iloc[-1] + self.life) // 1000 + 1)
+            self.handle.registerTimer(until)
         results = pd.DataFrame(out, columns=self.names)
         results.insert(0, "id", batch["id"].to_numpy())
         results.insert(0, self.key, batch[self.key].to_numpy())
         yield results
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        if self.state.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.state.get()[1]:
+            self.state.clear()
         yield pd.DataFrame(columns=[self.key, "id", *self.names])
 
     def close(self) -> None:
