@@ -35,7 +35,8 @@ def library(t: Tables):
 
 
 def asked(t: Tables):
-    return embed.embed(t.spread(inputs.QUESTIONS), MODEL, "query", "qvec")
+    """The questions with their vectors, embedded once."""
+    return staged(embed.embed(t.spread(inputs.QUESTIONS), MODEL, "query", "qvec"), "questions")
 
 
 @query("chunk_passages", LIB + b.passages() + "\nSELECT document_id, ordinal::BIGINT AS ordinal, content FROM chunks")

@@ -42,8 +42,12 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
-    """``org, term, df``."""
-    return posted.groupBy("org", "term").agg(F.count("*").alias("df"))
+    """``org, term, df``.
+
+    Counts with a condition every posting meets: reading the same columns as the scores do, both use one exchange.
+    """
+    present = (F.col("tf") > 0) & (F.col("doc_len") > 0)
+    return posted.groupBy("org", "term").agg(F.count(F.when(present, 1)).alias("df"))
 
 
 def index_stamp(chunks: DataFrame, model: str) -> DataFrame:

@@ -54,7 +54,7 @@ def retrieve_routed(chunks: DataFrame, questions: DataFrame, catalogues: DataFra
     hybrid search otherwise; opening passages for broad questions the search finds nothing for."""
     routed = questions.where("allowed AND NOT is_identity AND NOT is_library").join(catalogues.select("org"), "org", "left_semi")
     search = F.coalesce("search_query", "query") if "search_query" in questions.columns else F.col("query")
-    asked = embed(routed.withColumn("query", search), model, "query", "qvec")
+    asked = staged(embed(routed.withColumn("query", search), model, "query", "qvec"), "asked")
     found = staged(hybrid_search(chunks, asked, model.name, k=k), "hits")
     broad = routed.where("is_overview").join(found.select("qid").distinct(), "qid", "left_anti")
     return found.unionByName(overview(chunks, broad, k=k))
