@@ -73,7 +73,8 @@ def chunk_segments(segments: DataFrame, keys: list[str], *, seg_no: str = "seg_n
     """Passages of documents made of segments: ``keys``, ``page``, ``ordinal`` and ``content``.
 
     Pieces under 20 characters are dropped unless the document has a single segment. One shuffle by document:
-    the ordinal of a piece is its place in the segment plus the pieces of the segments before.
+    the ordinal of a piece is its place in the segment plus the pieces of the segments before. A document has at most
+    1000 pages, so its window is small.
     """
     document = Window.partitionBy(*keys)
     before = document.orderBy(seg_no).rowsBetween(Window.unboundedPreceding, -1)

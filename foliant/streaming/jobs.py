@@ -21,7 +21,10 @@ LATENESS = "1 hour"
 
 
 class _Fold(StatefulProcessor):
-    """Runs a state machine per key and, where the state has a life time, forgets it when the watermark is past it."""
+    """Runs a state machine per key and, where the state has a life time, forgets it when the watermark is past it.
+
+    What a key gets in one trigger is sorted in memory: bound the trigger at the source (``maxFilesPerTrigger`` and the like).
+    """
 
     def __init__(self, machine: Machine, names: list[str], key: str, life: int | None):
         self.machine, self.names, self.key, self.life = machine, names, key, life
