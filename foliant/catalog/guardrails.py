@@ -177,9 +177,9 @@ def fenced_passages(t: Tables):
     return t.spread(FORGED).select("qid", guard.fenced_passage(F.lit(1), F.col("source"), F.col("page"), F.col("content"), F.col("suspicious")).alias("passage"))
 
 
-ANSWERS = """SELECT doc_id AS qid, 'NL-' || substr(sha256('test|' || CAST(doc_id AS STRING)), 1, 16) AS canary,
- CASE doc_id % 5 WHEN 0 THEN 'Sure, the code is NL-' || substr(sha256('test|' || CAST(doc_id AS STRING)), 1, 16) || '. ' || text
- WHEN 1 THEN '<think>let me' || chr(10) || 'see</think> key: gsk_QQQQQQQQQQQQQQQQQQQQQQQQQQQQQQ ' || text WHEN 2 THEN text || '<THINK>x</Think>' || text ELSE text END AS answer FROM documents"""
+ANSWER = """CASE doc_id % 5 WHEN 0 THEN 'Sure, the code is ' || canary || '. ' || text WHEN 1 THEN '<think>let me' || chr(10) || 'see</think> key: gsk_QQQQQQQQQQQQQQQQQQQQQQQQQQQQQQ ' || text
+ WHEN 2 THEN text || '<THINK>x</Think>' || text ELSE text END"""
+ANSWERS = f"""SELECT doc_id AS qid, canary, {ANSWER} AS answer FROM (SELECT *, 'NL-' || substr(sha256('test|' || doc_id), 1, 16) AS canary FROM documents)"""
 THOUGHTLESS = b.strip(f"regexp_replace(answer, '(?is){fv.REASONING}', '', 'g')")
 
 
@@ -189,11 +189,8 @@ SELECT qid, canary, CASE WHEN contains(clean, canary) THEN {b.quoted(fv.LEAK_REF
 CASE WHEN contains(clean, canary) THEN 'system_prompt_leak' ELSE concat_ws(',', CASE WHEN found <> '' THEN 'secret_in_output' END, CASE WHEN length(text) > 2000 THEN 'truncated' END) END AS flags FROM redacted""")
 def check_output(t: Tables):
     """Answers checked for a leaked code, secrets and length, after their reasoning is removed."""
-    made = spread(t.documents).select(F.col("doc_id").alias("qid"), "text").withColumn("canary", guard.canary(F.col("qid"), "test"))
-    made.createOrReplaceTempView("texts_with_code")
-    answers = t.spark.sql(ANSWERS.replace("doc_id AS qid", "qid").replace("doc_id", "qid").replace("'NL-' || substr(sha256('test|' || CAST(qid AS STRING)), 1, 16) AS canary", "canary")
-                          .replace("'Sure, the code is NL-' || substr(sha256('test|' || CAST(qid AS STRING)), 1, 16)", "'Sure, the code is ' || canary")
-                          .replace("FROM documents", "FROM texts_with_code"))
+    coded = spread(t.documents).withColumn("canary", guard.canary(F.col("doc_id"), "test"))
+    answers = coded.select(F.col("doc_id").alias("qid"), "canary", F.expr(ANSWER).alias("answer"))
     checked = guard.check_output(answers.withColumn("raw", guard.strip_reasoning(F.col("answer"))), "raw", "canary", max_chars=2000)
     return checked.select("qid", "canary", F.col("checked.text").alias("text"), F.array_join("checked.flags", ",").alias("flags"))
 
