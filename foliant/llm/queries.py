@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 from .shards import sharded
+from .similar import similar
 
 
 @query("op6_shards")
@@ -16,6 +17,20 @@ def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharded(table(spark, folder, "documents"), 24)
 
 
+@query("op9_similar", sql=r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+c AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT c.doc_id, l.b AS reached FROM c JOIN l ON l.a = c.reached)
+SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.doc_id = w.doc_id GROUP BY w.doc_id""")
+def op9_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word sets are similar by 0.9 or more."""
+    return similar(table(spark, folder, "documents"))
+
+
 @query("op10_contaminated", sql=r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
