@@ -10,8 +10,8 @@ instead: similar sets share one of their first ``n - ceil(t n) + 1``.
 *Verification.* Each pair is counted apart in every (coarser) fragment; the counts are summed per pair.
 
 Equal sets are one class from the start. In a group that shares a segment, members are compared with the member that meets most others,
-not all with all. Only where this leaves a group in several components, the other members are compared too, in blocks inside tasks, which emit
-no more than one link per member.
+not all with all. Only where this leaves a group in several components, its other members are compared too: those of groups that overlap meet once,
+in blocks inside tasks, which emit no more than one link for each component they join.
 """
 
 from __future__ import annotations
@@ -201,20 +201,22 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
     # groups that are still apart, without their hubs, which met every member
     rooted = grouped.where("node <> hub").join(found, "node", "left").select("meet", "node", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("meet").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = written(rooted.join(apart.select("meet", "many"), "meet"), "left")
+    apart = rooted.groupBy("meet").agg(F.min("node").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = written(rooted.join(apart.select("meet", "first"), "meet"), "left")
     if not left.isEmpty():
+        # members that groups share are brought together once, however many groups they share
+        clusters = components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("cluster"))
+        joined = left.select("node", "root").distinct().join(clusters, "node")
+        many = joined.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         wholes = parts.groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-        blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        dealt = left.join(wholes, "node").select("meet", "node", "root", "grams", block.alias("block"), blocks.alias("blocks"))
+        dealt = joined.join(many, "cluster").join(wholes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         # a block meets every block once, itself included: side 1 and 2 of a meeting, 0 where both are the same block
-        placed = dealt.select("meet", "node", "root", "grams", F.explode(F.transform(
+        placed = dealt.select("cluster", "node", "root", "grams", F.explode(F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1),
             lambda other: F.struct(F.least("block", other).alias("one"), F.greatest("block", other).alias("two"),
                                    F.when(F.col("block") == other, 0).when(F.col("block") < other, 1).otherwise(2).alias("side")))).alias("w"))
-        more = (placed.select("meet", "w.one", "w.two", "w.side", "node", "root", "grams")
-                .groupBy("meet", "one", "two").applyInArrow(links_in_blocks(percent), "a long, b long"))
+        more = (placed.select("cluster", "w.one", "w.two", "w.side", "node", "root", "grams")
+                .groupBy("cluster", "one", "two").applyInArrow(links_in_blocks(percent), "a long, b long"))
         found = components(links.union(written(more, "more")))
     rooted = nodes.select("node", "n", "name", "name2", "least").join(found, "node", "left").select(
         "n", "name", "name2", "least", F.coalesce("root", "node").alias("root"))
