@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .quality import learn, scored
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 from .shards import sharded
 from .similar import similar
 
 
+def held_out(key):
+    """A fifth of the documents, by the checksum of the id as text."""
+    return F.crc32(key.cast("string")) % 5 == 0
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, folder, "documents")
+    model = learn(docs, table(spark, folder, "labels"), held_out=held_out)
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op6_shards")
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing."""
