@@ -4,12 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
 from .decontaminate import contaminated
+from .mix import mixed
 from .quality import learn, scored
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 from .shards import sharded
 from .similar import similar
+from .tokenfile import read_tokens, write_tokens
+
+
+def domain():
+    """The tables have no domain: a fixed part of the sources stands for one."""
+    first = F.substring(F.md5("source"), 1, 1)
+    return F.when(first < "4", "web").when(first < "9", "books").otherwise("code")
+
+
+def target_weights(spark: SparkSession) -> DataFrame:
+    rows = [(["web"], 5), (["books"], 3), (["code"], 2)]
+    rows += [([d, lang], w) for d in ("web", "books", "code") for lang, w in (("en", 4), ("de", 3), ("fr", 2), ("es", 2))]
+    rows += [(["web", lang, "src0"], 3) for lang in ("en", "de", "fr", "es")]
+    return spark.createDataFrame(rows, "path array<string>, weight long")
+
+
+def level_sql(i: int, above: str, node: str, weight: str) -> str:
+    """Budgets of level ``i`` as SQL; ``above`` are the columns of the levels before."""
+    keys = f"{above}{', ' if above else ''}{node}"
+    part = f"PARTITION BY {above}" if above else ""
+    given = f"JOIN b{i - 1} USING ({above})" if above else "CROSS JOIN (SELECT CAST(least((SELECT sum(tokens) FROM r) // 2, (SELECT sum(tokens * 2) FROM leaf)) AS HUGEINT) AS given)"
+    return f"""n{i} AS (SELECT *, CAST({weight} AS HUGEINT) AS w FROM (SELECT {keys}, CAST(sum(tokens * 2) AS HUGEINT) AS most FROM leaf GROUP BY ALL) {given} WHERE most > 0),
+o{i} AS (SELECT *, coalesce(sum(most) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_
+ FROM n{i} WINDOW f AS ({part} ORDER BY CAST(most AS DOUBLE) / CAST(w AS DOUBLE), {node})),
+f{i} AS (SELECT *, most * open_ <= w * (given - full_) AS filled FROM o{i}),
+p{i} AS (SELECT *, given - coalesce(sum(CASE WHEN filled THEN most END) OVER ({part}), 0) AS rest, sum(CASE WHEN NOT filled THEN w END) OVER ({part}) AS opened,
+ row_number() OVER (PARTITION BY {above}{', ' if above else ''}filled ORDER BY {node}) AS turn FROM f{i}),
+q{i} AS (SELECT *, CASE WHEN filled THEN most ELSE CAST(w * rest AS HUGEINT) // CAST(opened AS HUGEINT) END AS part FROM p{i}),
+b{i} AS (SELECT {keys}, CAST(part + CASE WHEN NOT filled AND turn <= over_ THEN 1 ELSE 0 END AS HUGEINT) AS given
+ FROM (SELECT *, rest - sum(CASE WHEN NOT filled THEN part END) OVER ({part}) AS over_ FROM q{i}))"""
+
+
+MIX_SQL = rf"""
+WITH r AS (SELECT doc_id, CASE WHEN substr(md5(source), 1, 1) < '4' THEN 'web' WHEN substr(md5(source), 1, 1) < '9' THEN 'books' ELSE 'code' END AS domain,
+ coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM r GROUP BY ALL),
+{level_sql(0, '', 'domain', "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END")},
+{level_sql(1, 'domain', 'lang', "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 3 ELSE 2 END")},
+{level_sql(2, 'domain, lang', 'source', "CASE WHEN domain = 'web' AND source = 'src0' THEN 3 ELSE 1 END")},
+e AS (SELECT domain, lang, source, CAST(coalesce(given, 0) AS BIGINT) AS leaf_budget, CAST(tokens AS BIGINT) AS all_ FROM leaf LEFT JOIN b2 USING (domain, lang, source)),
+d AS (SELECT *, CASE WHEN all_ > 0 THEN leaf_budget // all_ ELSE 0 END AS full_epochs, CASE WHEN all_ > 0 THEN leaf_budget % all_ ELSE 0 END AS rest FROM r JOIN e USING (domain, lang, source)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7:' || CAST(full_epochs AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR))
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM d)
+SELECT doc_id, domain, lang, source, leaf_budget, tokens AS n_tokens, CAST(full_epochs AS BIGINT) AS full_epochs,
+ CAST(greatest(0, least(tokens, rest - before_)) AS BIGINT) AS part_tokens FROM s"""
+
+
+@query("op1_mix", sql=MIX_SQL)
+def op1_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of all tokens by weights of domain, language and source, at most two epochs of any."""
+    docs = table(spark, folder, "documents").withColumn("domain", domain())
+    return mixed(docs, [F.col("domain"), F.col("lang"), F.col("source")], weights=target_weights(spark), epochs=2, seed=7).select(
+        "doc_id", "domain", "lang", "source", "leaf_budget", "n_tokens", "full_epochs", "part_tokens")
 
 
 def held_out(key):
@@ -25,6 +80,12 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    return read_tokens(write_tokens(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 @query("op6_shards")
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing."""
