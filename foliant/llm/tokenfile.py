@@ -16,10 +16,11 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .common import MOST_NAMES, as_bytes, lists, pieces, plain_words, written
+from .common import as_bytes, lists, pieces, plain_words, written
 
 MAGIC = b"PFOR0001"
 BLOCK = 512
@@ -87,10 +88,17 @@ def unpacked(data: bytes, starts: np.ndarray) -> np.ndarray:
     return (out + head["least"][:, None]).ravel()
 
 
+#: Punctuation after a word, up to white space: the tokenizer starts anew there. Only after a letter of ASCII or Latin-1, or a digit.
+TAIL = re.compile(rb"([!-/:-@\[-`{-~])(?:(?<=[a-z0-9][!-/:-@\[-`{-~])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][!-/:-@\[-`{-~]))([!-/:-@\[-`{-~]*)(?=\s|\Z)")
+LETTERS_ONLY = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+MOST_WORDS = 500_000
+
+
 class Encoder(dict):
-    """Ids of words by a tokenizer that drops white space and never joins across it.
+    """Packed ids of words by a tokenizer that lowers case, drops white space and never joins across it.
 
-    A word that was met before is looked up. Texts that may hold a special token are encoded whole, since those can span words.
+    A word that was met before is looked up; the punctuation that ends it is looked up apart. New words go to the tokenizer many at a time. Texts that may
+    hold a special token are encoded whole, since those can span words.
     """
 
     def __init__(self, path: str):
@@ -98,26 +106,47 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> list[int]:
-        if len(self) >= MOST_NAMES:
-            self.clear()
-        ids = self[word] = self.model.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return ids
+        size = self.model.get_vocab_size()
+        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode all new words in one call."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) >= MOST_NAMES:
+        if len(self) + len(new) > MOST_WORDS:
             self.clear()
-        for w, e in zip(new, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self[w] = e.ids
-
-    def ids(self, text: bytes, end: int) -> np.ndarray:
-        if b"<|" in text:
-            found = self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return np.array([*found, end], np.uint32)
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, plain_words(text))), (end,)), np.uint32)
+            new = list(words)
+        # words of letters alone are one piece each, so the ends of pieces tell them apart in one long text
+        letters = [w for w in new if LETTERS_ONLY.fullmatch(w)]
+        for first in range(0, len(letters), 5_000):
+            part = letters[first:first + 5_000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer joins or splits words of letters")
+            raw, at = ids.tobytes(), 0
+            for w, stop in zip(part, (4 * stops).tolist()):
+                self[w] = raw[at:stop]
+                at = stop
+        rest = [w for w in new if w not in self]
+        for w, e in zip(rest, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
+            self[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def ids(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
+        """Ids of each text, closed by ``end``."""
+        cut = [None if b"<|" in t else plain_words(TAIL.sub(rb" \1\2", t.lower())) for t in texts]
+        self.learn(set().union(*(words for words in cut if words is not None)))
+        last = np.array([end], np.uint32).tobytes()
+        for text, words in zip(texts, cut):
+            if words is None:
+                found = self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+                yield np.array([*found, end], np.uint32)
+            else:
+                yield np.frombuffer(b"".join((*map(self.__getitem__, words), last)), np.uint32)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 class Writer:
@@ -224,10 +253,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
             if writer is None:
                 store.create_dir(os.path.dirname(path), recursive=True)
                 sink = store.open_output_stream(f"{path}.{attempt}")
-                writer, encoder = Writer(sink), Encoder(tokenizer)
-            encoder.learn(set().union(*map(plain_words, texts)))
-            for t in texts:
-                writer.add(encoder.ids(t, end))
+                writer, encoder = Writer(sink), encoder_of(tokenizer)
+            for ids in encoder.ids(texts, end):
+                writer.add(ids)
             writer.keys.append(batch.column("key"))
         if writer is not None:
             about = writer.close()
@@ -265,5 +293,5 @@ def read_tokens(files: DataFrame, kind: str = "bigint", key: str = "doc_id", wit
                         yield pa.RecordBatch.from_arrays(columns, names=names)
                         start += int(many.sum())
 
-    return (placed.repartition("part").mapInArrow(read, f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return (placed.repartition(max(1, files.count()), "part").mapInArrow(read, f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
             .withColumnRenamed("key", key))
