@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
 from .decontaminate import contaminated
+from .digest import fingerprints
+from .htmltext import extracted
 from .mix import mixed
 from .quality import learn, scored
 from .registry import QUERIES, SQL, query, table  # noqa: F401
@@ -46,7 +48,8 @@ b{i} AS (SELECT {keys}, CAST(part + CASE WHEN NOT filled AND turn <= over_ THEN
 
 MIX_SQL = rf"""
 WITH r AS (SELECT doc_id, CASE WHEN substr(md5(source), 1, 1) < '4' THEN 'web' WHEN substr(md5(source), 1, 1) < '9' THEN 'books' ELSE 'code' END AS domain,
- coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS tokens FROM documents),
+ coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM r GROUP BY ALL),
 {level_sql(0, '', 'domain', "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END")},
 {level_sql(1, 'domain', 'lang', "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 3 ELSE 2 END")},
@@ -80,6 +83,18 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and how much it is like that text and the next document."""
+    return fingerprints(table(spark, folder, "documents"))
+
+
+@query("op4_main_text")
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @query("op5_token_files")
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, written to files and read back."""
