@@ -19,6 +19,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,14 +58,18 @@ def packed(values: np.ndarray) -> list[bytes]:
     odd = (over.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
     head = np.zeros(rows, HEAD)
     head["least"], head["width"], head["patches"] = least, width, odd.sum(1)
+    row, column = np.nonzero(odd)
+    places, values, heads = column.astype("<u2").tobytes(), over[row, column].astype("<u4").tobytes(), head.tobytes()
+    first = np.concatenate(([0], np.cumsum(head["patches"], dtype=np.int64))).tolist()
     out: list[bytes] = [b""] * rows
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
-        bits = ((over[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        body = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
-        for k, i in enumerate(own):
-            places = np.flatnonzero(odd[i])
-            out[i] = head[i].tobytes() + body[k].tobytes() + places.astype("<u2").tobytes() + over[i, places].astype("<u4").tobytes()
+        kind, size = (">u2", 16) if w <= 16 else (">u4", 32)
+        bits = np.unpackbits(over[own].astype(kind).view(np.uint8).reshape(len(own), BLOCK, size // 8), axis=2)[:, :, size - w:]
+        body, step = np.packbits(bits.reshape(len(own), -1), axis=1).tobytes(), BLOCK * w // 8
+        for k, i in enumerate(own.tolist()):
+            a, b = first[i], first[i + 1]
+            out[i] = heads[HEAD.itemsize * i:HEAD.itemsize * (i + 1)] + body[step * k:step * (k + 1)] + places[2 * a:2 * b] + values[4 * a:4 * b]
     return out
 
 
@@ -75,11 +80,12 @@ def unpacked(data: bytes, starts: np.ndarray) -> np.ndarray:
     out = np.zeros((len(starts), BLOCK), np.uint32)
     for w in np.unique(head["width"]):
         own = np.flatnonzero(head["width"] == w)
-        size = BLOCK * int(w) // 8
-        body = raw[starts[own][:, None] + HEAD.itemsize + np.arange(size)]
-        bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
+        body = raw[starts[own][:, None] + HEAD.itemsize + np.arange(BLOCK * int(w) // 8)]
+        bits = np.unpackbits(body, axis=1).reshape(len(own), BLOCK, int(w))
+        values = np.zeros((len(own), BLOCK), np.uint32)
         for b in range(int(w)):
-            out[own] |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+            values |= bits[:, :, b].astype(np.uint32) << np.uint32(int(w) - 1 - b)
+        out[own] = values
     for i in np.flatnonzero(head["patches"]):
         n = int(head["patches"][i])
         first = int(starts[i]) + HEAD.itemsize + BLOCK * int(head["width"][i]) // 8
@@ -106,16 +112,21 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.pieces = self.model.model.tokenize
         size = self.model.get_vocab_size()
         self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
+        new = words.difference(self)
         if len(self) + len(new) > MOST_WORDS:
             self.clear()
-            new = list(words)
+            new = words
+        # a word of ASCII letters is one piece, in the characters of the vocabulary
+        plain = [w for w in new if w.isalpha()]
+        for w in plain:
+            self[w] = array("I", [t.id for t in self.pieces(w.decode())]).tobytes()
         # words of letters alone are one piece each, so the ends of pieces tell them apart in one long text
-        letters = [w for w in new if LETTERS_ONLY.fullmatch(w)]
+        letters = [w for w in new if not w.isalpha() and LETTERS_ONLY.fullmatch(w)]
         for first in range(0, len(letters), 5_000):
             part = letters[first:first + 5_000]
             ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
@@ -126,7 +137,7 @@ class Encoder(dict):
             for w, stop in zip(part, (4 * stops).tolist()):
                 self[w] = raw[at:stop]
                 at = stop
-        rest = [w for w in new if w not in self]
+        rest = list(new.difference(self))
         for w, e in zip(rest, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
             self[w] = np.array(e.ids, np.uint32).tobytes()
 
