@@ -12,6 +12,7 @@ from .htmltext import extracted
 from .mix import mixed
 from .quality import learn, scored
 from .registry import QUERIES, SQL, query, table  # noqa: F401
+from .repeats import without_repeats
 from .shards import sharded
 from .similar import similar
 from .tokenfile import read_tokens, write_tokens
@@ -107,6 +108,20 @@ def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharded(table(spark, folder, "documents"), 24)
 
 
+@query("op8_without_repeats", sql=r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+m AS (SELECT win, min(doc_id) AS least FROM v GROUP BY win),
+c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM v JOIN m USING (win) WHERE doc_id > least) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w) AS x
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(gone) AS p FROM c) AS g WHERE g.doc_id = x.doc_id AND g.p = x.p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def op8_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 13-word windows that an earlier document holds."""
+    return without_repeats(table(spark, folder, "documents"), with_text=False)
+
+
 @query("op9_similar", sql=r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
