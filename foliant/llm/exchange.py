@@ -1,8 +1,9 @@
 """Questions from blocks of documents about names, and answers gathered over all blocks.
 
-A block is a row with a few megabytes of documents. It asks about each of its names once; names are dealt by their upper bits, so that a part of all names meets in
-one task, whose size is set by the number of parts. Rows carry packed arrays, not single names: what is shuffled is one row for each block and part,
-never one for each word. A name that all documents hold is asked for once by each block.
+A block is a group of documents of a few megabytes, by a hash of key and text. It asks about each of its names once; names are dealt by their upper bits,
+so that a part of all names meets in one task, whose size is set by the number of parts. Rows carry packed arrays, not single names: what is shuffled is one row
+for each block and part, never one for each word. A name that all documents hold is asked for once by each block. Names are sorted, so answers
+fit whatever the order in which a block's documents arrive.
 """
 
 from __future__ import annotations
@@ -11,50 +12,49 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, written
+from .common import as_bytes
 
 BLOCK_BYTES = 4_000_000
 #: Bytes of text for each part of the names.
 PART_BYTES = 32_000_000
 
 
-def blocks_of(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as blocks, written once: ``block, keys, texts``. A long text is a block of its own; null keys and texts stay (as null and empty)."""
+class Blocks:
+    """Documents dealt to blocks: rows ``block, key, content``; null texts are empty. ``parts`` is the number of parts for names."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+    def __init__(self, docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES):
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        many = max(1, -(-size // block_bytes))
+        self.parts = max(1, -(-size // part_bytes))
+        self.kind = docs.schema[key].dataType.simpleString()
+        self.docs = docs.select(F.pmod(F.xxhash64(key, text), F.lit(many)).alias("block"), F.col(key).alias("key"), as_bytes(text).alias("content"))
 
-        def out():
-            nonlocal block
-            table = pa.Table.from_batches(held).combine_chunks()
-            offsets = pa.array([0, table.num_rows], pa.int32())
-            block += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block - 1], pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.concat_arrays(table.column(c).chunks)) for c in ("key", "content")]],
-                names=["block", "keys", "texts"])
+    def map(self, handle: Callable, schema: str, **answers: DataFrame) -> DataFrame:
+        """``handle(block, keys, texts, *answers)`` yields record batches; each answer is the joined bytes of its parts, none where the block had no names."""
+        names = list(answers)
 
-        for part, texts in pieces(batches, "content", block_bytes // 4):
-            held.append(part)
-            size += sum(map(len, texts))
-            if size >= block_bytes:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+        def one(table: pa.Table, *got: bytes) -> pa.Table:
+            made = list(handle(table.column("block")[0].as_py(), table.column("key").combine_chunks(), table.column("content").to_pylist(), *got))
+            return pa.Table.from_batches(made)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return written(docs.select(F.col(key).alias("key"), as_bytes(text).alias("content")).mapInArrow(
-        gather, f"block long, keys array<{kind}>, texts array<binary>"), "blocks")
+        if not answers:
+            return self.docs.groupBy("block").applyInArrow(lambda table: one(table), schema)
 
+        def both(table: pa.Table, replies: pa.Table) -> pa.Table:
+            replies = replies.sort_by("part")
+            got = {n: [] for n in names}
+            for what, data in zip(replies.column("what").to_pylist(), replies.column("data").to_pylist()):
+                got[what].append(data)
+            return one(table, *[got[n] for n in names])
 
-def parts_of(docs: DataFrame, text: str) -> int:
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, -(-size // PART_BYTES))
+        union = None
+        for name, reply in answers.items():
+            rows = reply.where("block >= 0").select("block", "part", "data", F.lit(name).alias("what"))
+            union = rows if union is None else union.unionByName(rows)
+        return self.docs.groupBy("block").cogroup(union.groupBy("block")).applyInArrow(both, schema)
 
 
 def packed(names: np.ndarray) -> bytes:
@@ -87,35 +87,20 @@ def asked(extras: int) -> str:
     return "part long, block long, names binary" + "".join(f", x{i} binary" for i in range(extras))
 
 
-def answered(requests: DataFrame, kinds: list, merge: Callable, schema: str = "block long, part long, data binary") -> DataFrame:
-    """Apply ``merge(part, names, extras)``, all lists by block, to each part. It returns an array for each block, aligned with its names."""
+def answered(requests: DataFrame, kinds: list, merge: Callable) -> DataFrame:
+    """Apply ``merge(part, names, extras)``, all lists by block, to each part. It returns the answer to each block as bytes, aligned with its names, and
+    may return the sums of the part, which go out as the answer to block -1."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         names = [unpacked(x) for x in table.column("names").to_pylist()]
         extras = [[np.frombuffer(x, kind) for x in table.column(f"x{i}").to_pylist()] for i, kind in enumerate(kinds)]
-        out = merge(table.column("part")[0].as_py(), names, extras)
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "data": pa.array([x.tobytes() for x in out], pa.binary())})
+        part = table.column("part")[0].as_py()
+        replies, *sums = merge(part, names, extras)
+        return pa.table({"block": pa.array(table.column("block").to_pylist() + [-1] * len(sums), pa.int64()), "part": pa.array([part] * (len(names) + len(sums)), pa.int64()),
+                         "data": pa.array([*replies, *sums], pa.binary())})
 
-    return requests.groupBy("part").applyInArrow(run, schema)
-
-
-def by_block(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
-    """Blocks with the answers to their questions, each as a list of arrays in the order of their parts. A block without names has none."""
-    out = blocks
-    for name, table in answers.items():
-        got = table.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "data"))), lambda x: x["data"]).alias(name))
-        out = out.join(got, "block", "left")
-    return out
-
-
-def documents_in(batches: Iterator[pa.RecordBatch], *answers: str) -> Iterator[tuple]:
-    """Rows of blocks: number, keys (Arrow), texts, and for each answer the joined bytes."""
-    for batch in batches:
-        keys, texts = batch.column("keys"), batch.column("texts")
-        for i in range(batch.num_rows):
-            yield (batch.column("block")[i].as_py(), keys[i].values, texts[i].values.to_pylist(),
-                   *[b"".join(batch.column(a)[i].as_py() or []) for a in answers])
+    return requests.groupBy("part").applyInArrow(run, "block long, part long, data binary")
 
 
 def grouped(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +111,6 @@ def grouped(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
 
 
-def dealt(values: np.ndarray, names: list[np.ndarray]) -> list[np.ndarray]:
+def dealt(values: np.ndarray, names: list[np.ndarray]) -> list[bytes]:
     """Values of all names, by block."""
-    return np.split(values, np.cumsum([len(x) for x in names])[:-1])
+    return [x.tobytes() for x in np.split(values, np.cumsum([len(x) for x in names])[:-1])]

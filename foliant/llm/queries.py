@@ -9,6 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from .decontaminate import contaminated
 from .digest import fingerprints
 from .htmltext import extracted
+from .katz import scored as katz_scored
 from .mix import mixed
 from .quality import learn, scored
 from .registry import QUERIES, SQL, query, table  # noqa: F401
@@ -108,6 +109,12 @@ def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharded(table(spark, folder, "documents"), 24)
 
 
+@query("op7_katz")
+def op7_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document by a model learned from six sevenths of them."""
+    return katz_scored(table(spark, folder, "documents"), lambda key: F.crc32(key.cast("string")) % 7 == 2)
+
+
 @query("op8_without_repeats", sql=r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Names, mixed, plain_words, written
-from .exchange import answered, asked, blocks_of, by_block, dealt, documents_in, grouped, parts_of, requested
+from .exchange import Blocks, answered, asked, dealt, grouped, requested
 
 LEVELS = 4
 #: Runs are named among words only: each naming of runs widens what determines a symbol by a symbol on either side.
@@ -126,10 +126,10 @@ def keys_as_numbers(keys: pa.Array) -> np.ndarray:
     return pa.compute.fill_null(keys.cast(pa.int64()), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
-def candidates(block: Block, keys: np.ndarray, shared: bytes):
+def candidates(block: Block, keys: np.ndarray, shared: list[bytes]):
     """Windows of a block whose anchors occur in several documents: first places, their distinct names and which each has, and the smallest key of each name."""
     names, which = np.unique(block.anchors(), return_inverse=True)
-    flags = np.frombuffer(shared, np.uint8).astype(bool)
+    flags = np.frombuffer(b"".join(shared), np.uint8).astype(bool)
     places = block.starts[flags[which]] if len(names) else block.starts
     one, two = block.windows(places)
     distinct, first, name = np.unique(one, return_index=True, return_inverse=True)
@@ -146,37 +146,33 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     what any keyed document holds and takes nothing from others. Null and short texts lose nothing. An empty table gives no row. Other
     columns are not read.
     """
-    parts = parts_of(docs, text)
-    blocks = blocks_of(docs, key, text)
-
-    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Names()
-        for number, keys, texts in documents_in(batches):
-            block = Block(words, texts, width)
-            names, which = np.unique(block.anchors(), return_inverse=True)
-            order = keys_as_numbers(keys)[block.doc[block.starts]]
-            low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
-            np.minimum.at(low, which, order)
-            np.maximum.at(high, which, order)
-            yield from requested(number, names, parts, (low < high).astype(np.uint8))
-
-    def in_several(part: int, names: list[np.ndarray], extras: list) -> list[np.ndarray]:
+    blocks = Blocks(docs, key, text)
+    parts = blocks.parts
+
+    def ask_anchors(number: int, keys: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        block = Block(Names(), texts, width)
+        names, which = np.unique(block.anchors(), return_inverse=True)
+        order = keys_as_numbers(keys)[block.doc[block.starts]]
+        low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+        np.minimum.at(low, which, order)
+        np.maximum.at(high, which, order)
+        yield from requested(number, names, parts, (low < high).astype(np.uint8))
+
+    def in_several(part: int, names: list[np.ndarray], extras: list) -> tuple:
         order, first = grouped(names)
         many = np.diff(np.append(first, len(order)))
         inside = np.maximum.reduceat(np.concatenate(extras[0])[order], first)
         flags = np.empty(len(order), np.uint8)
         flags[order] = np.repeat((many > 1) | (inside > 0), many)
-        return dealt(flags, names)
+        return (dealt(flags, names),)
 
-    shared = written(answered(blocks.mapInArrow(ask_anchors, asked(1)), [np.uint8], in_several), "anchors")
+    shared = written(answered(blocks.map(ask_anchors, asked(1)), [np.uint8], in_several), "anchors")
 
-    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Names()
-        for number, keys, texts, flags in documents_in(batches, "shared"):
-            _, distinct, second, _, least = candidates(Block(words, texts, width), keys_as_numbers(keys), flags)
-            yield from requested(number, distinct, parts, second, least)
+    def ask_windows(number: int, keys: pa.Array, texts: list[bytes], flags: list[bytes]) -> Iterator[pa.RecordBatch]:
+        _, distinct, second, _, least = candidates(Block(Names(), texts, width), keys_as_numbers(keys), flags)
+        yield from requested(number, distinct, parts, second, least)
 
-    def held_before(part: int, names: list[np.ndarray], extras: list) -> list[np.ndarray]:
+    def held_before(part: int, names: list[np.ndarray], extras: list) -> tuple:
         flat, second, least = np.concatenate(names), np.concatenate(extras[0]), np.concatenate(extras[1])
         order = np.lexsort((second, flat))
         a, b = flat[order], second[order]
@@ -184,31 +180,28 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         smallest = np.repeat(np.minimum.reduceat(least[order], first), np.diff(np.append(first, len(order))))
         flags = np.empty(len(order), np.uint8)
         flags[order] = smallest < least[order]
-        return dealt(flags, names)
-
-    before = written(answered(by_block(blocks, shared=shared).mapInArrow(ask_windows, asked(2)), [np.uint32, np.int64], held_before), "windows")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Names()
-        for _, keys, texts, flags, smaller in documents_in(batches, "shared", "before"):
-            block, order = Block(words, texts, width), keys_as_numbers(keys)
-            places, _, _, name, least = candidates(block, order, flags)
-            gone = np.frombuffer(smaller, np.uint8).astype(bool)[name] | (order[block.doc[places]] > least[name]) if len(places) else np.empty(0, bool)
-            depth = np.zeros(len(block.names) + width + 1, np.int64)
-            np.add.at(depth, places[gone], 1)
-            np.add.at(depth, places[gone] + width, -1)
-            covered = np.cumsum(depth) > 0
-            removed, kept = [], []
-            for i, own in enumerate(block.words):
-                at = int(block.firsts[i])
-                out = covered[at:at + len(own)]
-                lost = int(out.sum())
-                removed.append(lost)
-                kept.append(b" ".join(own if not lost else [w for w, x in zip(own, out.tolist()) if not x]))
-            columns = [keys, pa.array(block.counts), pa.array(removed, pa.int64()), pa.array([sha256(x).hexdigest() for x in kept])]
-            if with_text:
-                columns.append(pa.array([x.decode("utf-8", "replace") for x in kept]))
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
-
-    fields = f"key {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return by_block(blocks, shared=shared, before=before).mapInArrow(cut, fields).withColumnRenamed("key", key)
+        return (dealt(flags, names),)
+
+    before = written(answered(blocks.map(ask_windows, asked(2), shared=shared), [np.uint32, np.int64], held_before), "windows")
+
+    def cut(number: int, keys: pa.Array, texts: list[bytes], flags: list[bytes], smaller: list[bytes]) -> Iterator[pa.RecordBatch]:
+        block, order = Block(Names(), texts, width), keys_as_numbers(keys)
+        places, _, _, name, least = candidates(block, order, flags)
+        elsewhere = np.frombuffer(b"".join(smaller), np.uint8).astype(bool)
+        gone = places[elsewhere[name] | (order[block.doc[places]] > least[name])]
+        depth = np.bincount(gone, minlength=len(block.names) + width + 1) - np.bincount(gone + width, minlength=len(block.names) + width + 1)
+        covered = np.cumsum(depth) > 0
+        removed, kept = [], []
+        for i, own in enumerate(block.words):
+            at = int(block.firsts[i])
+            out = covered[at:at + len(own)]
+            lost = int(out.sum())
+            removed.append(lost)
+            kept.append(b" ".join(own if not lost else [w for w, x in zip(own, out.tolist()) if not x]))
+        columns = [keys, pa.array(block.counts), pa.array(removed, pa.int64()), pa.array([sha256(x).hexdigest() for x in kept])]
+        if with_text:
+            columns.append(pa.array([x.decode("utf-8", "replace") for x in kept]))
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
+
+    fields = f"key {blocks.kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    return blocks.map(cut, fields, shared=shared, before=before).withColumnRenamed("key", key)
