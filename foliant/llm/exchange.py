@@ -19,7 +19,7 @@ from .common import as_bytes
 
 BLOCK_BYTES = 4_000_000
 #: Bytes of text for each part of the names.
-PART_BYTES = 32_000_000
+PART_BYTES = 16_000_000
 
 
 class Blocks:
