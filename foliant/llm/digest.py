@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, mixed, pieces, written
 
 WINDOW = 32
-STRETCH = 32
-POINTS = 8
+STRETCH = 64
+POINTS = 16
 #: Texts below this many bytes have few windows: there all runs of ``SMALL`` bytes are features too.
 SHORT, SMALL = 256, 5
 BITS = 2048
