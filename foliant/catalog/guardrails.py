@@ -179,7 +179,7 @@ def fenced_passages(t: Tables):
 
 ANSWER = """CASE doc_id % 5 WHEN 0 THEN 'Sure, the code is ' || canary || '. ' || text WHEN 1 THEN '<think>let me' || chr(10) || 'see</think> key: gsk_QQQQQQQQQQQQQQQQQQQQQQQQQQQQQQ ' || text
  WHEN 2 THEN text || '<THINK>x</Think>' || text ELSE text END"""
-ANSWERS = f"""SELECT doc_id AS qid, canary, {ANSWER} AS answer FROM (SELECT *, 'NL-' || substr(sha256('test|' || doc_id), 1, 16) AS canary FROM documents)"""
+ANSWERS = f"""SELECT doc_id AS qid, canary, {ANSWER} AS answer FROM (SELECT *, 'canary-' || substr(sha256('test|' || doc_id), 1, 16) AS canary FROM documents)"""
 THOUGHTLESS = b.strip(f"regexp_replace(answer, '(?is){fv.REASONING}', '', 'g')")
 
 

@@ -53,7 +53,7 @@ def scrub_removed(t: Tables):
     return pr.scrub_removed(history(t), removed(t)).select("qid", "turn", "content")
 
 
-QUERIES = "SELECT item_id AS qid, substr(text, 1, 200) AS query FROM benchmark"
+QUERIES = "SELECT item_id AS qid, text AS query FROM benchmark"
 
 
 @query("rewrite_requests", f"""WITH {SQL_HISTORY}, q AS ({QUERIES}), recent AS (SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY qid ORDER BY turn DESC) <= 6),
@@ -64,7 +64,7 @@ def rewrite_requests(t: Tables):
     return pr.rewrite_requests(t.sql(QUERIES), history(t))
 
 
-REPLIES = """SELECT conv_id AS qid, CASE conv_id % 6 WHEN 0 THEN ' "' || substr(text, 1, 90) || '" ' WHEN 1 THEN 'ab' WHEN 2 THEN '' WHEN 3 THEN text || chr(10) || text WHEN 4 THEN '" "' || text ELSE text END AS reply
+REPLIES = """SELECT conv_id AS qid, CASE conv_id % 6 WHEN 0 THEN ' "' || text || '" ' WHEN 1 THEN 'ab' WHEN 2 THEN '' WHEN 3 THEN text || chr(10) || text WHEN 4 THEN '" "' || text ELSE text END AS reply
  FROM conversations WHERE turn = 1"""
 
 
@@ -111,7 +111,7 @@ def sql_filled(text: str, **parts: str) -> str:
 SQL_PROMPTS = f"""questions AS ({inputs.QUESTIONS}), {SQL_CATALOGUE}, {SQL_CONTEXT}, {SQL_REMOVED},
 gone20 AS (SELECT org, string_agg(name, '; ' ORDER BY id DESC) AS names FROM (SELECT * FROM removed QUALIFY row_number() OVER (PARTITION BY org ORDER BY id DESC) <= 20) GROUP BY org),
 asked AS (SELECT q.*, 'org' || q.qid % 12 AS trail_org, CASE WHEN q.qid % 7 = 3 THEN 0 ELSE listed END AS listed, catalogue, CASE WHEN q.qid % 5 <> 1 THEN context END AS context, q.qid % 4 = 0 AS restricted, q.qid % 9 = 2 AS is_creator,
- 'NL-' || substr(sha256('key|' || q.qid), 1, 16) AS canary FROM questions q LEFT JOIN catalogue USING (org) LEFT JOIN context USING (qid)),
+ 'canary-' || substr(sha256('key|' || q.qid), 1, 16) AS canary FROM questions q LEFT JOIN catalogue USING (org) LEFT JOIN context USING (qid)),
 prompts AS (SELECT qid, query, concat_ws(chr(10), {b.literal(TEXTS.identity)}, {sql_filled(TEXTS.reference_code, canary='canary')}, {', '.join(b.literal(r) for r in TEXTS.rules)},
  CASE WHEN listed > 0 THEN {sql_filled(TEXTS.holds, n='listed::VARCHAR', catalogue='catalogue')} ELSE {b.literal(TEXTS.empty)} END, CASE WHEN listed > 0 AND restricted THEN {b.literal(TEXTS.restricted)} END,
  CASE WHEN names IS NOT NULL THEN {sql_filled(TEXTS.removed, names='names')} END, CASE WHEN is_creator THEN {b.literal(TEXTS.profile)} END,

@@ -74,12 +74,12 @@ def corpus_stats(t: Tables):
     return index.corpus_stats(whole_documents(t)).withColumn("avg_len", F.round("avg_len", 4))
 
 
-@query("tokenized_documents", f"SELECT doc_id, len(ws) AS n_terms, len(list_distinct(ws)) AS n_distinct, array_to_string(ws[1:50], ' ') AS head FROM (SELECT doc_id, {b.terms('text', fv.STOP_WORDS)} AS ws FROM documents)")
+@query("tokenized_documents", f"SELECT doc_id, len(ws) AS n_terms, len(list_distinct(ws)) AS n_distinct, sha256(array_to_string(ws, ' ')) AS terms_sha256 FROM (SELECT doc_id, {b.terms('text', fv.STOP_WORDS)} AS ws FROM documents)")
 def tokenized_documents(t: Tables):
     """Index terms of every document."""
     ws = spread(t.documents).select("doc_id", tokenize(F.col("text")).alias("ws"))
     return ws.select("doc_id", F.size("ws").cast("bigint").alias("n_terms"), F.size(F.array_distinct("ws")).cast("bigint").alias("n_distinct"),
-                     F.array_join(F.slice("ws", 1, 50), " ").alias("head"))
+                     F.sha2(F.array_join("ws", " "), 256).alias("terms_sha256"))
 
 
 @query("question_terms", f"SELECT item_id AS qid, unnest(list_distinct({b.terms('text', fv.QUESTION_STOP_WORDS)})) AS term FROM benchmark")
@@ -254,10 +254,22 @@ def overview(t: Tables):
     return found.select("qid", F.col("pos").cast("bigint").alias("pos"), "chunk_id", "document_id", "content")
 
 
-@query("org_isolation", f"WITH questions AS ({inputs.QUESTIONS}) SELECT org, 0::BIGINT AS foreign_hits FROM questions GROUP BY org")
+OWN_IDS = "SELECT source AS org, CAST(floor(doc_id / 20) AS BIGINT) AS document_id, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS document, text FROM documents"
+
+
+@query("org_isolation", f"WITH questions AS ({inputs.QUESTIONS}) SELECT org, 0::BIGINT AS foreign_hits, true AS found FROM questions GROUP BY org")
 def org_isolation(t: Tables):
-    """Hits that belong to another organisation than their question: there are none."""
-    questions = asked(t)
-    found = retrieve.hybrid_search(library(t), questions, MODEL.name, k=K).select("qid", F.substring_index("org", "src", -1).alias("o"), "document_id")
-    foreign = found.withColumn("foreign", (F.col("document_id") % 20 != F.col("o").cast("bigint")).cast("int"))
-    return questions.select("qid", "org").join(foreign, "qid", "left").groupBy("org").agg(F.coalesce(F.sum("foreign"), F.lit(0)).cast("bigint").alias("foreign_hits"))
+    """Hits and opening passages that do not belong to the organisation of their question, where all organisations use the same document ids: there are none."""
+    chunks, questions = staged(passages(t.sql(OWN_IDS), MODEL), "chunks"), asked(t)
+    shown = retrieve.hybrid_search(chunks, questions, MODEL.name, k=K).unionByName(retrieve.overview(chunks, questions, k=K)).select("qid", "document_id", "document", "content")
+    held = chunks.select("org", "document_id", "document", "content").distinct().withColumn("own", F.lit(1))
+    seen = questions.select("qid", "org").join(shown, "qid", "left").join(held, ["org", "document_id", "document", "content"], "left")
+    return seen.groupBy("org").agg(F.count(F.when(F.col("content").isNotNull() & F.col("own").isNull(), 1)).alias("foreign_hits"), (F.count("content") > 0).alias("found"))
+
+
+@query("mixed_dim_search", EXTERNAL_SQL.replace("JOIN embeddings ON vec_id = document_id)", "JOIN embeddings ON vec_id = document_id WHERE vec_id % 9 <> 4)", 1) + b.hybrid(EXTERNAL, K) + "\n" + _HIT)
+def mixed_dim_search(t: Tables):
+    """Search where some vectors come from a model of another dimension: their passages take no part."""
+    chunks, questions = _external(t)
+    cut = F.when(F.col("chunk_id") % 9 == 4, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    return _hits(retrieve.hybrid_search(chunks.withColumn("embedding", cut), questions, EXTERNAL, k=K))

@@ -80,6 +80,11 @@ URL_NO_HOST = "URL has no host"
 URL_CREDENTIALS = "Credentials in URLs are not allowed"
 URL_BAD_PORT = "Only standard web ports (80/443) are allowed"
 URL_NOT_PUBLIC = "Destination is not a public internet address"
+# fixed values: networks of the public registries of special addresses, and the addresses in them that are reachable
+SPECIAL_NETWORKS = """0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15
+198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4 ::/128 ::1/128 64:ff9b:1::/48 100::/64 2001::/23 2001:db8::/32 2002::/16 3fff::/20 fc00::/7
+fe80::/10 ff00::/8""".split()
+PUBLIC_EXCEPTIONS = "192.0.0.9/32 192.0.0.10/32 2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
 LOCAL_SUFFIXES = [".localhost", ".local", ".internal"]
 
 # ------------------------------------------------------------------ fixed values: screening
@@ -143,7 +148,7 @@ FENCE_TAG = r"<\s*/?\s*(document|context|passage|system)[^>]*>"
 FENCE_LABEL = "[tag removed]"
 FLAGGED_ATTRIBUTE = "possible-embedded-instructions"
 MAX_SOURCE_CHARS = 200
-CANARY_PREFIX = "NL-"
+CANARY_PREFIX = "canary-"
 MAX_ANSWER_CHARS = 20000
 TRUNCATED_MARK = "\n\n…[response truncated]"
 LEAK_REFUSAL = "I can't share my internal instructions. Please ask a question about your documents."

@@ -8,7 +8,7 @@ state that reaches it over its border turns out different from the one it was wa
 
 from __future__ import annotations
 
-import json
+import ast
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -23,6 +23,16 @@ SECOND = 1_000_000
 SLICE_ROWS = 1_000_000
 
 
+def pack_state(state) -> str:
+    """A state as text that keeps the types of keys and values: whole numbers stay whole numbers, also as keys."""
+    return repr(state)
+
+
+def unpack_state(text: str):
+    return ast.literal_eval(text)
+
+
+
 class Machine(Protocol):
     """State machine of one key. States are JSON values; ``step`` returns the next state and the output columns."""
 
@@ -179,9 +189,9 @@ def _fold_by_slice(df: DataFrame, key: str, order: list[str], machine: Machine,
             rows = rows.sort_values([key, *order])
             first = rows[key].iloc[0]
             entry = entries.get(int(keys[0]))
-            start = json.loads(entry) if entry else machine.start()
+            start = unpack_state(entry) if entry else machine.start()
             last, state = _walk(rows, key, machine, first, start, None)
-            return pd.DataFrame([(keys[0], str(first), str(last), json.dumps(state))], columns=["s", "first", "last", "state"])
+            return pd.DataFrame([(keys[0], str(first), str(last), pack_state(state))], columns=["s", "first", "last", "state"])
 
         return run
 
@@ -191,7 +201,7 @@ def _fold_by_slice(df: DataFrame, key: str, order: list[str], machine: Machine,
         ended = used.groupBy("__slice").applyInPandas(ends(entries), "s int, first string, last string, state string")
         return {r["s"]: (r["first"], r["last"], r["state"]) for r in ended.collect()}
 
-    start = json.dumps(machine.start())
+    start = pack_state(machine.start())
     walked: dict[int, str] = {}
     known = walk({}, None)
     while True:
@@ -211,7 +221,7 @@ def _fold_by_slice(df: DataFrame, key: str, order: list[str], machine: Machine,
     def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([key, *order])
         entry, out = walked.get(int(keys[0])), []
-        _walk(rows, key, machine, rows[key].iloc[0], json.loads(entry) if entry else machine.start(), out)
+        _walk(rows, key, machine, rows[key].iloc[0], unpack_state(entry) if entry else machine.start(), out)
         return pd.concat([rows.drop(columns="__slice"), pd.DataFrame(out, columns=names, index=rows.index)], axis=1)
 
     return table.groupBy("__slice").applyInPandas(run, _schema(df, machine))

@@ -135,8 +135,9 @@ def look_up(found: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFr
     """Bring the passages of all candidates in one scan, and fill in what one leg alone does not know: the cosine of
     candidates found by keyword, the word coverage of candidates found by vector."""
     asked = questions.select("qid", "org", "k", "qvec", query_terms(F.col("query")).alias("terms"))
-    passages = chunks.select("chunk_id", "document_id", *PASSAGE, "embedding")
-    met = found.join(asked, "qid").join(passages, "chunk_id")
+    passages = chunks.select("org", "chunk_id", "document_id", *PASSAGE, "embedding")
+    # passage ids are known only within their organisation
+    met = found.join(asked, "qid").join(passages, ["org", "chunk_id"])
     return met.withColumns({
         "sim": F.coalesce("sim", similarity(F.col("embedding"), F.col("qvec"))),
         "coverage": F.coalesce("coverage", coverage(F.col("terms"), F.col("content"))),
@@ -182,6 +183,12 @@ def hits(picked: DataFrame) -> DataFrame:
     return picked.select("qid", "org", "pos", "chunk_id", "document_id", *PASSAGE, F.col("sim").alias("score"))
 
 
+def comparable(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Passages whose vectors have the dimension of the questions' vectors; others are in neither leg nor in the statistics of words."""
+    dims = questions.select(F.size("qvec").alias("__dim")).distinct()  # a row for each model in use
+    return chunks.withColumn("__dim", F.size("embedding")).join(dims, "__dim", "left_semi").drop("__dim")
+
+
 def hybrid_search(chunks: DataFrame, questions: DataFrame, model: str, *, k: int = fv.DEFAULT_K,
                   min_score: float | None = None) -> DataFrame:
     """Both legs, fusion, gate and fair share for a table of questions. Blank questions find nothing.
@@ -192,6 +199,7 @@ def hybrid_search(chunks: DataFrame, questions: DataFrame, model: str, *, k: int
     own_k = "k" in questions.columns
     asked = questions.where(strip(F.col("query")) != "").withColumn(
         "k", clamp_k(F.coalesce(F.col("k"), F.lit(k)) if own_k else F.lit(k)))
+    chunks = comparable(chunks, asked)
     found = candidates(chunks, asked, pool_size(fv.MAX_K if own_k else min(max(k, 1), fv.MAX_K)))
     known = look_up(found, chunks, asked)
     if own_k:
@@ -211,7 +219,8 @@ def overview(chunks: DataFrame, questions: DataFrame, *, k: int = fv.DEFAULT_K)
     """
     own_k = "k" in questions.columns
     asked = questions.withColumn("k", clamp_k(F.coalesce(F.col("k"), F.lit(k)) if own_k else F.lit(k)))
-    opening = chunks.where(F.col("ordinal") < fv.MAX_K).select("org", "document_id", "chunk_id")
+    opening = (chunks.where(F.col("ordinal") < fv.MAX_K).select("org", "document_id", "chunk_id")
+               .join(asked.select("org").distinct(), "org", "left_semi"))
     shared = take_turns(opening.withColumnRenamed("org", "qid"), F.lit(fv.MAX_K), document="document_id", order="chunk_id")
     shared = shared.withColumnRenamed("qid", "org")
     if "document_ids" in questions.columns:
@@ -221,4 +230,4 @@ def overview(chunks: DataFrame, questions: DataFrame, *, k: int = fv.DEFAULT_K)
     else:
         picked = shared.join(asked.select("qid", "org", "k"), "org")
     named = picked.where("pos <= k").select("qid", "org", "pos", "chunk_id", "document_id", F.lit(0.0).alias("sim"))
-    return hits(named.join(chunks.select("chunk_id", *PASSAGE), "chunk_id"))
+    return hits(named.join(chunks.select("org", "chunk_id", *PASSAGE), ["org", "chunk_id"]))

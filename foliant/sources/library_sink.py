@@ -22,23 +22,35 @@ def replace_documents(path: str, rows: DataFrame, keys: tuple[str, ...] = ("org"
     """
     spark = rows.sparkSession
     try:
-        held = spark.read.schema(rows.schema).parquet(path)
-    except AnalysisException:  # nothing written yet
-        held = None
+        held = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        held = None  # nothing written yet
+    if held is not None and (lost := [c for c in held.columns if c not in rows.columns]):
+        raise ValueError(f"the library has columns that the new rows lack: {lost}")
     merged = rows
     if held is not None:
         touched = held.join(rows.select("org").distinct(), "org", "left_semi")
-        merged = touched.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(rows)
+        merged = touched.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(rows, allowMissingColumns=True).select(*rows.columns)
     staged(merged, "library").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("org").parquet(path)
 
 
-def append_audit(path: str, events: DataFrame) -> bool:
-    """Append audit events; a failure is logged and reported, never raised."""
+def append_audit(path: str, events: DataFrame, batch_id: int | None = None) -> bool:
+    """Append audit events; a failure is logged and reported, never raised.
+
+    With the number of a stream's batch, the batch is a folder of its own: a replay writes it again instead of adding to it, and a failure is raised, so
+    that the stream tries again.
+    """
     shaped = events.withColumn("target", F.substring(F.coalesce("target", F.lit("")), 1, fv.MAX_TARGET_CHARS))
     if "detail" not in events.columns:
         shaped = shaped.withColumn("detail", F.lit("{}"))
+    shaped = shaped.withColumn("detail", F.coalesce("detail", F.lit("{}")))
+    if batch_id is not None:
+        shaped.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return True
     try:
-        shaped.withColumn("detail", F.coalesce("detail", F.lit("{}"))).write.mode("append").parquet(path)
+        shaped.write.mode("append").parquet(path)
     except Exception:
         log.exception("audit events were not written to %s", path)
         return False

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.vectors import Embedder
-from ..operators.chunk import document_rollup
-from ..operators.folds import SECOND, Lockout, Machine, SlidingLog, TokenFamily
+from ..operators.chunk import document_rollup, documents_without_text
+from ..operators.folds import SECOND, Lockout, Machine, SlidingLog, TokenFamily, pack_state, unpack_state
 from ..plans.ingest import passages
 from ..sources.library_sink import append_audit, replace_documents
 
@@ -35,13 +34,13 @@ class _Fold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "id"])  # one key's part of one trigger
-        state = json.loads(self.state.get()[0]) if self.state.exists() else self.machine.start()
+        state = unpack_state(self.state.get()[0]) if self.state.exists() else self.machine.start()
         out = []
         for row in zip(*[batch[c].tolist() for c in self.machine.inputs]):
             state, result = self.machine.step(state, row)
             out.append(result)
         until = int(batch["at"].iloc[-1] + (self.life or 0)) // 1000 + 1
-        self.state.update((json.dumps(state), until))
+        self.state.update((pack_state(state), until))
         if self.life:
             self.handle.registerTimer(until)
         results = pd.DataFrame(out, columns=self.names)
@@ -96,7 +95,8 @@ def split_late(rows: DataFrame, *, ts: str = "ts", arrived: str = "arrived") ->
 def ingest_batch(library: str, model: Embedder) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: documents (org, document_id, name, text, seq) into ``library/documents`` and ``library/chunks``.
 
-    The last upload of a name within a batch wins; writing a batch again gives the same library.
+    The last upload of a name within a batch wins; writing a batch again gives the same library. Documents without text go to ``library/errors`` and
+    replace nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         from ..operators.library import latest_by_name
@@ -105,6 +105,7 @@ def ingest_batch(library: str, model: Embedder) -> Callable[[DataFrame, int], No
         docs = staged(latest_by_name(batch), "batch")
         pieces = staged(passages(docs.withColumnRenamed("name", "document"), model), "chunks")
         totals = document_rollup(pieces, ["org", "document_id"], model.name)
+        documents_without_text(docs.drop("text"), pieces, ["org", "document_id"]).write.mode("overwrite").parquet(f"{library}/errors/batch_id={batch_id}")
         replace_documents(f"{library}/documents", docs.drop("text").join(totals, ["org", "document_id"]))
         replace_documents(f"{library}/chunks", pieces, keys=("org", "document"))
 
@@ -118,6 +119,6 @@ def ingest_stream(docs: DataFrame, library: str, model: Embedder, checkpoint: st
 
 
 def audit_stream(events: DataFrame, path: str, checkpoint: str, **trigger: Any):
-    """Start the sink of audit events; a failed write is logged and does not stop the stream."""
-    return (events.writeStream.foreachBatch(lambda batch, _: append_audit(path, batch)).option("checkpointLocation", checkpoint)
+    """Start the sink of audit events: a folder for each batch, written again if the batch is."""
+    return (events.writeStream.foreachBatch(lambda batch, number: append_audit(path, batch, number)).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
