@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
+from ..catalog.sql_blocks import CRC
 from .decontaminate import contaminated
 from .digest import fingerprints
 from .htmltext import extracted
@@ -103,7 +104,20 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
-@query("op6_shards")
+SHARD_SQL = f"""
+WITH RECURSIVE {CRC},
+j AS (SELECT doc_id, n, CAST(doc_id AS HUGEINT) AS state, -1::BIGINT AS shard, 0::BIGINT AS ahead FROM documents, (VALUES (24), (25)) AS t(n) UNION ALL
+ SELECT doc_id, n, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT, ahead,
+  floor((ahead + 1)::DOUBLE * (2147483648::DOUBLE / (((state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592::HUGEINT + 1)::DOUBLE))::BIGINT FROM j WHERE ahead < n),
+k AS (SELECT doc_id, max(shard) FILTER (n = 24) AS shard, max(shard) FILTER (n = 25) AS grown_shard FROM j GROUP BY doc_id),
+c AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, x: xor(a >> 8, (crc_table.t)[xor(a & 255, x) + 1])), 4294967295::BIGINT) AS crc
+ FROM documents, crc_table)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot,
+ CAST(grown_shard AS INTEGER) AS grown_shard FROM k JOIN c USING (doc_id)"""
+
+
+@query("op6_shards", sql=SHARD_SQL)
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing."""
     return sharded(table(spark, folder, "documents"), 24)
