@@ -97,7 +97,7 @@ def unpacked(data: bytes, starts: np.ndarray) -> np.ndarray:
 #: Punctuation after a word, up to white space: the tokenizer starts anew there. Only after a letter of ASCII or Latin-1, or a digit.
 TAIL = re.compile(rb"([!-/:-@\[-`{-~])(?:(?<=[a-z0-9][!-/:-@\[-`{-~])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][!-/:-@\[-`{-~]))([!-/:-@\[-`{-~]*)(?=\s|\Z)")
 LETTERS_ONLY = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-MOST_WORDS = 500_000
+MOST_WORDS = 340_000
 
 
 class Encoder(dict):
