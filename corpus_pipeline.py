@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as files of token ids, and what these files hold."""
-    return read_tokens(write_tokens(docs, tokenizer_path("word_bpe_49k.json")))
+    return read_tokens(write_tokens(docs, tokenizer_path("word_bpe_49k.json"), keep_words=False))
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct_texts), ("benchmark", without_benchmark), ("mixture", mixture), ("token_files", token_files)]

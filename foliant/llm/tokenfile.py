@@ -97,7 +97,7 @@ def unpacked(data: bytes, starts: np.ndarray) -> np.ndarray:
 #: Punctuation after a word, up to white space: the tokenizer starts anew there. Only after a letter of ASCII or Latin-1, or a digit.
 TAIL = re.compile(rb"([!-/:-@\[-`{-~])(?:(?<=[a-z0-9][!-/:-@\[-`{-~])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][!-/:-@\[-`{-~]))([!-/:-@\[-`{-~]*)(?=\s|\Z)")
 LETTERS_ONLY = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-MOST_WORDS = 340_000
+MOST_WORDS = 500_000
 
 
 class Encoder(dict):
@@ -243,13 +243,14 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_id", text: str = "text", file_bytes: int = 32_000_000,
-                 folder: str | None = None) -> DataFrame:
+                 folder: str | None = None, keep_words: bool = True) -> DataFrame:
     """Encode all texts, in ascending order of ``key``, into files below ``folder`` (default: the shared one). Returns the table of files:
     ``part, file, docs, ids, bytes``, parts in the order of keys.
 
     ``end`` closes each document. A null or empty text is that id alone. Null keys come first; repeated keys are in the order of a hash of their text.
     A file holds about ``file_bytes`` of text; a task holds a few blocks and one text at a time. A task that runs again writes the same
-    file and puts it in place only when it is whole. An empty table gives no file. Other columns are not read.
+    file and puts it in place only when it is whole. Workers keep the words they met for their next task, unless ``keep_words`` is false: then that memory is
+    free for other steps. An empty table gives no file. Other columns are not read.
     """
     folder = folder or f"{shared_folder(docs.sparkSession)}/foliant/{uuid.uuid4().hex}/tokens"
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -272,6 +273,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
             about = writer.close()
             sink.close()
             store.move(f"{path}.{attempt}", path)
+            if not keep_words:
+                encoder.clear()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [about["docs"]], "ids": [about["ids"]], "bytes": [about["bytes"]]})
 
     return written(given.repartitionByRange(files, "key", "hash").sortWithinPartitions("key", "hash").select("key", "content")
