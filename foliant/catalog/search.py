@@ -1,5 +1,7 @@
 """Queries over passages, index tables and retrieval."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -7,8 +9,9 @@ from ..functions.text import query_terms, tokenize
 from ..functions.vectors import hash_embedder
 from ..operators import chunk, embed, index, retrieve
 from ..operators.dense import dense_topk as search_vectors
+from ..plans import search_index
 from ..plans.ingest import passages
-from ..session import spread, staged
+from ..session import shared_folder, spread, staged
 from . import inputs
 from . import sql_blocks as b
 from .registry import Tables, query
@@ -31,7 +34,7 @@ def whole_documents(t: Tables):
 
 def library(t: Tables):
     """The library, staged as a table as intake would leave it."""
-    return staged(passages(t.sql(inputs.LIBRARY), MODEL), "chunks")
+    return staged(passages(t.spread(inputs.LIBRARY), MODEL), "chunks")
 
 
 def asked(t: Tables):
@@ -103,7 +106,7 @@ _SUMMED = """count(slot) AS nonzero, coalesce(sum(CASE WHEN v > 0 THEN slot END)
 @query("hash_vectors", PASSAGES + VECTORS + f"SELECT chunk_id, {_SUMMED.format(dim=384)} FROM chunks LEFT JOIN cvec USING (chunk_id) GROUP BY chunk_id")
 def hash_vectors(t: Tables):
     """Hashed vectors of all passages."""
-    return _summary(passages(t.sql(inputs.LIBRARY), MODEL).select("chunk_id", "embedding"), "chunk_id")
+    return _summary(passages(t.spread(inputs.LIBRARY), MODEL).select("chunk_id", "embedding"), "chunk_id")
 
 
 @query("embed_distinct", f"WITH {b.CRC}, {b.hash_vectors('documents', 'doc_id', 'text', 'cvec')} SELECT doc_id, {_SUMMED.format(dim=384)} FROM documents LEFT JOIN cvec USING (doc_id) GROUP BY doc_id")
@@ -203,14 +206,17 @@ def relevance_gate(t: Tables):
 
 EXTERNAL = "remote:table"
 EXTERNAL_SQL = f"""WITH questions AS ({inputs.QUESTIONS}),
-chunks AS (SELECT org, document_id AS chunk_id, document_id, document, 0 AS ordinal, text AS content FROM ({inputs.LIBRARY}) JOIN embeddings ON vec_id = document_id),
-cvec AS (SELECT vec_id AS chunk_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS slot FROM embeddings),
+chunks AS (SELECT org, document_id AS chunk_id, document_id, document, 0 AS ordinal, text AS content FROM ({inputs.LIBRARY})),
+unknown AS (SELECT chunk_id, content FROM chunks WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings)), {b.CRC}, {b.hash_vectors('unknown', 'chunk_id', 'content', 'made', 64)},
+cvec AS (SELECT vec_id AS chunk_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS slot FROM embeddings UNION ALL SELECT chunk_id, v, slot + 1 FROM made),
 qvec AS (SELECT vec_id AS qid, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS slot FROM embeddings JOIN benchmark ON item_id = vec_id),
 """
 
 
 def _external(t: Tables):
-    chunks = whole_documents(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    given = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    documents = whole_documents(t)
+    chunks = documents.join(given, "chunk_id").unionByName(embed.embed(documents.join(given, "chunk_id", "left_anti"), hash_embedder(64)))
     questions = t.sql(inputs.QUESTIONS).join(t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
     return chunks, questions
 
@@ -260,16 +266,52 @@ OWN_IDS = "SELECT source AS org, CAST(floor(doc_id / 20) AS BIGINT) AS document_
 @query("org_isolation", f"WITH questions AS ({inputs.QUESTIONS}) SELECT org, 0::BIGINT AS foreign_hits, true AS found FROM questions GROUP BY org")
 def org_isolation(t: Tables):
     """Hits and opening passages that do not belong to the organisation of their question, where all organisations use the same document ids: there are none."""
-    chunks, questions = staged(passages(t.sql(OWN_IDS), MODEL), "chunks"), asked(t)
+    chunks, questions = staged(passages(t.spread(OWN_IDS), MODEL), "chunks"), asked(t)
     shown = retrieve.hybrid_search(chunks, questions, MODEL.name, k=K).unionByName(retrieve.overview(chunks, questions, k=K)).select("qid", "document_id", "document", "content")
     held = chunks.select("org", "document_id", "document", "content").distinct().withColumn("own", F.lit(1))
     seen = questions.select("qid", "org").join(shown, "qid", "left").join(held, ["org", "document_id", "document", "content"], "left")
     return seen.groupBy("org").agg(F.count(F.when(F.col("content").isNotNull() & F.col("own").isNull(), 1)).alias("foreign_hits"), (F.count("content") > 0).alias("found"))
 
 
-@query("mixed_dim_search", EXTERNAL_SQL.replace("JOIN embeddings ON vec_id = document_id)", "JOIN embeddings ON vec_id = document_id WHERE vec_id % 9 <> 4)", 1) + b.hybrid(EXTERNAL, K) + "\n" + _HIT)
+@query("mixed_dim_search", EXTERNAL_SQL.replace(f"FROM ({inputs.LIBRARY}))", f"FROM ({inputs.LIBRARY}) WHERE document_id % 9 <> 4)", 1) + b.hybrid(EXTERNAL, K) + "\n" + _HIT)
 def mixed_dim_search(t: Tables):
     """Search where some vectors come from a model of another dimension: their passages take no part."""
     chunks, questions = _external(t)
     cut = F.when(F.col("chunk_id") % 9 == 4, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
     return _hits(retrieve.hybrid_search(chunks.withColumn("embedding", cut), questions, EXTERNAL, k=K))
+
+
+def _folder(t: Tables) -> str:
+    return f"{shared_folder(t.spark)}/foliant/{uuid.uuid4().hex}/index"
+
+
+@query("indexed_search", PASSAGES + VECTORS + b.hybrid(MODEL.name, K) + "\n" + _HIT)
+def indexed_search(t: Tables):
+    """Hybrid search over a stored index, which was built for all organisations."""
+    path = _folder(t)
+    search_index.refresh(path, library(t), MODEL, 1)
+    return _hits(search_index.indexed_search(t.spark, path, asked(t), MODEL, k=K))
+
+
+# the library as it was before: two organisations fewer, one without its English documents, one that is gone by now
+BEFORE = """SELECT * FROM ({lib}) AS l WHERE org NOT IN ('src3', 'src7') AND NOT (org = 'src5' AND document_id % 2 = 1)
+ UNION ALL SELECT 'gone' AS org, document_id, document, text FROM ({lib}) AS l WHERE org = 'src3'""".format(lib=inputs.LIBRARY)
+_OLD = f"(SELECT org, count(*) AS n, max(document_id) AS m FROM ({BEFORE}) GROUP BY org)"
+
+
+@query("rebuild_stale", WHOLE + b.keyword_leg(POOL) + f""", now AS (SELECT org, count(*) AS n, max(document_id) AS m FROM chunks GROUP BY org), old AS {_OLD},
+met AS (SELECT coalesce(now.org, old.org) AS org, now.n, CASE WHEN now.n = old.n AND now.m = old.m THEN 'kept' WHEN now.org IS NULL THEN 'drop' WHEN old.org IS NULL THEN 'build' ELSE 'rebuild' END AS action
+ FROM now FULL JOIN old ON now.org = old.org)
+SELECT org, action, coalesce(met.n, 0) AS passages, CASE WHEN action = 'kept' THEN 1 WHEN action = 'drop' THEN 0 ELSE 2 END AS version, coalesce(o.postings, 0) AS postings, coalesce(o.occurrences, 0) AS occurrences
+FROM met LEFT JOIN (SELECT org, count(*) AS postings, sum(tf)::BIGINT AS occurrences FROM (SELECT org, chunk_id, term, any_value(tf) AS tf FROM postings GROUP BY ALL) WHERE (org, term) IN (SELECT (org, term) FROM asked) GROUP BY org) o USING (org)""")
+def rebuild_stale(t: Tables):
+    """A stored index that follows its library: what the second refresh did with every organisation, and what a search then reads of it."""
+    path, questions = _folder(t), t.spread(inputs.QUESTIONS)
+    whole = lambda sql: embed.embed(t.spread(sql).select(
+        "org", F.col("document_id").alias("chunk_id"), "document_id", "document", F.col("text").alias("content")), MODEL)
+    search_index.refresh(path, whole(BEFORE), MODEL, 1)
+    actions = search_index.refresh(path, whole(inputs.LIBRARY), MODEL, 2)
+    read = search_index.opened(t.spark, path, questions).posted.groupBy("org").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+    known = search_index.stamps(t.spark, path).select("org", F.col("chunks").alias("passages"), "version").join(actions, "org", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return known.join(read, "org", "left").select("org", F.coalesce("action", F.lit("kept")).alias("action"), zero("passages"), zero("version"), zero("postings"), zero("occurrences"))

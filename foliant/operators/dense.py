@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BLOCK = 256
 SPREAD = 16
 SCORE_DIGITS = 6
-HELD_QUESTIONS = 20_000  # questions a task keeps results of before it passes them on
+HELD_ROWS = 1_000_000  # results a task keeps before it passes them on; how many does not change the ranking
 
 
 def pack(vectors: DataFrame, id_col: str, vector: str, block: int = BLOCK) -> DataFrame:
@@ -40,38 +40,42 @@ def pack(vectors: DataFrame, id_col: str, vector: str, block: int = BLOCK) -> Da
     return rows.mapInPandas(run, "org string, dim int, ids binary, matrix binary")
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:pool]
-    return ids[order], scores[order]
+def _cut(keys: np.ndarray, ids: np.ndarray, sims: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``pool`` of every question, equal scores by passage id."""
+    order = np.lexsort((ids, -sims, keys))
+    keys, ids, sims = keys[order], ids[order], sims[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    place = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+    kept = place < pool
+    return keys[kept], ids[kept], sims[kept]
+
+
+def _score_blocks(pool: int) -> callable:
+    def best(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of one block of questions against all passages it meets in a batch: at least the best ``pool`` of each question."""
+        dim = int(group["dim"].iloc[0])
+        ids = np.frombuffer(b"".join(group["ids"]), np.int64)
+        keys = np.frombuffer(group["qids"].iloc[0], np.int64)
+        right = np.frombuffer(group["qmatrix"].iloc[0], np.float32).reshape(len(keys), dim).astype(np.float64)
+        left = np.frombuffer(b"".join(group["matrix"]), np.float32).reshape(len(ids), dim).astype(np.float64)
+        sims = np.round(right @ left.T, SCORE_DIGITS) + 0.0
+        if len(ids) <= pool:
+            return np.repeat(keys, len(ids)), np.tile(ids, len(keys)), sims.ravel()
+        least = np.partition(sims, len(ids) - pool, axis=1)[:, len(ids) - pool]
+        row, column = np.nonzero(sims >= least[:, None])
+        return _cut(keys[row], ids[column], sims[row, column], pool)
 
-
-def _score_blocks(pool_of_k) -> callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def release() -> pd.DataFrame:
-            frame = pd.DataFrame({
-                "qkey": np.repeat(np.fromiter(held, np.int64, len(held)), [len(i) for i, _ in held.values()]),
-                "chunk_id": np.concatenate([i for i, _ in held.values()]),
-                "sim": np.concatenate([s for _, s in held.values()]),
-            })
-            held.clear()
-            return frame
-
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        frame = lambda kept: pd.DataFrame({"qkey": kept[0], "chunk_id": kept[1], "sim": kept[2]})
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids = np.frombuffer(row.ids, np.int64)
-                keys = np.frombuffer(row.qids, np.int64)
-                left = np.frombuffer(row.matrix, np.float32).reshape(len(ids), row.dim).astype(np.float64)
-                right = np.frombuffer(row.qmatrix, np.float32).reshape(len(keys), row.dim).astype(np.float64)
-                sims = np.round(right @ left.T, SCORE_DIGITS) + 0.0
-                for key, line in zip(keys.tolist(), sims):
-                    i, s = held.get(key, (ids[:0], line[:0]))
-                    held[key] = _best(np.concatenate([i, ids]), np.concatenate([s, line]), pool_of_k)
-            if len(held) > HELD_QUESTIONS:
-                yield release()
-        if held:
-            yield release()
+            parts = [best(group) for _, group in batch.groupby(["dim", "qids"], sort=False)]
+            held = _cut(*[np.concatenate(x) for x in zip(held, *parts)], pool)
+            if len(held[0]) > HELD_ROWS:
+                yield frame(held)
+                held = tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield frame(held)
 
     return run
 

@@ -91,7 +91,7 @@ class Lockout:
 
 
 class TokenFamily:
-    """Use of refresh tokens. A rotated token may be used again for 10 seconds; later use revokes the family."""
+    """Use of refresh tokens, for streams. A rotated token may be used again for 10 seconds; later use revokes the family."""
 
     inputs = ["at", "token", "expires_at"]
     outputs = "outcome string"
@@ -112,7 +112,8 @@ class TokenFamily:
             return [rotated, True], ("reuse",)
         if expires <= now:
             return state, ("expired",)
-        return [{**rotated, token: now}, revoked], ("rotated",)
+        rotated[token] = now
+        return [rotated, revoked], ("rotated",)
 
 
 class StorageQuota:
@@ -242,9 +243,23 @@ def lockout(attempts: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
     return ordered_fold(attempts, "user_id", ["at", "id"], Lockout(), slice_rows=slice_rows)
 
 
-def token_reuse(uses: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Token uses (family, at, id, token, expires_at) with ``outcome``."""
-    return ordered_fold(uses, "family", ["at", "id"], TokenFamily(), slice_rows=slice_rows)
+def token_reuse(uses: DataFrame, *, grace: int = fv.REUSE_GRACE_SECONDS) -> DataFrame:
+    """Token uses (family, at, id, token, expires_at) with ``outcome``, as :class:`TokenFamily` gives it, without walking a family.
+
+    A token is rotated by its first use that has not expired, and a family is revoked by its first use of a rotated token after the grace. Both are
+    minima that combine before the shuffle; uses then meet them in joins that Spark can split, so a family may hold any number of rows.
+    """
+    use = F.struct("at", "id")
+    turned = uses.where("expires_at > at").groupBy("family", "token").agg(F.min(use).alias("turned"))
+    met = uses.join(turned, ["family", "token"], "left")
+    again = F.coalesce(F.col("turned") < use, F.lit(False))
+    late = F.col("at") - F.col("turned.at") > grace * SECOND
+    revoked = met.where(again & late).groupBy("family").agg(F.min(use).alias("revoked"))
+    # a token first used after the revocation is not rotated any more
+    known = again & (F.col("revoked").isNull() | (F.col("turned") < F.col("revoked")))
+    after = F.coalesce(F.col("revoked") < use, F.lit(False))
+    outcome = (F.when(known & ~late, "benign").when(known | after, "reuse").when(F.col("expires_at") <= F.col("at"), "expired").otherwise("rotated"))
+    return met.join(revoked, "family", "left").select(*[f"`{c}`" for c in uses.columns], outcome.alias("outcome"))
 
 
 def storage_admission(uploads: DataFrame, *, limit: int = fv.MAX_ORG_BYTES, slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -61,11 +61,11 @@ def rank_keyword(scored: DataFrame, pool: int) -> DataFrame:
     return scored.withColumn("lexical_rank", F.row_number().over(order)).where(F.col("lexical_rank") <= pool)
 
 
-def bm25_topk(chunks: DataFrame, questions: DataFrame, pool: int) -> DataFrame:
+def bm25_topk(chunks: DataFrame, questions: DataFrame, pool: int, *, posted: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """``qid, chunk_id, bm25, coverage, lexical_rank``: keyword leg. Restricted questions see only their documents,
-    but document frequencies and lengths stay those of the organisation."""
+    but document frequencies and lengths stay those of the organisation. Postings and statistics are made here unless an index gives them."""
     terms = explode_terms(questions)
-    parts = bm25_parts(terms, postings(chunks, terms=terms), corpus_stats(chunks))
+    parts = bm25_parts(terms, postings(chunks, terms=terms) if posted is None else posted, corpus_stats(chunks) if corpus is None else corpus)
     if "document_ids" in questions.columns:
         limited = questions.select("qid", F.col("document_ids").isNotNull().alias("limited"))
         allowed = restricted_chunks(chunks, questions).select("qid", "chunk_id").withColumn("allowed", F.lit(True))
@@ -103,10 +103,10 @@ def similarity(left: Column, right: Column) -> Column:
     return F.round(inner_product(left, right), SCORE_DIGITS) + F.lit(0.0)
 
 
-def candidates(chunks: DataFrame, questions: DataFrame, pool: int) -> DataFrame:
+def candidates(chunks: DataFrame, questions: DataFrame, pool: int, **index: DataFrame | None) -> DataFrame:
     """``qid, chunk_id, sim, coverage, dense_rank, lexical_rank``: passages either leg ranks within ``pool``."""
     none = lambda kind: F.lit(None).cast(kind)
-    keyword = bm25_topk(chunks, questions, pool).select(
+    keyword = bm25_topk(chunks, questions, pool, **index).select(
         "qid", "chunk_id", none("double").alias("sim"), "coverage", none("int").alias("dense_rank"), "lexical_rank")
     nearest = dense_leg(chunks, questions, pool).select(
         "qid", "chunk_id", "sim", none("double").alias("coverage"), "dense_rank", none("int").alias("lexical_rank"))
@@ -189,18 +189,18 @@ def comparable(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return chunks.withColumn("__dim", F.size("embedding")).join(dims, "__dim", "left_semi").drop("__dim")
 
 
-def hybrid_search(chunks: DataFrame, questions: DataFrame, model: str, *, k: int = fv.DEFAULT_K,
-                  min_score: float | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, questions: DataFrame, model: str, *, k: int = fv.DEFAULT_K, min_score: float | None = None,
+                  posted: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Both legs, fusion, gate and fair share for a table of questions. Blank questions find nothing.
 
     With a ``k`` per question, the legs rank within the pool of the largest k allowed and the question's own pool
-    cuts afterwards.
+    cuts afterwards. ``posted`` and ``corpus`` come from a stored index of ``chunks``, which then holds one dimension only.
     """
     own_k = "k" in questions.columns
     asked = questions.where(strip(F.col("query")) != "").withColumn(
         "k", clamp_k(F.coalesce(F.col("k"), F.lit(k)) if own_k else F.lit(k)))
-    chunks = comparable(chunks, asked)
-    found = candidates(chunks, asked, pool_size(fv.MAX_K if own_k else min(max(k, 1), fv.MAX_K)))
+    chunks = comparable(chunks, asked) if posted is None else chunks
+    found = candidates(chunks, asked, pool_size(fv.MAX_K if own_k else min(max(k, 1), fv.MAX_K)), posted=posted, corpus=corpus)
     known = look_up(found, chunks, asked)
     if own_k:
         pool = F.greatest(F.lit(fv.MIN_POOL), 6 * F.col("k"))

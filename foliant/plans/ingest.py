@@ -10,7 +10,6 @@ from ..functions.text import content_words
 from ..functions.vectors import Embedder
 from ..operators.chunk import chunk_documents
 from ..operators.embed import embed, embed_distinct
-from ..session import spread
 
 ORDINALS = 1_000_000  # room for the passages of one document in a passage id
 
@@ -27,7 +26,7 @@ def passages(docs: DataFrame, model: Embedder, *, costly: bool = False) -> DataF
     Everything happens where the rows are. With a ``costly`` model, each distinct text is embedded once, which takes
     a shuffle.
     """
-    cut = chunk_documents(spread(docs.select("org", "document_id", "document", "text")))
+    cut = chunk_documents(docs.select("org", "document_id", "document", "text"))
     numbered = cut.select(
         "org", passage_id(F.col("document_id"), F.col("ordinal")).alias("chunk_id"), "document_id", "document",
         F.lit(None).cast("int").alias("page"), "ordinal", "content", F.size(content_words(F.col("content"))).alias("doc_len"))

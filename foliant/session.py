@@ -52,6 +52,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input that arrives in few partitions one per core; large inputs pass without a shuffle."""
+    """Give a small table that is read from few files one partition per core; large tables pass without a shuffle. For plain scans: a plan with
+    shuffles would run to be counted."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
