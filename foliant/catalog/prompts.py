@@ -10,10 +10,10 @@ from ..operators.library import catalogue, latest_by_name
 from ..plans import answer as plan
 from . import inputs
 from . import sql_blocks as b
-from .guardrails import sql_fenced, sql_norm, sql_secrets, sql_strip_clean
+from .guardrails import sql_fenced, sql_kinds, sql_norm, sql_secrets, sql_strip_clean
 from .library import SQL_CATALOGUE, SQL_REMOVED, removed
 from .registry import Tables, query
-from .search import MODEL, library, whole_documents
+from .search import K, MODEL, VECTORS, library, whole_documents
 
 # requests: the first turn of a conversation is the question, the conversation its history
 REQUESTS = """SELECT conv_id AS qid, 'src' || CAST(conv_id % 20 AS STRING) AS org, CASE conv_id % 40 WHEN 7 THEN '' WHEN 9 THEN repeat(text, 200) ELSE text END AS query, conv_id % 130 AS n_ids FROM conversations WHERE turn = 0"""
@@ -161,12 +161,12 @@ ASKED = f"""SELECT item_id AS qid, 'src' || CAST(item_id % 20 AS STRING) AS org,
  WHEN 4 THEN text || ' key gsk_ZZZZZZZZZZZZZZZZZZZZZZZZZZZZZZ' ELSE text END AS query FROM benchmark"""
 
 
-def answered(t: Tables):
+def answered(t: Tables, answers: str = ANSWERS):
     chunks = library(t)
     names = t.sql("SELECT source AS org, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS name, 'txt' AS kind, 0 AS pages FROM documents")
     nothing = names.select("org", "name", F.lit(0).alias("id")).where(F.lit(False))
     first = plan.prompt_questions(chunks, t.sql(ASKED), catalogue(names), nothing, MODEL, key="key")
-    return plan.finish_answers(first, t.sql(ANSWERS))
+    return plan.finish_answers(first, t.sql(answers))
 
 
 FLAGS = f"""asked AS ({ASKED}), c AS (SELECT qid, org, {sql_strip_clean('query')} AS clean FROM asked), n AS (SELECT *, {sql_norm('clean')} AS norm FROM c), answers AS ({ANSWERS}),
@@ -184,15 +184,56 @@ def answer_batch(t: Tables):
     return final.select("qid", "answer", F.col("blocked").cast("bigint").alias("blocked"), F.array_join("flags", ",").alias("flags"), F.array_join("serious", ",").alias("serious"))
 
 
-@query("answer_sources")
+# the flow of the questions that are searched for: redacted, neither about the assistant nor about the library
+SQL_ROUTED = f"""q0 AS ({ASKED}), q1 AS (SELECT qid, org, {sql_strip_clean('query')} AS clean FROM q0), q2 AS (SELECT *, {sql_norm('clean')} AS norm0 FROM q1),
+q3 AS (SELECT qid, org, regexp_replace(clean, {b.quoted(dict(fv.SECRET_PATTERNS)['groq_key'])}, '[REDACTED_GROQ_KEY]', 'g') AS query FROM q2
+ WHERE clean <> '' AND NOT regexp_matches(norm0, {b.quoted(fv.INPUT_RULES[0][1])})),
+q4 AS (SELECT *, {sql_norm('query')} AS norm FROM q3), q5 AS (SELECT qid, org, query, {sql_kinds('query')} FROM q4),
+questions AS (SELECT qid, org, query, is_overview FROM q5 WHERE is_identity = 0 AND is_library = 0 AND org IN (SELECT org FROM lib))"""
+
+
+@query("answer_sources", f"""WITH lib AS ({inputs.LIBRARY}), {SQL_ROUTED}, {b.passages()}, {VECTORS}{b.hybrid(MODEL.name, K)},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS turn, min(chunk_id) OVER (PARTITION BY document_id) AS f FROM chunks),
+shown AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY turn, f) AS pos FROM firsts QUALIFY pos <= {K}),
+hits AS (SELECT p.qid, p.pos, c.document, c.content, p.sim AS score FROM picked p JOIN chunks c ON c.chunk_id = p.chunk_id
+ UNION ALL SELECT q.qid, s.pos, s.document, s.content, 0.0 FROM questions q JOIN shown s USING (org) WHERE is_overview = 1 AND q.qid NOT IN (SELECT qid FROM picked)),
+said AS (SELECT qid, lower({b.strip(f"regexp_replace(answer, '(?is){fv.REASONING}', '', 'g')")}) AS low FROM ({ANSWERS})),
+cited AS (SELECT h.*, low, contains(low, lower(document)) AS cited FROM hits h JOIN said USING (qid)),
+used AS (SELECT * FROM (SELECT *, bool_or(cited) OVER (PARTITION BY qid) AS any_cited FROM cited) WHERE cited OR (NOT any_cited AND NOT regexp_matches(low, {b.quoted(fv.NO_ANSWER)}))),
+{sql_secrets('used', 'qid, pos, document, score', 'content')}
+SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY pos))::INT AS id, document, NULL::INT AS page, left(text, {fv.SNIPPET_CHARS}) AS snippet, round(score::DOUBLE, 4) AS score FROM redacted""")
 def answer_sources(t: Tables):
     """Sources of all answers of the whole flow."""
     _, sources = answered(t)
     return sources
 
 
-@query("audit_events", f"""WITH {FLAGS} SELECT org, CASE WHEN blocked THEN 'chat.blocked' ELSE 'chat.flagged' END AS action, count(*) AS n FROM j JOIN redacted USING (qid) WHERE blocked OR secret OR found <> '' GROUP BY ALL""")
+FAILING = f"SELECT *, CASE WHEN qid % 7 = 5 THEN 504 WHEN qid % 7 = 6 THEN 429 END AS status FROM ({ANSWERS}) AS a"
+
+
+@query("audit_events", f"""WITH {FLAGS}, e AS (SELECT org, blocked, secret, found, NOT blocked AND qid % 7 IN (5, 6) AS failed, qid % 7 AS m FROM j JOIN redacted USING (qid))
+SELECT org, CASE WHEN failed THEN 'chat.error' WHEN blocked THEN 'chat.blocked' ELSE 'chat.flagged' END AS action, CASE WHEN failed THEN CASE m WHEN 5 THEN 504 ELSE 429 END END AS status, count(*) AS n
+FROM e WHERE blocked OR failed OR secret OR found <> '' GROUP BY ALL""")
 def audit_events(t: Tables):
-    """Audit events of blocked and flagged questions."""
-    final, _ = answered(t)
-    return plan.audit_events(final, F.current_timestamp()).groupBy("org", "action").agg(F.count("*").alias("n"))
+    """Audit events of failed, blocked and flagged questions."""
+    final, _ = answered(t, FAILING)
+    events = plan.audit_events(final, F.current_timestamp())
+    status = F.get_json_object("detail", "$.status").cast("int").alias("status")
+    return events.groupBy("org", "action", status).agg(F.count("*").alias("n"))
+
+
+@query("conversation_flow", f"""WITH lib AS ({inputs.LIBRARY}), q0 AS ({ASKED}), c0 AS (SELECT qid, org, {sql_strip_clean('query')} AS clean FROM q0), c1 AS (SELECT *, {sql_norm('clean')} AS norm FROM c0),
+admitted AS (SELECT qid, org, regexp_replace(clean, {b.quoted(dict(fv.SECRET_PATTERNS)['groq_key'])}, '[REDACTED_GROQ_KEY]', 'g') AS query FROM c1 WHERE clean <> '' AND NOT regexp_matches(norm, {b.quoted(fv.INPUT_RULES[0][1])})),
+{SQL_HISTORY}, {SQL_REMOVED}, pats AS (SELECT replace(org, 'org', 'src') AS org, '(?i)' || string_agg(regexp_escape(name), '|' ORDER BY length(name) DESC, name) AS pat FROM removed GROUP BY org),
+past AS (SELECT a.qid, count(*) AS n, string_agg(h.role || '>' || CASE WHEN pat IS NULL THEN content ELSE regexp_replace(content, pat, '{fv.REMOVED_LABEL}', 'g') END, chr(10) ORDER BY turn) AS past
+ FROM admitted a JOIN history h USING (qid) LEFT JOIN pats p ON p.org = a.org GROUP BY a.qid),
+f AS (SELECT qid, regexp_extract(trim({b.strip('reply')}, '"'), '^([^\\n\\r\\x0b\\x0c]*)', 1) AS first FROM ({REPLIES}))
+SELECT a.qid, CASE WHEN n > 0 AND length(first) >= 3 THEN left(first, 300) ELSE query END AS search_query, 2 + coalesce(n, 0) AS n,
+ CASE WHEN past IS NULL THEN '' ELSE past || chr(10) END || 'user>' || query AS text FROM admitted a LEFT JOIN past USING (qid) LEFT JOIN f USING (qid)""")
+def conversation_flow(t: Tables):
+    """The whole flow of questions that follow earlier turns: what is searched for and the messages for the model, without the prompt."""
+    names = t.sql("SELECT source AS org, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS name, 'txt' AS kind, 0 AS pages FROM documents")
+    gone = removed(t).withColumn("org", F.replace("org", F.lit("org"), F.lit("src")))
+    first = plan.prompt_questions(library(t), t.sql(ASKED), catalogue(names), gone, MODEL, key="key", turns=t.spread(HISTORY).drop("org"), replies=t.sql(REPLIES))
+    line = F.transform(F.slice("messages", 2, F.size("messages")), lambda m: F.concat(m["role"], F.lit(">"), m["content"]))
+    return first.prompts.select("qid", "search_query", F.size("messages").cast("bigint").alias("n"), F.array_join(line, "\n").alias("text"))
