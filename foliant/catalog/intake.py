@@ -1,5 +1,7 @@
 """Queries over sources and intake."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -7,7 +9,7 @@ from ..functions.text import clean_layout, safe_name
 from ..functions.urls import url_rejection
 from ..sources import files as src
 from ..sources.pages import NO_PAGE_TEXT, page_intake
-from ..session import staged
+from ..session import shared_folder, staged
 from . import sql_blocks as b
 from .registry import Tables, query
 
@@ -187,3 +189,18 @@ SELECT page_id, CASE WHEN name0 = '' THEN left(url, 200) ELSE name0 END AS name,
 def pages(t: Tables):
     """Web pages as documents, with the reason where one is refused."""
     return page_intake(t.spread(URLS)).select("page_id", "name", "kind", "size", "sha256", "text", "error")
+
+
+# files on disk: the documents of an organisation in batches of one file, some of them too large to be read
+CAP = 4000
+ON_DISK = """SELECT source AS org, 'b' || CAST(doc_id AS STRING) AS batch, coalesce(text, '') AS value FROM documents"""
+
+
+@query("read_files", f"""SELECT 'org=' || org AS org, 'batch=' || batch AS batch, octet_length(encode(value))::BIGINT + 1 AS size,
+ CASE WHEN octet_length(encode(value)) + 1 <= {CAP} THEN sha256(value || chr(10)) END AS sha256, CASE WHEN octet_length(encode(value)) + 1 > {CAP} THEN 'File exceeds the 0 MB limit.' END AS error
+ FROM ({ON_DISK})""")
+def read_files(t: Tables):
+    """Files written from the documents and read back; of those over the cap only the size is known."""
+    path = f"{shared_folder(t.spark)}/foliant/{uuid.uuid4().hex}/files"
+    t.sql(ON_DISK).repartition("org", "batch").write.partitionBy("org", "batch").text(path)
+    return src.read_files(t.spark, path, cap=CAP).select("org", "batch", "size", F.sha2("content", 256).alias("sha256"), "error")

@@ -189,6 +189,15 @@ def split_late(t: Tables):
     return good.select("event_id", F.lit("in time").alias("state")).unionByName(late.select("event_id", F.lit("late").alias("state")))
 
 
+@query("late_rows", f"SELECT event_id, user_id FROM events WHERE {LATE} > 3600")
+def late_rows(t: Tables):
+    """The side table of a stream whose rows arrive at different delays."""
+    arrived = F.expr(f"ts + make_dt_interval(0, 0, 0, {LATE})")
+    path = f"{shared_folder(t.spark)}/foliant/{uuid.uuid4().hex}"
+    jobs.late_stream(stream(t).withColumn("arrived", arrived), f"{path}/late", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/late").select("event_id", "user_id")
+
+
 @query("audit_stream", f"WITH trail AS ({inputs.TRAIL}) SELECT org, action, count(*) AS n FROM trail WHERE action = 'chat.flagged' GROUP BY ALL")
 def audit_stream(t: Tables):
     """Flagged questions of a stream, written to the trail as they arrive."""

@@ -2,11 +2,12 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import query_terms, tokenize
-from ..functions.vectors import hash_embedder
+from ..functions.vectors import Embedder, hash_embedder
 from ..operators import chunk, embed, index, retrieve
 from ..operators.dense import dense_topk as search_vectors
 from ..plans import search_index
@@ -315,3 +316,29 @@ def rebuild_stale(t: Tables):
     known = search_index.stamps(t.spark, path).select("org", F.col("chunks").alias("passages"), "version").join(actions, "org", "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return known.join(read, "org", "left").select("org", F.coalesce("action", F.lit("kept")).alias("action"), zero("passages"), zero("version"), zero("postings"), zero("occurrences"))
+
+
+VOWELS = "aeiou"
+OWN_MODEL = Embedder("vowels-6", 6, lambda texts: np.array([[*(x.count(v) for v in VOWELS), 1] for x in texts], np.float32).reshape(-1, 6))
+_COUNTS = ", ".join(f"length(text) - length(replace(text, '{v}', ''))" for v in VOWELS)
+
+
+@query("own_embedder", f"""SELECT doc_id, 6 AS dims, len(list_filter(v, lambda x: x > 0)) AS nonzero, list_position(v, list_max(v)) AS largest, 1.0::DOUBLE AS length
+ FROM (SELECT doc_id, [{_COUNTS}, 1] AS v FROM documents)""")
+def own_embedder(t: Tables):
+    """Documents embedded by a model of the user's own, with its own dimension; vectors come out with length one."""
+    vectors = embed.embed(t.spread("SELECT doc_id, text FROM documents"), OWN_MODEL, "text")
+    big = lambda c, name: c.cast("bigint").alias(name)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return vectors.select("doc_id", big(F.size("embedding"), "dims"), big(F.size(F.filter("embedding", lambda v: v > 0)), "nonzero"),
+                          big(F.array_position("embedding", F.array_max("embedding")), "largest"), F.round(F.sqrt(squares), 4).alias("length"))
+
+
+BLANKED = "SELECT source AS org, doc_id AS document_id, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS document, CASE WHEN doc_id % 9 = 2 THEN '  ' || chr(10) WHEN doc_id % 9 = 6 THEN NULL ELSE text END AS text FROM documents"
+
+
+@query("documents_without_text", f"SELECT org, document_id, 'Document produced no indexable text.' AS error FROM ({BLANKED}) WHERE {b.strip('coalesce(text, chr(32))')} = ''")
+def documents_without_text(t: Tables):
+    """Documents that gave no passage, as error rows."""
+    docs = t.spread(BLANKED)
+    return chunk.documents_without_text(docs.select("org", "document_id"), passages(docs, MODEL), ["org", "document_id"])

@@ -79,29 +79,29 @@ def _utf16(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
-def decode_text(content: Column) -> Column:
-    """Text of a file: UTF-8 without its mark, UTF-16 if it carries a mark, else Latin-1; cleaned.
+def decoded(content: Column) -> Column:
+    """Text of a file: UTF-8 without its mark, UTF-16 if it carries a mark, else Latin-1.
 
     Only files that begin with a UTF-16 mark are sent to Python, as the built-in decoder fails on malformed input.
     """
     as_utf8 = content.cast("string")
     head = F.substring(content, 1, 2)
     marked = F.when(~F.is_valid_utf8(as_utf8) & head.isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff")), content)
-    text = (F.when(F.is_valid_utf8(as_utf8), F.regexp_replace(as_utf8, r"^\ufeff", ""))
+    return (F.when(F.is_valid_utf8(as_utf8), F.regexp_replace(as_utf8, r"^\ufeff", ""))
             .otherwise(F.coalesce(_utf16(marked), F.decode(content, "ISO-8859-1"))))
-    return clean_layout(F.substring(text, 1, fv.MAX_TEXT_CHARS))
 
 
-def text_segments(files: DataFrame) -> DataFrame:
-    """Add ``kind``, ``text`` and ``error``; text kinds are decoded, the other kinds get their segments elsewhere.
+def text_segments(files: DataFrame, *, max_chars: int = fv.MAX_TEXT_CHARS) -> DataFrame:
+    """Add ``kind``, ``text``, ``cut_chars`` and ``error``; text kinds are decoded and cleaned, the other kinds get their segments elsewhere.
 
-    ``content`` is kept only where there is no text.
+    ``content`` is kept only where there is no text. ``cut_chars`` tells how many characters beyond ``max_chars`` a text has lost, 0 if none.
     """
     judged = triage_kind(files).withColumn("error", F.coalesce("error", "kind_error")).drop("kind_error")
     is_text = F.col("error").isNull() & F.col("kind").isin("txt", "md")
-    read = judged.withColumn("__text", is_text).withColumn("text", decode_text(F.when(F.col("__text"), F.col("content"))))
+    read = judged.withColumn("__text", is_text).withColumn("__whole", decoded(F.when(F.col("__text"), F.col("content")))).withColumns({
+        "text": clean_layout(F.substring("__whole", 1, max_chars)), "cut_chars": F.greatest(F.lit(0), F.length("__whole") - max_chars)})
     error = F.when(F.col("__text") & (F.col("text") == ""), NO_TEXT).otherwise(F.col("error"))
-    return read.withColumns({"error": error, "content": F.when(~F.col("__text"), F.col("content"))}).drop("__text")
+    return read.withColumns({"error": error, "content": F.when(~F.col("__text"), F.col("content"))}).drop("__text", "__whole")
 
 
 def split_accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

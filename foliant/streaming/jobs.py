@@ -71,12 +71,14 @@ def rate_limit_stream(hits: DataFrame, limit: int, window: int) -> DataFrame:
     return stream_fold(hits, "key", SlidingLog(limit, window), life=window * SECOND)
 
 
-def lockout_stream(attempts: DataFrame) -> DataFrame:
-    return stream_fold(attempts, "user_id", Lockout())
+def lockout_stream(attempts: DataFrame, *, life: int | None = None) -> DataFrame:
+    """Without a ``life`` (seconds) failures are never forgotten, as in the batch form; with it, those of an account without attempts for so long are."""
+    return stream_fold(attempts, "user_id", Lockout(), life=life and life * SECOND)
 
 
-def token_stream(uses: DataFrame) -> DataFrame:
-    return stream_fold(uses, "family", TokenFamily())
+def token_stream(uses: DataFrame, *, life: int | None = None) -> DataFrame:
+    """``life`` (seconds): how long after its last use a family is remembered, at least as long as a token is valid; without it for ever."""
+    return stream_fold(uses, "family", TokenFamily(), life=life and life * SECOND)
 
 
 def usage_stream(questions: DataFrame) -> DataFrame:
@@ -92,6 +94,16 @@ def split_late(rows: DataFrame, *, ts: str = "ts", arrived: str = "arrived") ->
     return rows.where(~late), rows.where(late)
 
 
+def late_stream(rows: DataFrame, path: str, checkpoint: str, *, ts: str = "ts", arrived: str = "arrived", **trigger: Any):
+    """Start the side table of rows that came more than an hour late, which streams with a watermark may leave out; a folder for each batch."""
+    late = split_late(rows, ts=ts, arrived=arrived)[1]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return late.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def ingest_batch(library: str, model: Embedder) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: documents (org, document_id, name, text, seq) into ``library/documents`` and ``library/chunks``.
 
