@@ -4,8 +4,8 @@ All n-grams have one global order, that of their 64-bit names. It is cut into fr
 
 *Candidates.* Two sets of Jaccard similarity ``t`` or more, of sizes up to ``r``, differ in at most ``d = 2 r (1 - t) / (1 + t)`` n-grams.
 With ``d + 1`` fragments at least one segment is then equal in both. So sets meet on equal segments of a size class; a set takes part in its own
-class and the next one, since similar sizes lie within one class. An empty segment says nothing, so there sets meet on the n-grams of their prefix
-instead: similar sets share one of their first ``n - ceil(t n) + 1``.
+class and the next one, since similar sizes lie within one class. An empty segment says nothing: a set with more of them than there are fragments
+beyond ``d + 1`` meets there on the n-grams of its prefix instead: similar sets share one of their first ``n - ceil(t n) + 1``.
 
 *Verification.* Each pair is counted apart in every (coarser) fragment; the counts are summed per pair.
 
@@ -49,6 +49,9 @@ def keys_of(grams: np.ndarray, level: int, bounds: np.ndarray, percent: int) ->
     """Keys on which a set meets similar ones of a size class (and the one below)."""
     largest = int(bounds[level + 1]) - 1
     parts = 2 * largest * (100 - percent) // (100 + percent) + 1
+    # below 0.9 segments are short and some empty: with as many more of them, an equal one that is not empty is left all the same
+    spare = parts // 6 if percent < 90 else 0
+    parts += spare
     place = (grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     edges = np.searchsorted(place, np.arange(parts + 1, dtype=np.uint64))
     filled = edges[1:] > edges[:-1]
@@ -57,7 +60,7 @@ def keys_of(grams: np.ndarray, level: int, bounds: np.ndarray, percent: int) ->
     seed = np.uint64(level) << np.uint64(40)
     lengths = (edges[1:] - edges[:-1]).astype(np.uint64)
     segments = mixed(sums[edges[1:]] - sums[edges[:-1]] + mixed(seed + np.arange(parts, dtype=np.uint64)) + lengths)[filled]
-    if filled.all():
+    if np.count_nonzero(~filled) <= spare:
         return segments
     prefix = grams[:len(grams) - (percent * len(grams) + 99) // 100 + 1]
     empty = mixed(mixed(seed + np.uint64(1 << 39) + np.flatnonzero(~filled).astype(np.uint64))[:, None] + prefix[None, :])

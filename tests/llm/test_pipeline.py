@@ -50,3 +50,39 @@ def test_an_empty_table_passes_all_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_near_copies_of_eight_tenths_go(spark):
+    from test_llm import near
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for edits, more in ((10, 0), (9, 0), (0, 100), (0, 150), (14, 0)):
+        base = rng.choice(words, 500).tolist()
+        edited = list(base)
+        for at in range(20, 20 + 30 * edits, 30):
+            edited[at] = f"e{at}"
+        texts += [" ".join(base), " ".join(edited + rng.choice(words, more).tolist())]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.distinct_texts(spark, docs, FOLDER).collect()}
+    assert kept == {k for k, n, root in near(rows, 5, 80) if k == root} and {0, 2, 4, 6, 7, 8, 9} == kept
+    assert len({k for k, n, root in near(rows) if k == root}) == len(rows)  # 3 words and 0.9 keep all
+
+
+def test_similar_sets_of_eight_tenths_meet_on_few_keys():
+    from foliant.llm.similar import class_bounds, keys_of
+
+    rng, bounds = np.random.default_rng(1), class_bounds(80)
+
+    def keys(grams):
+        level = int(np.searchsorted(bounds, len(grams), "right")) - 1
+        return np.unique(np.concatenate([keys_of(grams, x, bounds, 80) for x in (level, level + 1)]))
+
+    for n in (5, 20, 60, 300, 3000):
+        for _ in range(20):
+            grams = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            other = np.unique(np.concatenate((rng.permutation(grams)[n // 10:], rng.integers(0, 2**64, n // 10, dtype=np.uint64))))
+            assert len(np.intersect1d(keys(grams), keys(other))) or 100 * len(np.intersect1d(grams, other)) < 80 * len(np.union1d(grams, other))
+    assert len(keys(np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64)))) < 20_000
