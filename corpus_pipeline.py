@@ -29,21 +29,29 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``named``, which tells apart documents without an id or with the same id; rows of equal id and text share it.
+
+    It sorts as the id does, documents without one last.
+    """
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("named"))
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each group of near duplicates whose id names the group; documents alike in no other stay.
+    """The first document of each group of near duplicates, by id; documents alike in no other stay, and one of rows of equal id and text.
 
     Near duplicates share eight tenths of their five-word shingles. That is wider than the link of ``op9_similar`` (three words, nine tenths).
     """
-    first = similar(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    # repeated rows are copies of each other; documents without an id belong to no group that could be named; they stay
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(
-        docs.select(*COLUMNS).where("doc_id IS NULL"))
+    rows = keyed(docs)
+    first = similar(rows, key="named", size=5, percent=80).where(F.col("named").eqNullSafe(F.col("component_id"))).select("named").distinct()
+    return rows.join(first, "named", "left_semi").dropDuplicates(["named"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no passage of the benchmark occurs."""
-    hit = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id")
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
+    rows = keyed(docs)
+    hit = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="named").where("n_hit > 0").select("named").distinct()
+    return rows.join(hit, "named", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,30 @@ def test_similar_sets_of_eight_tenths_meet_on_few_keys():
             other = np.unique(np.concatenate((rng.permutation(grams)[n // 10:], rng.integers(0, 2**64, n // 10, dtype=np.uint64))))
             assert len(np.intersect1d(keys(grams), keys(other))) or 100 * len(np.intersect1d(grams, other)) < 80 * len(np.union1d(grams, other))
     assert len(keys(np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64)))) < 20_000
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sorted_rows(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_near_duplicates_without_an_id_or_with_the_same_id_go(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d, e = (" ".join(rng.choice([f"w{i}" for i in range(5000)], 200).tolist()) for _ in range(5))
+    rows = [(None, a), (None, a), (None, a + " end"), (7, b), (7, b + " end"), (7, b), (7, c), (None, d), (9, d), (8, d + " end"), (None, e), (1, None), (2, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], AWKWARD).repartition(3)
+    got = sorted_rows(corpus_pipeline.distinct_texts(spark, docs, FOLDER))
+    kept = [t for k, t in got]
+    assert len(got) == 7 and {k for k, t in got if t is None} == {1, 2} and all(kept.count(x) == 1 for x in (c, e))
+    assert [sum(t in (x, x + " end") for t in kept) for x in (a, b)] == [1, 1]
+    assert [k for k, t in got if t in (d, d + " end")] == [8]  # documents with an id come first
+
+
+def test_benchmark_passages_without_an_id_or_with_the_same_id_go(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, "before " + item), (None, "before " + item), (None, "clean text"), (None, None), (5, item + " after"), (5, "a clean namesake"), (6, "clean"), (6, "clean")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], AWKWARD).repartition(3)
+    got = sorted_rows(corpus_pipeline.without_benchmark(spark, docs, FOLDER))
+    assert got == sorted([(None, "clean text"), (None, None), (5, "a clean namesake"), (6, "clean"), (6, "clean")], key=str)
