@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import written
+
 # fixed values of the published generator
 MULTIPLIER = Decimal(2862933555777941757)
 WORD = Decimal(2**64)
@@ -48,22 +50,22 @@ def sharded(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text
     """All rows with their shard and a gapless slot in it: ``key, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``size`` is the number of UTF-8 bytes plus 8 (null: 8), ``text_crc32`` that of a null text is 0, as of an empty one. Other columns are
-    not read. Rows with equal keys share a shard, also null keys, and take slots in the order of their checksum and size. Slots follow
-    slices of a shard, and keys within a slice, so that no task sorts more than about ``rows_per_slice`` rows at a time; only
-    repeated keys stay together. An empty table gives no row.
+    not read. Rows with equal keys share a shard, also null keys, and take slots in the order of their checksum and size. The slot is the
+    rank by key within the shard. Ranges of rows in that order are counted by shard, and a row's rank in its range comes after the counts of the
+    ranges before, so that no task sorts more than about ``rows_per_slice`` rows at a time; only rows with equal key, checksum and size stay together.
+    An empty table gives no row.
     """
-    rows = docs.count()
-    slices = max(1, math.ceil(rows / shards / rows_per_slice))
+    slices = max(1, math.ceil(docs.count() / rows_per_slice))
+    content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(key).alias(key), (F.octet_length(content) + 8).cast("long").alias("size"), F.crc32(content).alias("text_crc32"))
     walked = jumps(F.col(key).cast("long"), shards)
-    slice_of = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(slices))
-    counted = (docs.select(walked.alias("jump"), slice_of.alias("slice")).groupBy(F.col("jump.shard").alias("shard"), "slice").count()
+    # ranges are drawn from samples: counts and ranks must see the same ones
+    placed = written(rows.repartitionByRange(slices, key, "text_crc32", "size").select(
+        key, "size", "text_crc32", walked.alias("jump"), F.spark_partition_id().alias("slice")).select(
+        key, "size", "text_crc32", F.col("jump.shard").alias("shard"), F.col("jump.grown").alias("grown_shard"), "slice"), "slots")
+    counted = (placed.groupBy("shard", "slice").count()
                .withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
                .select("shard", "slice", F.coalesce("before", F.lit(0)).alias("before")))
-    content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    placed = docs.select(
-        F.col(key).alias(key), (F.octet_length(content) + 8).cast("long").alias("size"), F.crc32(content).alias("text_crc32"),
-        walked.alias("jump"), slice_of.alias("slice")).select(
-        key, "size", "text_crc32", F.col("jump.shard").alias("shard"), F.col("jump.grown").alias("grown_shard"), "slice")
     place = F.row_number().over(Window.partitionBy("shard", "slice").orderBy(key, "text_crc32", "size"))
     return placed.join(counted, ["shard", "slice"]).select(
         key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + place - 1).alias("slot"), "grown_shard")

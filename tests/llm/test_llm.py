@@ -241,6 +241,18 @@ def test_shards(docs, none, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
+def test_slots_are_ranks_by_key_at_every_size(docs, spark):
+    many = spark.range(5000).select(((F.col("id") * 7919) % 5003 - 900).alias("doc_id"), F.lit("t").alias("text")).repartition(3)
+    for df, n in ((docs, 3), (many, 4)):
+        got = [rows_of(sharded(df, n, rows_per_slice=size)) for size in (2 if df is docs else 300, 50_000)]
+        order = lambda r: (r["shard"], null(r["doc_id"]) is not None, null(r["doc_id"]) or 0, r["text_crc32"], r["size"])
+        for rows in got:
+            seen = Counter()
+            for r in sorted(rows, key=lambda r: (*order(r), r["slot"])):
+                assert r["slot"] == seen[r["shard"]]
+                seen[r["shard"]] += 1
+
+
 def test_katz(docs, none):
     held = lambda k: F.crc32(k.cast("string")) % 7 == 2
     got = rows_of(katz.scored(docs, held))
