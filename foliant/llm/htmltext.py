@@ -120,6 +120,10 @@ class Lines(HTMLParser):
                 self.pop_to(depth)
                 break
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """In HTML ``<![`` starts a comment that ends at the next ``>``, whatever follows it."""
+        return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.parts.append(data)
@@ -137,11 +141,8 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 def main_text(html: str) -> str:
     """The main text of one whole page; empty if there is none. Broken markup is read as far as it makes sense."""
     parser = Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # a declaration the parser can't read; what came before counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     lines, above, tag = parser.lines, parser.above, parser.tag
     if not lines:

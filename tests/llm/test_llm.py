@@ -190,6 +190,13 @@ def test_main_text(spark):
     assert extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_main_text_goes_on_after_marks_the_parser_does_not_know():
+    for mark in ("<![ CDATA[ x ]]>", "<![endif--]>", "<![foo[ x ]]>", "<![endif]-->", "<![>", "<![if x]>"):
+        got = main_text(f"<p>Words before the mark, enough of them.</p>{mark}<p>Words after it, enough of them too.</p><!--[if x]>y<![endif]--><p>And the end.</p>")
+        assert got.startswith("Words before the mark") and "Words after it, enough of them too." in got and got.endswith("And the end."), mark
+    assert main_text("<p>one <![ two</p><p>three four</p>").endswith("three four") and main_text("<p>one two <![ three").endswith("three")
+
+
 def test_blocks_round_trip():
     for values in ([], [7], [2**32 - 1], RNG.integers(0, 50_000, 5000), [0] * 512 + [2**31, 5], np.r_[RNG.integers(0, 8, 600), 10**9, RNG.integers(0, 8, 600)]):
         v = np.array(values, np.uint32)
