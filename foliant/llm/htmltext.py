@@ -4,6 +4,9 @@ A line is the text between two block tags. Its ratio is the text outside of link
 neighbouring lines; lines above the standard deviation of the smoothed ratios are content. The region of the page is what holds them: the ``article`` or ``main``
 elements they lie in, else the smallest element around all of them. All of a region is the text, short lines too, but for elements that are
 furniture by tag, role, visibility or name, and for parts without any content line that consist of links.
+
+A name (or a form) may also be that of a wrapper around the page. So an element that is furniture by its name, or a form, stays if it holds an article or
+main, or most of the text of the content lines; where the name says nothing else, or says remarks or advertisements, nine tenths of that text.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
  head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 ENDS_PARAGRAPH = BLOCKS - {"br", "option", "legend", "caption", "td", "th", "tr"}
-DROPPED = frozenset("""head script style noscript template svg math canvas iframe object embed audio video nav aside footer form button select textarea input datalist
+DROPPED = frozenset("""head script style noscript template svg math canvas iframe object embed audio video nav aside footer button select textarea input datalist
  dialog menu fieldset label""".split())
 WHOLE = frozenset(("html", "body", "article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -34,6 +37,8 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense
 OWN = frozenset("article entry post story content page body main title".split())
 REMARKS = frozenset("comment comments reply replies ad ads advert promo sponsored related".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: What an element is: part of the page, no text, furniture if the lines agree, the same by nothing but its name, remarks or advertisements.
+PART, NO_TEXT, NAMED, ONLY_NAMED, REMARK = range(5)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -46,41 +51,59 @@ class Lines(HTMLParser):
         self.stack = [0]
         self.dropped = 0  # depth of the outermost dropped element, 0 if none
         self.content = 0  # open article or main elements
-        self.lines: list[tuple[str, int, int, int]] = []  # text, element, tags, characters in links
-        self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.named: dict[int, tuple[int, int]] = {}  # elements that are furniture if the lines agree: what they are, the next such element around them or 0
+        self.open_named: list[tuple[int, int]] = []  # depth, element
+        self.holding: set[int] = set()  # those with an article or main in them
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []  # texts with named element and whether in a link; element, tags
+        self.parts: list[tuple[str, int, bool]] = []
+        self.tags = self.links = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.stack[-1], self.tags, self.linked))
-        self.parts, self.tags, self.linked = [], 0, 0
+        if self.parts:
+            self.lines.append((self.parts, self.stack[-1], self.tags))
+        self.parts, self.tags = [], 0
+
+    def without(self, gone: set[int]) -> list[tuple[str, int, int, int]]:
+        """Lines without the text of some named elements: text, element, tags, characters in links."""
+        out = []
+        for parts, element, tags in self.lines:
+            text = " ".join("".join(data for data, named, _ in parts if named not in gone).split())
+            if text:
+                out.append((text, element, tags, sum(len(data) for data, named, linked in parts if linked and named not in gone)))
+        return out
 
-    def furniture(self, tag: str, attrs: list) -> bool:
+    def furniture(self, tag: str, attrs: list) -> int:
         if tag in DROPPED or tag == "header" and not self.content:
-            return True
-        if not attrs or tag in WHOLE and tag != "article":
-            return False
-        named = []
+            return NO_TEXT
+        if tag in WHOLE and tag != "article":
+            return PART
+        is_form, named = tag == "form", []
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
-                return tag not in WHOLE
+            if name == "role" and (value or "").lower() == "form":
+                is_form = tag not in WHOLE
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
+                return PART if tag in WHOLE else NO_TEXT
             if name == "style" and value and UNSEEN.search(value):
-                return tag not in WHOLE
+                return PART if tag in WHOLE else NO_TEXT
             if name in ("class", "id") and value:
                 named += value.split()
+        found = NAMED if is_form else PART
         for name in named:
-            words = {w.lower() for w in WORDS.findall(name)}
+            words = {w.lower() for w in WORDS.findall(name) if not w.isdigit()}
             hit = words & NAMES
             if hit and not (hit == {"header"} and words & OWN):  # the head of the article itself
-                return tag != "article" or bool(hit & REMARKS)
-        return False
+                found = max(found, REMARK if hit & REMARKS else PART if tag == "article" else ONLY_NAMED if words == hit else NAMED)
+                if tag == "article":
+                    return found
+        return found
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             tag = self.tag[self.stack.pop()]
             self.content -= tag in ("article", "main")
             self.links -= tag == "a"
+        while self.open_named and len(self.stack) <= self.open_named[-1][0]:
+            self.open_named.pop()
         if self.dropped and len(self.stack) <= self.dropped:
             self.dropped = 0
 
@@ -100,8 +123,16 @@ class Lines(HTMLParser):
             return
         self.above.append(self.stack[-1])
         self.tag.append(tag)
-        if not self.dropped and self.furniture(tag, attrs):
-            self.dropped = len(self.stack)
+        if not self.dropped:
+            what = self.furniture(tag, attrs)
+            around = [e for _, e in self.open_named]
+            if tag == "main" or tag == "article" and what == PART and all(self.named[e][0] != REMARK for e in around):
+                self.holding.update(around)
+            if what == NO_TEXT:
+                self.dropped = len(self.stack)
+            elif what:
+                self.named[len(self.tag) - 1] = what, self.open_named[-1][1] if self.open_named else 0
+                self.open_named.append((len(self.stack), len(self.tag) - 1))
         self.stack.append(len(self.tag) - 1)
         self.content += tag in ("article", "main")
         self.links += tag == "a"
@@ -126,9 +157,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.parts.append((data, self.open_named[-1][1] if self.open_named else 0, self.links > 0))
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -138,17 +167,44 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(values, kernel)[3:-3] / np.convolve(np.ones(len(values)), kernel)[3:-3]
 
 
+def content_lines(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """Which lines are content: those with a smoothed ratio above its standard deviation."""
+    ratio = smoothed(np.array([max(0, len(text) - linked) / max(1, tags) for text, _, tags, linked in lines]))
+    return ratio >= min(float(ratio.std()), float(ratio.max()))
+
+
+def furniture_of(parser: Lines) -> set[int]:
+    """The named elements that hold neither an article nor most of the content."""
+    lines = parser.without(set())
+    if not parser.named or not lines:
+        return set()
+    held, whole = dict.fromkeys(parser.named, 0), 0
+    kept = (parts for parts, _, _ in parser.lines if any(data.strip() for data, _, _ in parts))
+    for parts, content in zip(kept, content_lines(lines)):
+        for data, named, linked in parts if content else ():
+            size = 0 if linked else len(" ".join(data.split()))
+            whole += size
+            while named:
+                held[named] += size
+                named = parser.named[named][1]
+    gone: set[int] = set()
+    for element, (what, around) in parser.named.items():  # from the outside to the inside
+        most = 2 * held[element] > whole if what == NAMED else 10 * held[element] > 9 * whole
+        if around in gone or not most and element not in parser.holding:
+            gone.add(element)
+    return gone
+
+
 def main_text(html: str) -> str:
     """The main text of one whole page; empty if there is none. Broken markup is read as far as it makes sense."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines, above, tag = parser.lines, parser.above, parser.tag
+    lines, above, tag = parser.without(furniture_of(parser)), parser.above, parser.tag
     if not lines:
         return ""
-    ratio = smoothed(np.array([max(0, len(text) - linked) / max(1, tags) for text, _, tags, linked in lines]))
-    content = ratio >= min(float(ratio.std()), float(ratio.max()))
+    content = content_lines(lines)
 
     def path(element: int) -> list[int]:
         out = [element]

@@ -190,6 +190,20 @@ def test_main_text(spark):
     assert extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_main_text_stays_in_wrappers_with_names_of_furniture():
+    text = " ".join(f"<p>Paragraph {i} of the article goes on for as many words as it takes.</p>" for i in range(4))
+    want = re.sub("<.*?>", "", text)
+    side = "<div class='sidebar'><a href=#>one</a> <a href=#>two</a></div><div class='ad'>Buy it now</div><form>Search here</form>"
+    for wrapper in ("div class='content-sidebar-wrap'", "div class='page has-sidebar'", "div id='main-with-nav'", "form id='aspnetForm'", "form role='form'", "div class='sidebar'",
+                    "div class='site no-ads'"):
+        tag = wrapper.split()[0]
+        for inner in (text, f"<article>{text}</article>", f"<main>{text}</main>", f"<div class='has-menu'>{text}</div>"):
+            assert main_text(f"<body><{wrapper}>{inner}{side}</{tag}></body>") == want, (wrapper, inner)
+    # what is furniture by its name still goes
+    remarks = "<div class='comments'><article>I disagree with this article totally and completely, and here is why I do.</article></div>"
+    assert main_text(f"<body><div>{text}</div>{remarks}{side}</body>") == want
+
+
 def test_main_text_goes_on_after_marks_the_parser_does_not_know():
     for mark in ("<![ CDATA[ x ]]>", "<![endif--]>", "<![foo[ x ]]>", "<![endif]-->", "<![>", "<![if x]>"):
         got = main_text(f"<p>Words before the mark, enough of them.</p>{mark}<p>Words after it, enough of them too.</p><!--[if x]>y<![endif]--><p>And the end.</p>")
