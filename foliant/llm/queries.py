@@ -15,6 +15,7 @@ from .mix import mixed
 from .quality import learn, scored
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 from .repeats import without_repeats
+from .rules import BASE_FAILED, GOOD_SHARE, GUESS, ROUNDS, RULES, TRUST, judged
 from .shards import sharded
 from .similar import similar
 from .tokenfile import read_tokens, write_tokens
@@ -176,3 +177,43 @@ def op10_contaminated(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def weak_sql() -> str:
+    """Counts, votes and expectation-maximisation as SQL, from the rules themselves."""
+    names = list(RULES)
+    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (bad, good) in enumerate(RULES.values()))
+    columns = ", ".join(f"v{j}" for j in range(len(names)))
+    logs = lambda group: " + ".join(f"ln(c[{6 * j + 3 * group + 2} + v{j}])" for j in range(len(names)))
+    posterior = f"1 / (1 + exp(greatest(-700, least(700, {logs(0)} - ({logs(1)}) + ln((1 - good) / good)))))"
+    weight = ("n * (1 - g)", "n * g")
+    chances = ", ".join(f"(sum(CASE WHEN v{j} = {v} THEN {weight[k]} ELSE 0 END) + {TRUST} * any_value(total) * {GUESS[k][v + 1]}) / (sum({weight[k]}) + {TRUST} * any_value(total))"
+                        for j in range(len(names)) for k in (0, 1) for v in (-1, 0, 1))
+    guess = ", ".join(str(GUESS[k][v]) for _ in names for k in (0, 1) for v in range(3))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+ list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM (
+ SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2))),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE twice) GROUP BY doc_id),
+k AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+ len(list_distinct(w))::BIGINT AS n_distinct, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS n_letters,
+ length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclaims, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;")][\x20\x09-\x0D]*$')))::BIGINT AS n_ended_lines,
+ len(list_filter(w, lambda x: regexp_full_match(x, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')))::BIGINT AS n_bare_words,
+ len(list_filter(w, lambda x: regexp_matches(x, '[\x00-\x20#$%&(*+/<=>@\x5B-\x60{{|}}~\x7F]$')))::BIGINT AS n_marked_words
+ FROM w LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, {votes}, ({BASE_FAILED}) AS base_failed FROM k),
+p AS (SELECT {columns}, count(*) AS n, (SELECT count(*) FROM v WHERE NOT base_failed) AS total FROM v WHERE NOT base_failed GROUP BY ALL),
+em AS (SELECT 0 AS round, {GOOD_SHARE}::DOUBLE AS good, [{guess}]::DOUBLE[] AS c UNION ALL
+ SELECT any_value(round) + 1, (sum(n * g) + {TRUST} * any_value(total) * {GOOD_SHARE}) / (any_value(total) * (1 + {TRUST})), [{chances}]::DOUBLE[]
+ FROM (SELECT round, p.*, {posterior} AS g FROM em, p WHERE round < {ROUNDS}) HAVING count(*) > 0)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND g >= 0.5 AS kept, round(g, 4) AS good
+FROM (SELECT v.*, {posterior} AS g FROM v, em WHERE round = (SELECT max(round) FROM em))"""
+
+
+@query("op11_quality_rules", sql=weak_sql())
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document, the base conditions, and what the weighed votes of the rules say."""
+    return judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("good", 4).alias("good"))

@@ -76,7 +76,7 @@ def test_queries_with_sql(spark, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_mix(docs, none, spark):
