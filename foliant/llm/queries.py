@@ -19,6 +19,7 @@ from .rules import BASE_FAILED, GOOD_SHARE, GUESS, ROUNDS, RULES, TRUST, judged
 from .shards import sharded
 from .similar import similar
 from .tokenfile import read_tokens, write_tokens
+from .whitening import whitened
 
 
 def domain():
@@ -217,3 +218,9 @@ def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document, the base conditions, and what the weighed votes of the rules say."""
     return judged(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("good", 4).alias("good"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on up to 16 whitened components."""
+    return whitened(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
