@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .digest import fingerprints
 from .htmltext import extracted
 from .katz import scored as katz_scored
+from .manifest import manifest, row_digest
 from .mix import mixed
 from .quality import learn, scored
 from .registry import QUERIES, SQL, query, table  # noqa: F401
@@ -224,3 +225,40 @@ def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every embedding on up to 16 whitened components."""
     return whitened(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+MERKLE_SQL = rf"""
+WITH RECURSIVE {CRC},
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+ list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: ('0x' || h)::BIGINT)),
+  lambda a, x: xor(a >> 8, (crc_table.t)[xor(a & 255, x) + 1])) AS c FROM documents, crc_table),
+s AS (SELECT doc_id, lang, i, n, (xor(c, 4294967295::BIGINT)) % 3 = 0 AS touched, CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END AS t,
+ CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS lower_t,
+ coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+  || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head FROM d),
+leaves AS (SELECT doc_id, coalesce('+' || lang, '') AS grp, i::BIGINT AS i, n::BIGINT AS n, sha256(head || t) AS leaf, sha256(head || CASE WHEN touched THEN lower_t ELSE t END) AS found FROM s),
+tree AS (SELECT 0 AS level, grp, i, n, leaf AS h FROM leaves UNION ALL
+ SELECT any_value(level) + 1, grp, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY grp, i // 8),
+subs AS (SELECT grp, h, row_number() OVER (ORDER BY encode(grp)) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, i::BIGINT AS i, n::BIGINT AS n, h FROM subs UNION ALL
+ SELECT any_value(level) + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY i // 8),
+path AS (SELECT l.doc_id, t.level, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < l.i >> (3 * t.level)), '') AS before_, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > l.i >> (3 * t.level)), '') AS after_
+ FROM leaves AS l JOIN tree AS t ON t.grp = l.grp AND t.i >> 3 = l.i >> (3 * t.level + 3) AND t.n > 1 GROUP BY ALL),
+over_ AS (SELECT s.grp, 1000 + t.level AS level, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < s.i >> (3 * t.level)), '') AS before_, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > s.i >> (3 * t.level)), '') AS after_
+ FROM subs AS s JOIN top AS t ON t.i >> 3 = s.i >> (3 * t.level + 3) AND t.n > 1 GROUP BY ALL),
+steps AS (SELECT * FROM path UNION ALL SELECT doc_id, level, before_, after_ FROM leaves JOIN over_ USING (grp)),
+proof AS (SELECT doc_id, sha256(string_agg(before_ || after_, '' ORDER BY level)) AS proof, list(before_ || '|' || after_ ORDER BY level) AS way FROM steps GROUP BY doc_id),
+ends AS (SELECT doc_id, leaf, grp, coalesce(proof, sha256('')) AS proof,
+ list_reduce(list_prepend(found, coalesce(way, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded FROM leaves LEFT JOIN proof USING (doc_id))
+SELECT doc_id, leaf, subs.h AS subroot, top.h AS root, proof AS proof_sha256, folded AS folded_root, folded = top.h AS verified
+FROM ends JOIN subs USING (grp) JOIN top ON top.n = 1"""
+
+
+@query("op13_manifest", sql=MERKLE_SQL)
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests and proofs of every document; in a third of them, by the checksum of the id, the text's capitals are found in lower case."""
+    docs = table(spark, folder, "documents")
+    before = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, row_digest(*before, lower))
+    return manifest(docs, "doc_id", F.col("lang"), row_digest(*before, F.col("text")), touched)
