@@ -26,7 +26,7 @@ class Blocks:
     """Documents dealt to blocks: rows ``block, key, content``; null texts are empty. ``parts`` is the number of parts for names."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES):
-        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        self.size = size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         many = max(1, -(-size // block_bytes))
         self.parts = max(1, -(-size // part_bytes))
         self.kind = docs.schema[key].dataType.simpleString()

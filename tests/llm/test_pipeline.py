@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
             known = [labels[k] for k in gone if k in labels]
             assert gone and np.mean(known) < 0.1
         if name == "near_duplicates":
-            groups = near([(k, r["text"]) for k, r in before.items()])
+            groups = near([(k, r["text"]) for k, r in before.items()], 5, 80)
             assert after.keys() == {k for k, n, root in groups if k == root}
         if name == "benchmark":
             hit = {r["doc_id"] for r in QUERIES["op10_contaminated"](spark, FOLDER).where("contaminated").collect()}
@@ -71,21 +71,24 @@ def test_near_copies_of_eight_tenths_go(spark):
     assert len({k for k, n, root in near(rows) if k == root}) == len(rows)  # 3 words and 0.9 keep all
 
 
-def test_similar_sets_of_eight_tenths_meet_on_few_keys():
-    from foliant.llm.similar import class_bounds, keys_of
+def test_only_texts_that_share_enough_are_candidates(spark):
+    """Of texts with nothing like them none is left; of those that are alike all are, and they meet on few n-grams, also where all texts share a passage."""
+    from foliant.llm.similar import candidates
 
-    rng, bounds = np.random.default_rng(1), class_bounds(80)
-
-    def keys(grams):
-        level = int(np.searchsorted(bounds, len(grams), "right")) - 1
-        return np.unique(np.concatenate([keys_of(grams, x, bounds, 80) for x in (level, level + 1)]))
-
-    for n in (5, 20, 60, 300, 3000):
-        for _ in range(20):
-            grams = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            other = np.unique(np.concatenate((rng.permutation(grams)[n // 10:], rng.integers(0, 2**64, n // 10, dtype=np.uint64))))
-            assert len(np.intersect1d(keys(grams), keys(other))) or 100 * len(np.intersect1d(grams, other)) < 80 * len(np.union1d(grams, other))
-    assert len(keys(np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64)))) < 20_000
+    rng = np.random.default_rng(1)
+    common = " ".join(f"c{i}" for i in range(30))
+    own = [" ".join(rng.choice([f"w{i}" for i in range(5000)], 200).tolist()) for _ in range(40)]
+    alike = [t.replace("w", "x", 2) for t in own[:5]]
+    texts = [(str(i), bytearray(f"{common} {t}".encode())) for i, t in enumerate(own + alike)]
+    got = candidates(spark.createDataFrame(texts, "hash string, content binary"), 5, 80).collect()
+    assert {r["hash"] for r in got} == {*map(str, range(5)), *map(str, range(40, 45))}
+    for r in got:
+        assert sum(map(len, r["segments"])) == r["n"] and 0 < len(r["meets"]) <= r["n"] - -(-80 * r["n"] // 100) + 1
+    meets = {}
+    for r in got:
+        for m in r["meets"]:
+            meets.setdefault(m, []).append(r["hash"])
+    assert max(map(len, meets.values())) == 2  # the passage that all share is in no candidate key
 
 
 AWKWARD = "doc_id long, text string, lang string, source string, n_chars long"
