@@ -8,7 +8,7 @@ from ..functions.vectors import hash_embedder
 from ..operators import library as lib
 from ..operators.folds import storage_admission as admit
 from ..session import shared_folder
-from ..sources.library_sink import replace_documents
+from ..sources.library_sink import documents, replace_documents
 from ..streaming.jobs import ingest_stream as start_intake
 from . import inputs
 from . import sql_blocks as b
@@ -133,15 +133,28 @@ def library_sink(t: Tables):
     half = uploads.agg(F.max("seq")).first()[0] // 2
     replace_documents(path, lib.latest_by_name(uploads.where(F.col("seq") <= half)))
     replace_documents(path, lib.latest_by_name(uploads.where(F.col("seq") > half)))
-    return t.spark.read.schema(uploads.schema).parquet(path)
+    return documents(t.spark, path).select(*uploads.columns)
 
 
-@query("ingest_stream", f"""WITH lib AS ({inputs.LIBRARY}), {b.passages()} SELECT org, document, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY ALL""")
+HALF = "(SELECT max(doc_id) / 2 FROM documents)"
+# two documents of an organisation share a name; some are blank
+ARRIVING = """SELECT source AS org, doc_id AS document_id, 'doc-' || CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) || '.txt' AS name,
+ CASE WHEN doc_id % 9 = 2 THEN '  ' ELSE text END AS text, doc_id AS seq FROM documents"""
+
+
+@query("ingest_stream", f"""WITH up AS (SELECT *, seq > {HALF} AS later FROM ({ARRIVING})),
+last AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY later, org, name ORDER BY seq DESC) = 1),
+lib AS (SELECT org, document_id, name AS document, text FROM last WHERE {b.strip('text')} <> '' QUALIFY row_number() OVER (PARTITION BY org, name ORDER BY later DESC) = 1), {b.passages()}
+SELECT org, document, document_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars, count(*) AS chunk_count FROM chunks GROUP BY ALL""")
 def ingest_stream(t: Tables):
-    """Passages of the documents table taken in as a stream."""
+    """Documents taken in as a stream of two batches, in which names come again and some texts are blank: passages, and the number of them that the documents table knows."""
     path = f"{shared_folder(t.spark)}/foliant/{uuid4().hex}"
-    docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-    named = docs.select(F.col("source").alias("org"), F.col("doc_id").alias("document_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
-                        "text", F.col("doc_id").alias("seq"))
-    start_intake(named, path, hash_embedder(), f"{path}-checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{path}/chunks").groupBy("org", "document").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+    arriving, half = t.sql(ARRIVING), t.sql(f"SELECT {HALF.strip('()').replace('SELECT ', '')}").first()[0]
+    arriving.where(F.col("seq") <= half).coalesce(1).write.parquet(f"{path}/in/1")
+    arriving.where(F.col("seq") > half).coalesce(1).write.parquet(f"{path}/in/2")
+    stream = lambda part: t.spark.readStream.schema(arriving.schema).parquet(f"{path}/in/{{{part}}}")
+    for seen in ("1", "1,2"):
+        start_intake(stream(seen), f"{path}/library", hash_embedder(), f"{path}/checkpoint").awaitTermination()
+    known = documents(t.spark, f"{path}/library").select("org", F.col("name").alias("document"), F.col("chunk_count").cast("bigint").alias("chunk_count"))
+    return documents(t.spark, f"{path}/library", "chunks").groupBy("org", "document", "document_id").agg(
+        F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")).join(known, ["org", "document"])

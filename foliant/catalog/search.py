@@ -137,17 +137,22 @@ def drop_wrong_dim(t: Tables):
     return embed.drop_wrong_dim(t.sql(MIXED), 64).groupBy("org").agg(F.count("*").alias("n"))
 
 
-@query("stale_orgs", f"""WITH now AS (SELECT org, count(*) AS c, max(document_id) AS m FROM ({inputs.LIBRARY}) GROUP BY org),
-old AS (SELECT source AS org, count(*) AS c, max(doc_id) AS m FROM documents WHERE source NOT IN ('src3', 'src7') AND NOT (source = 'src5' AND lang = 'en') GROUP BY source UNION ALL SELECT 'gone', 3, 9)
+# texts of the same length, cut at the same places, with other letters
+OTHER_TEXT = "translate(text, 'aeiou', 'eioua')"
+STAMPED_BEFORE = f"""SELECT org, document_id, CASE WHEN org = 'src9' AND document_id % 40 = 9 THEN {OTHER_TEXT} ELSE text END AS text FROM ({inputs.LIBRARY}) AS l
+ WHERE org NOT IN ('src3', 'src7') AND NOT (org = 'src5' AND document_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))"""
+
+
+@query("stale_orgs", f"""WITH now AS (SELECT org, count(*) AS c, string_agg(md5(text), '' ORDER BY document_id) AS m FROM ({inputs.LIBRARY}) GROUP BY org),
+old AS (SELECT org, count(*) AS c, string_agg(md5(text), '' ORDER BY document_id) AS m FROM ({STAMPED_BEFORE}) GROUP BY org UNION ALL SELECT 'gone', 3, '')
 SELECT coalesce(now.org, old.org) AS org, CASE WHEN now.org IS NULL THEN 'drop' WHEN old.org IS NULL THEN 'build' ELSE 'rebuild' END AS action
 FROM now FULL JOIN old ON now.org = old.org WHERE now.org IS NULL OR old.org IS NULL OR now.c <> old.c OR now.m <> old.m""")
 def stale_orgs(t: Tables):
-    """Organisations whose index no longer fits their passages."""
-    current = t.sql(inputs.LIBRARY).withColumnRenamed("document_id", "chunk_id")
-    before = current.where("org NOT IN ('src3', 'src7')").join(
-        t.documents.where("source = 'src5' AND lang = 'en'").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_anti")
-    gone = t.nation.agg(F.lit("gone").alias("org"), F.lit(3).cast("bigint").alias("chunks"), F.lit(9).cast("bigint").alias("max_id"), F.lit(MODEL.name).alias("model"))
-    return index.stale_orgs(index.index_stamp(current, MODEL.name), index.index_stamp(before, MODEL.name).unionByName(gone))
+    """Organisations whose index no longer fits their passages; one of them has other texts under the same ids."""
+    stamp = lambda sql: index.index_stamp(t.sql(sql).select("org", "document_id", F.col("document_id").alias("chunk_id"), F.col("text").alias("content")), MODEL.name)
+    gone = t.nation.agg(F.lit("gone").alias("org"), F.lit(3).cast("bigint").alias("chunks"), F.lit(9).cast("bigint").alias("max_id"),
+                        F.lit(0).cast("decimal(38,0)").alias("content_sum"), F.lit(0).cast("bigint").alias("content_xor"), F.lit(MODEL.name).alias("model"))
+    return index.stale_orgs(stamp(inputs.LIBRARY), stamp(STAMPED_BEFORE).unionByName(gone))
 
 
 @query("dense_topk", """WITH parts AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS slot FROM embeddings),
@@ -187,7 +192,7 @@ def passage_search(t: Tables):
 
 def _candidates(t: Tables):
     chunks, questions = library(t), asked(t).withColumn("k", F.lit(K))
-    return retrieve.rrf_fuse(retrieve.look_up(retrieve.candidates(chunks, questions, POOL), chunks, questions))
+    return retrieve.rrf_fuse(retrieve.candidates(chunks, questions, POOL))
 
 
 @query("fused_ranks", PASSAGES + VECTORS + b.hybrid(MODEL.name, K) + """
@@ -217,7 +222,7 @@ qvec AS (SELECT vec_id AS qid, unnest(embedding) AS v, generate_subscripts(embed
 def _external(t: Tables):
     given = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
     documents = whole_documents(t)
-    chunks = documents.join(given, "chunk_id").unionByName(embed.embed(documents.join(given, "chunk_id", "left_anti"), hash_embedder(64)))
+    chunks = staged(documents.join(given, "chunk_id").unionByName(embed.embed(documents.join(given, "chunk_id", "left_anti"), hash_embedder(64))), "chunks")
     questions = t.sql(inputs.QUESTIONS).join(t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
     return chunks, questions
 
@@ -294,28 +299,46 @@ def indexed_search(t: Tables):
     return _hits(search_index.indexed_search(t.spark, path, asked(t), MODEL, k=K))
 
 
-# the library as it was before: two organisations fewer, one without its English documents, one that is gone by now
-BEFORE = """SELECT * FROM ({lib}) AS l WHERE org NOT IN ('src3', 'src7') AND NOT (org = 'src5' AND document_id % 2 = 1)
- UNION ALL SELECT 'gone' AS org, document_id, document, text FROM ({lib}) AS l WHERE org = 'src3'""".format(lib=inputs.LIBRARY)
-_OLD = f"(SELECT org, count(*) AS n, max(document_id) AS m FROM ({BEFORE}) GROUP BY org)"
+REPLACED = f"SELECT org, document_id, document, CASE WHEN document_id % 5 = 1 THEN {OTHER_TEXT} ELSE text END AS text FROM ({inputs.LIBRARY}) AS l"
+
+
+@query("replaced_text_search", PASSAGES + VECTORS + b.hybrid(MODEL.name, K) + "\n" + _HIT)
+def replaced_text_search(t: Tables):
+    """Search over a stored index after a fifth of the documents got other texts under the same ids, and after all its versions were written as one."""
+    path = _folder(t)
+    search_index.refresh(path, staged(passages(t.spread(REPLACED), MODEL), "chunks"), MODEL, 1)
+    search_index.refresh(path, library(t), MODEL, 2)
+    search_index.compact(t.spark, path, 3)
+    return _hits(search_index.indexed_search(t.spark, path, asked(t), MODEL, k=K))
+
+
+# the library as it was before: two organisations fewer, one without its documents of odd ids, one with other texts in half of its documents, one that is gone by now
+BEFORE = """SELECT org, document_id, document, CASE WHEN org = 'src9' AND document_id % 40 = 9 THEN {other} ELSE text END AS text FROM ({lib}) AS l
+ WHERE org NOT IN ('src3', 'src7') AND NOT (org = 'src5' AND document_id % 40 = 5)
+ UNION ALL SELECT 'gone' AS org, document_id, document, text FROM ({lib}) AS l WHERE org = 'src3'""".format(lib=inputs.LIBRARY, other=OTHER_TEXT)
+_OLD = f"(SELECT org, count(*) AS n, string_agg(md5(text), '' ORDER BY document_id) AS m FROM ({BEFORE}) GROUP BY org)"
 
 
-@query("rebuild_stale", WHOLE + b.keyword_leg(POOL) + f""", now AS (SELECT org, count(*) AS n, max(document_id) AS m FROM chunks GROUP BY org), old AS {_OLD},
+@query("rebuild_stale", WHOLE + b.keyword_leg(POOL) + f""", now AS (SELECT org, count(*) AS n, string_agg(md5(content), '' ORDER BY document_id) AS m FROM chunks GROUP BY org), old AS {_OLD},
 met AS (SELECT coalesce(now.org, old.org) AS org, now.n, CASE WHEN now.n = old.n AND now.m = old.m THEN 'kept' WHEN now.org IS NULL THEN 'drop' WHEN old.org IS NULL THEN 'build' ELSE 'rebuild' END AS action
- FROM now FULL JOIN old ON now.org = old.org)
-SELECT org, action, coalesce(met.n, 0) AS passages, CASE WHEN action = 'kept' THEN 1 WHEN action = 'drop' THEN 0 ELSE 2 END AS version, coalesce(o.postings, 0) AS postings, coalesce(o.occurrences, 0) AS occurrences
-FROM met LEFT JOIN (SELECT org, count(*) AS postings, sum(tf)::BIGINT AS occurrences FROM (SELECT org, chunk_id, term, any_value(tf) AS tf FROM postings GROUP BY ALL) WHERE (org, term) IN (SELECT (org, term) FROM asked) GROUP BY org) o USING (org)""")
+ FROM now FULL JOIN old ON now.org = old.org),
+fresh AS (SELECT c.org, count(*) AS written FROM chunks c LEFT JOIN ({BEFORE}) AS f ON f.org = c.org AND f.document_id = c.document_id AND f.text = c.content WHERE f.org IS NULL GROUP BY c.org)
+SELECT org, action, coalesce(met.n, 0) AS passages, CASE WHEN action = 'kept' THEN 1 WHEN action = 'drop' THEN 0 ELSE 2 END AS version, coalesce(written, 0) AS written,
+ coalesce(o.postings, 0) AS postings, coalesce(o.occurrences, 0) AS occurrences
+FROM met LEFT JOIN fresh USING (org) LEFT JOIN (SELECT org, count(*) AS postings, sum(tf)::BIGINT AS occurrences FROM (SELECT org, chunk_id, term, any_value(tf) AS tf FROM postings GROUP BY ALL) WHERE (org, term) IN (SELECT (org, term) FROM asked) GROUP BY org) o USING (org)""")
 def rebuild_stale(t: Tables):
-    """A stored index that follows its library: what the second refresh did with every organisation, and what a search then reads of it."""
+    """A stored index that follows its library: what the second refresh did with every organisation, how many passages it wrote, and what a search then reads."""
     path, questions = _folder(t), t.spread(inputs.QUESTIONS)
     whole = lambda sql: embed.embed(t.spread(sql).select(
         "org", F.col("document_id").alias("chunk_id"), "document_id", "document", F.col("text").alias("content")), MODEL)
-    search_index.refresh(path, whole(BEFORE), MODEL, 1)
-    actions = search_index.refresh(path, whole(inputs.LIBRARY), MODEL, 2)
+    search_index.refresh(path, staged(whole(BEFORE), "chunks"), MODEL, 1)
+    actions = search_index.refresh(path, staged(whole(inputs.LIBRARY), "chunks"), MODEL, 2)
     read = search_index.opened(t.spark, path, questions).posted.groupBy("org").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+    written = search_index.store(t.spark, path).written("texts", 2).groupBy("org").agg(F.count("*").alias("written"))
     known = search_index.stamps(t.spark, path).select("org", F.col("chunks").alias("passages"), "version").join(actions, "org", "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return known.join(read, "org", "left").select("org", F.coalesce("action", F.lit("kept")).alias("action"), zero("passages"), zero("version"), zero("postings"), zero("occurrences"))
+    return known.join(read, "org", "left").join(written, "org", "left").select(
+        "org", F.coalesce("action", F.lit("kept")).alias("action"), zero("passages"), zero("version"), zero("written"), zero("postings"), zero("occurrences"))
 
 
 VOWELS = "aeiou"

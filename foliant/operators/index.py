@@ -50,10 +50,34 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("org", "term").agg(F.count(F.when(present, 1)).alias("df"))
 
 
+#: Columns that make up a passage as a search shows or scores it.
+CONTENT = ("chunk_id", "document", "page", "ordinal", "content", "suspicious", "embedding")
+
+
+def content_digests(chunks: DataFrame, model: str) -> DataFrame:
+    """``org, document_id, chunks, max_id, content_sum, content_xor, model`` of every document: sum and exclusive or of the 64-bit hashes of its passages.
+
+    Both are made map-side, whatever the order of the passages. Columns of ``CONTENT`` that ``chunks`` has not are left out.
+    """
+    seen = F.xxhash64(*[F.col(c) for c in CONTENT if c in chunks.columns])
+    return chunks.select("org", "document_id", "chunk_id", seen.alias("seen")).groupBy("org", "document_id").agg(
+        F.count("chunk_id").alias("chunks"), F.max("chunk_id").alias("max_id"), F.sum(F.col("seen").cast("decimal(38,0)")).alias("content_sum"),
+        F.bit_xor("seen").alias("content_xor")).withColumn("model", F.lit(model))
+
+
+def fold_stamps(documents: DataFrame) -> DataFrame:
+    """``org, chunks, max_id, content_sum, content_xor, model``: what the index of an organisation was built from, from the digests of its documents."""
+    return documents.groupBy("org").agg(
+        F.sum("chunks").alias("chunks"), F.max("max_id").alias("max_id"), F.sum("content_sum").cast("decimal(38,0)").alias("content_sum"),
+        F.bit_xor("content_xor").alias("content_xor"), F.max("model").alias("model"))
+
+
 def index_stamp(chunks: DataFrame, model: str) -> DataFrame:
-    """``org, chunks, max_id, model``: what the index of an organisation was built from."""
-    return chunks.groupBy("org").agg(
-        F.count("chunk_id").alias("chunks"), F.max("chunk_id").alias("max_id")).withColumn("model", F.lit(model))
+    """The stamp of every organisation: it changes with the passages' number, ids, texts and vectors, and with the model."""
+    return fold_stamps(content_digests(chunks, model))
+
+
+STAMP = ("chunks", "max_id", "content_sum", "content_xor", "model")
 
 
 def stale_orgs(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -61,8 +85,19 @@ def stale_orgs(current: DataFrame, stored: DataFrame) -> DataFrame:
     now, then = current.alias("now"), stored.alias("then")
     joined = now.join(then, F.col("now.org") == F.col("then.org"), "full_outer")
     same = F.lit(True)
-    for column in ("chunks", "max_id", "model"):
+    for column in STAMP:
         same = same & F.col(f"now.{column}").eqNullSafe(F.col(f"then.{column}"))
     action = (F.when(F.col("now.org").isNull(), "drop").when(F.col("then.org").isNull(), "build")
               .when(~same, "rebuild"))
     return joined.select(F.coalesce("now.org", "then.org").alias("org"), action.alias("action")).where("action IS NOT NULL")
+
+
+def changed_documents(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """``org, document_id, gone``: documents whose passages differ from those stored, are new, or are no longer there."""
+    now, then = current.alias("now"), stored.alias("then")
+    joined = now.join(then, (F.col("now.org") == F.col("then.org")) & (F.col("now.document_id") == F.col("then.document_id")), "full_outer")
+    same = F.lit(True)
+    for column in STAMP:
+        same = same & F.col(f"now.{column}").eqNullSafe(F.col(f"then.{column}"))
+    return joined.where(~same).select(
+        F.coalesce("now.org", "then.org").alias("org"), F.coalesce("now.document_id", "then.document_id").alias("document_id"), F.col("now.org").isNull().alias("gone"))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import query_terms, strip, tokenize
+from ..functions.text import query_terms, strip
 from ..functions.vectors import inner_product
+from ..session import staged
 from .dense import SCORE_DIGITS, dense_topk, rank_dense
 from .index import corpus_stats, postings, term_stats
 
@@ -61,8 +62,8 @@ def rank_keyword(scored: DataFrame, pool: int) -> DataFrame:
     return scored.withColumn("lexical_rank", F.row_number().over(order)).where(F.col("lexical_rank") <= pool)
 
 
-def bm25_topk(chunks: DataFrame, questions: DataFrame, pool: int, *, posted: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
-    """``qid, chunk_id, bm25, coverage, lexical_rank``: keyword leg. Restricted questions see only their documents,
+def bm25_scores(chunks: DataFrame, questions: DataFrame, *, posted: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """``qid, chunk_id, bm25, coverage`` of all passages that hold a term. Restricted questions see only their documents,
     but document frequencies and lengths stay those of the organisation. Postings and statistics are made here unless an index gives them."""
     terms = explode_terms(questions)
     parts = bm25_parts(terms, postings(chunks, terms=terms) if posted is None else posted, corpus_stats(chunks) if corpus is None else corpus)
@@ -70,7 +71,12 @@ def bm25_topk(chunks: DataFrame, questions: DataFrame, pool: int, *, posted: Dat
         limited = questions.select("qid", F.col("document_ids").isNotNull().alias("limited"))
         allowed = restricted_chunks(chunks, questions).select("qid", "chunk_id").withColumn("allowed", F.lit(True))
         parts = parts.join(limited, "qid").join(allowed, ["qid", "chunk_id"], "left").where("allowed OR NOT limited")
-    return rank_keyword(keyword_scores(parts), pool)
+    return keyword_scores(parts)
+
+
+def bm25_topk(chunks: DataFrame, questions: DataFrame, pool: int, *, posted: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """``qid, chunk_id, bm25, coverage, lexical_rank``: keyword leg."""
+    return rank_keyword(bm25_scores(chunks, questions, posted=posted, corpus=corpus), pool)
 
 
 def thresholds(model: str) -> tuple[float, float, float | None]:
@@ -90,13 +96,18 @@ def restricted_chunks(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def dense_leg(chunks: DataFrame, questions: DataFrame, pool: int) -> DataFrame:
-    """``qid, chunk_id, sim, dense_rank``; restricted questions are ranked over their own documents only."""
+    """``qid, chunk_id, document_id, sim, dense_rank``; restricted questions are ranked over their own documents only. Passages that a question names in
+    ``wanted`` come too, with a null rank if they are not among the nearest."""
     if "document_ids" not in questions.columns:
         return dense_topk(chunks, questions, pool)
-    owned = restricted_chunks(chunks, questions).select("qid", "chunk_id", "embedding")
-    near = owned.join(questions.select("qid", "qvec"), "qid").where("size(embedding) = size(qvec)")
-    scored = near.select("qid", "chunk_id", similarity(F.col("embedding"), F.col("qvec")).alias("sim"))
-    return dense_topk(chunks, questions.where("document_ids IS NULL"), pool).unionByName(rank_dense(scored, pool))
+    owned = restricted_chunks(chunks, questions).select("qid", "chunk_id", "document_id", "embedding")
+    near = owned.join(questions.select("qid", "qvec", *[c for c in ("wanted",) if c in questions.columns]), "qid").where("size(embedding) = size(qvec)")
+    wanted = F.coalesce(F.array_contains("wanted", F.col("chunk_id")), F.lit(False)) if "wanted" in questions.columns else F.lit(False)
+    scored = near.select("qid", "chunk_id", "document_id", similarity(F.col("embedding"), F.col("qvec")).alias("sim"), wanted.alias("named"))
+    order = Window.partitionBy("qid").orderBy(F.desc("sim"), "chunk_id")  # the passages of a hundred documents at most
+    ranked = scored.withColumn("dense_rank", F.row_number().over(order)).where((F.col("dense_rank") <= pool) | F.col("named"))
+    own = ranked.select("qid", "chunk_id", "document_id", "sim", F.when(F.col("dense_rank") <= pool, F.col("dense_rank")).alias("dense_rank"))
+    return dense_topk(chunks, questions.where("document_ids IS NULL"), pool).unionByName(own)
 
 
 def similarity(left: Column, right: Column) -> Column:
@@ -104,14 +115,18 @@ def similarity(left: Column, right: Column) -> Column:
 
 
 def candidates(chunks: DataFrame, questions: DataFrame, pool: int, **index: DataFrame | None) -> DataFrame:
-    """``qid, chunk_id, sim, coverage, dense_rank, lexical_rank``: passages either leg ranks within ``pool``."""
-    none = lambda kind: F.lit(None).cast(kind)
-    keyword = bm25_topk(chunks, questions, pool, **index).select(
-        "qid", "chunk_id", none("double").alias("sim"), "coverage", none("int").alias("dense_rank"), "lexical_rank")
-    nearest = dense_leg(chunks, questions, pool).select(
-        "qid", "chunk_id", "sim", none("double").alias("coverage"), "dense_rank", none("int").alias("lexical_rank"))
-    return keyword.unionByName(nearest).groupBy("qid", "chunk_id").agg(
-        *[F.max(c).alias(c) for c in ("sim", "coverage", "dense_rank", "lexical_rank")])
+    """``qid, chunk_id, document_id, sim, coverage, dense_rank, lexical_rank``: passages either leg ranks within ``pool``.
+
+    The dense leg scores what the keyword leg found while it meets all vectors anyway, and word coverage of what it finds itself is known from the postings: so
+    neither a text nor a vector is looked up. A passage whose vector cannot be compared with a question's takes no part in it.
+    """
+    scores = bm25_scores(chunks, questions, **index)
+    keyword = rank_keyword(scores, pool)
+    named = keyword.groupBy("qid").agg(F.collect_list("chunk_id").alias("wanted"))  # at most ``pool`` for a question
+    nearest = dense_leg(chunks, questions.join(named, "qid", "left"), pool)
+    found = nearest.join(keyword.select("qid", "chunk_id", "lexical_rank"), ["qid", "chunk_id"], "left").join(
+        scores.select("qid", "chunk_id", "coverage"), ["qid", "chunk_id"], "left")
+    return found.select("qid", "chunk_id", "document_id", "sim", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "dense_rank", "lexical_rank")
 
 
 def rrf_fuse(ranked: DataFrame) -> DataFrame:
@@ -125,25 +140,6 @@ def rrf_fuse(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("fused", leg("dense_rank") + leg("lexical_rank")).withColumn("rank", F.row_number().over(order))
 
 
-def coverage(terms: Column, text: Column) -> Column:
-    """Share of a question's terms that occur in a text; 0 without terms."""
-    shared = F.size(F.array_intersect(terms, tokenize(text)))
-    return F.when(F.size(terms) > 0, shared / F.size(terms)).otherwise(0.0)
-
-
-def look_up(found: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Bring the passages of all candidates in one scan, and fill in what one leg alone does not know: the cosine of
-    candidates found by keyword, the word coverage of candidates found by vector."""
-    asked = questions.select("qid", "org", "k", "qvec", query_terms(F.col("query")).alias("terms"))
-    passages = chunks.select("org", "chunk_id", "document_id", *PASSAGE, "embedding")
-    # passage ids are known only within their organisation
-    met = found.join(asked, "qid").join(passages, ["org", "chunk_id"])
-    return met.withColumns({
-        "sim": F.coalesce("sim", similarity(F.col("embedding"), F.col("qvec"))),
-        "coverage": F.coalesce("coverage", coverage(F.col("terms"), F.col("content"))),
-    }).drop("embedding", "qvec", "terms")
-
-
 def relevance_gate(fused: DataFrame, model: str, min_score: float | None = None) -> DataFrame:
     """Keep candidates near enough to the question or holding enough of its words."""
     least, cover, margin = thresholds(model)
@@ -178,9 +174,14 @@ def take_turns(ranked: DataFrame, k: Column, *, document: str, order: str) -> Da
             .drop("__turn", "__first"))
 
 
-def hits(picked: DataFrame) -> DataFrame:
-    """The picked passages; the score is the cosine."""
-    return picked.select("qid", "org", "pos", "chunk_id", "document_id", *PASSAGE, F.col("sim").alias("score"))
+def hits(picked: DataFrame, texts: DataFrame) -> DataFrame:
+    """The picked passages with what is shown of them; the score is the cosine.
+
+    Picks are written first: they are few, so that Spark, which then knows their size, sends them to the passages and not the passages to them.
+    """
+    few = staged(picked.select("qid", "org", "pos", "chunk_id", F.col("sim").alias("score")), "picked")
+    return few.join(texts.select("org", "chunk_id", "document_id", *PASSAGE), ["org", "chunk_id"]).select(
+        "qid", "org", "pos", "chunk_id", "document_id", *PASSAGE, "score")
 
 
 def comparable(chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -190,25 +191,26 @@ def comparable(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def hybrid_search(chunks: DataFrame, questions: DataFrame, model: str, *, k: int = fv.DEFAULT_K, min_score: float | None = None,
-                  posted: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+                  posted: DataFrame | None = None, corpus: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Both legs, fusion, gate and fair share for a table of questions. Blank questions find nothing.
 
     With a ``k`` per question, the legs rank within the pool of the largest k allowed and the question's own pool
-    cuts afterwards. ``posted`` and ``corpus`` come from a stored index of ``chunks``, which then holds one dimension only.
+    cuts afterwards. ``posted``, ``corpus`` and ``texts`` come from a stored index, whose ``chunks`` (org, chunk_id, document_id, embedding) then hold one dimension only.
+    Without them ``chunks`` is read four times: for statistics, postings, vectors, and the texts of the hits; it should be a written table.
     """
     own_k = "k" in questions.columns
     asked = questions.where(strip(F.col("query")) != "").withColumn(
         "k", clamp_k(F.coalesce(F.col("k"), F.lit(k)) if own_k else F.lit(k)))
     chunks = comparable(chunks, asked) if posted is None else chunks
     found = candidates(chunks, asked, pool_size(fv.MAX_K if own_k else min(max(k, 1), fv.MAX_K)), posted=posted, corpus=corpus)
-    known = look_up(found, chunks, asked)
+    known = found.join(asked.select("qid", "org", "k"), "qid")
     if own_k:
         pool = F.greatest(F.lit(fv.MIN_POOL), 6 * F.col("k"))
         for rank in ("dense_rank", "lexical_rank"):
             known = known.withColumn(rank, F.when(F.col(rank) <= pool, F.col(rank)))
-        known = known.where("dense_rank IS NOT NULL OR lexical_rank IS NOT NULL")
+    known = known.where("dense_rank IS NOT NULL OR lexical_rank IS NOT NULL")
     kept = relevance_gate(rrf_fuse(known), model, min_score)
-    return hits(fair_share(kept, F.col("k")))
+    return hits(fair_share(kept, F.col("k")), chunks if texts is None else texts)
 
 
 def overview(chunks: DataFrame, questions: DataFrame, *, k: int = fv.DEFAULT_K) -> DataFrame:
@@ -229,5 +231,4 @@ def overview(chunks: DataFrame, questions: DataFrame, *, k: int = fv.DEFAULT_K)
             own.join(asked.select("qid", "k"), "qid"))
     else:
         picked = shared.join(asked.select("qid", "org", "k"), "org")
-    named = picked.where("pos <= k").select("qid", "org", "pos", "chunk_id", "document_id", F.lit(0.0).alias("sim"))
-    return hits(named.join(chunks.select("org", "chunk_id", *PASSAGE), ["org", "chunk_id"]))
+    return hits(picked.where("pos <= k").withColumn("sim", F.lit(0.0)), chunks)

@@ -1,39 +1,52 @@
-"""Sinks: the library, replaced document by document, and the audit trail."""
+"""Sinks: the library, in which documents replace documents of the same name, and the audit trail."""
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..session import staged
+from .segments import Store
 
 log = logging.getLogger(__name__)
 
 
-def replace_documents(path: str, rows: DataFrame, keys: tuple[str, ...] = ("org", "name")) -> None:
-    """Write ``rows`` (documents or their passages), replacing what the library holds under the same keys.
+def library(spark: SparkSession, path: str) -> Store:
+    """The library in a folder: documents by name, with tables that change together in one commit."""
+    return Store(spark, path, "name")
 
-    Only the partitions of the organisations concerned are written again. The new content is staged first, as a path
-    cannot be read and overwritten by one job; each partition then changes in a single commit.
+
+def documents(spark: SparkSession, path: str, table: str = "documents") -> DataFrame:
+    """What the library holds now of ``documents`` or ``chunks``."""
+    return library(spark, path).read(table).drop("version")
+
+
+def _next(store: Store) -> int:
+    return max(store.versions(), default=0) + 1
+
+
+def replace_documents(path: str, rows: DataFrame, version: int | None = None, *, chunks: DataFrame | None = None, errors: DataFrame | None = None) -> bool:
+    """Write ``rows`` (org, name, ...), replacing what the library holds under the same organisation and name, with their ``chunks`` (org, name, ...).
+
+    Only what is new is written. All tables change at once: before the commit's record is there, readers see none of it, after it all of it. With the
+    number of a stream's batch as ``version``, a replay changes nothing (False). ``errors`` are added to a table of their own and replace nothing.
     """
-    spark = rows.sparkSession
-    try:
-        held = spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        held = None  # nothing written yet
-    if held is not None and (lost := [c for c in held.columns if c not in rows.columns]):
+    store = library(rows.sparkSession, path)
+    held = store.read("documents")
+    if held is not None and (lost := [c for c in held.columns if c not in (*rows.columns, "version")]):
         raise ValueError(f"the library has columns that the new rows lack: {lost}")
-    merged = rows
-    if held is not None:
-        touched = held.join(rows.select("org").distinct(), "org", "left_semi")
-        merged = touched.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(rows, allowMissingColumns=True).select(*rows.columns)
-    staged(merged, "library").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("org").parquet(path)
+    tables = {"documents": rows, **({} if chunks is None else {"chunks": chunks})}
+    entries = rows.select("org", "name").distinct().withColumn("gone", F.lit(False))
+    return store.commit(_next(store) if version is None else version, entries, tables, {} if errors is None else {"errors": errors})
+
+
+def remove_documents(path: str, names: DataFrame, version: int | None = None) -> bool:
+    """Take documents (org, name) and their passages out of the library: tombstones only, nothing is rewritten."""
+    store = library(names.sparkSession, path)
+    entries = names.select("org", "name").distinct().withColumn("gone", F.lit(True))
+    return store.commit(_next(store) if version is None else version, entries, {})
 
 
 def append_audit(path: str, events: DataFrame, batch_id: int | None = None) -> bool:

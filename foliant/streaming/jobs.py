@@ -105,10 +105,10 @@ def late_stream(rows: DataFrame, path: str, checkpoint: str, *, ts: str = "ts",
 
 
 def ingest_batch(library: str, model: Embedder) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: documents (org, document_id, name, text, seq) into ``library/documents`` and ``library/chunks``.
+    """``foreachBatch`` function: documents (org, document_id, name, text, seq) into the library, read by ``library_sink.documents``.
 
-    The last upload of a name within a batch wins; writing a batch again gives the same library. Documents without text go to ``library/errors`` and
-    replace nothing.
+    The last upload of a name within a batch wins; documents and passages change in one commit, so a batch that fails between its writes is not seen, and
+    a batch that comes again changes nothing. Documents without text go to ``errors`` and replace nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         from ..operators.library import latest_by_name
@@ -117,9 +117,10 @@ def ingest_batch(library: str, model: Embedder) -> Callable[[DataFrame, int], No
         docs = staged(latest_by_name(batch), "batch")
         pieces = staged(passages(docs.withColumnRenamed("name", "document"), model), "chunks")
         totals = document_rollup(pieces, ["org", "document_id"], model.name)
-        documents_without_text(docs.drop("text"), pieces, ["org", "document_id"]).write.mode("overwrite").parquet(f"{library}/errors/batch_id={batch_id}")
-        replace_documents(f"{library}/documents", docs.drop("text").join(totals, ["org", "document_id"]))
-        replace_documents(f"{library}/chunks", pieces, keys=("org", "document"))
+        errors = documents_without_text(docs.drop("text"), pieces, ["org", "document_id"])
+        # the first batch of a stream has number 0, the first version of a library is 1
+        replace_documents(library, staged(docs.drop("text").join(totals, ["org", "document_id"]), "documents"), batch_id + 1,
+                          chunks=pieces.withColumn("name", F.col("document")), errors=errors)
 
     return write
 

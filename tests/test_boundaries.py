@@ -8,7 +8,7 @@ from foliant.operators import retrieve
 from foliant.operators.embed import embed
 from foliant.operators.folds import pack_state, unpack_state
 from foliant.plans.ingest import passage_id, passages
-from foliant.sources.library_sink import append_audit, replace_documents
+from foliant.sources.library_sink import append_audit, documents, library, replace_documents
 from foliant.streaming.jobs import ingest_batch
 
 MODEL = hash_embedder()
@@ -51,8 +51,8 @@ def test_blank_documents_are_reported_and_replays_change_nothing(spark, tmp_path
     path = str(tmp_path / "library")
     for _ in range(2):
         ingest_batch(path, MODEL)(batch, 0)
-    assert sorted(r.document_id for r in spark.read.parquet(f"{path}/errors").collect()) == [2, 3]
-    assert [r.document_id for r in spark.read.parquet(f"{path}/documents").collect()] == [1]
+    assert sorted(r.document_id for r in library(spark, path).log("errors").collect()) == [2, 3]
+    assert [r.document_id for r in documents(spark, path).collect()] == [1]
 
 
 def test_audit_batches_are_written_once(spark, tmp_path):
@@ -70,4 +70,4 @@ def test_a_library_keeps_its_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="size"):
         replace_documents(path, rows.drop("size").limit(1))
     replace_documents(path, rows.where("name = 'n1'").withColumn("kind", F.lit("txt")))
-    assert {(r.name, r.size, r.kind) for r in spark.read.parquet(path).collect()} == {("n1", 1, "txt"), ("n2", 2, None)}
+    assert {(r.name, r.size, r.kind) for r in documents(spark, path).collect()} == {("n1", 1, "txt"), ("n2", 2, None)}

@@ -2,11 +2,12 @@
 
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import hash_embedder
 from foliant.sources import files
-from foliant.sources.library_sink import append_audit, replace_documents
+from foliant.sources.library_sink import append_audit, documents, library, remove_documents, replace_documents
 from foliant.streaming import jobs
 
 
@@ -29,8 +30,31 @@ def test_replacing_documents(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "org string, name string, text string")
     replace_documents(path, rows(("a", "x", "1"), ("a", "y", "1"), ("b", "x", "1")))
     replace_documents(path, rows(("a", "x", "2"), ("c", "z", "2")))
-    held = {(r.org, r.name): r.text for r in spark.read.parquet(path).collect()}
-    assert held == {("a", "x"): "2", ("a", "y"): "1", ("b", "x"): "1", ("c", "z"): "2"}
+    held = lambda: {(r.org, r.name): r.text for r in documents(spark, path).collect()}
+    assert held() == {("a", "x"): "2", ("a", "y"): "1", ("b", "x"): "1", ("c", "z"): "2"}
+    assert {(r.org, r.name) for r in library(spark, path).written("documents", 2).collect()} == {("a", "x"), ("c", "z")}  # nothing else is written
+    remove_documents(path, rows(("a", "x", ""), ("c", "z", "")))
+    assert held() == {("a", "y"): "1", ("b", "x"): "1"}
+    replace_documents(path, rows(("c", "z", "3")))
+    before = held()
+    assert library(spark, path).compact(5, ["documents"]) and held() == before == {("a", "y"): "1", ("b", "x"): "1", ("c", "z"): "3"}
+    assert library(spark, path).versions() == [5]
+    replace_documents(path, rows(("b", "x", "4")))
+    assert held() == {("a", "y"): "1", ("b", "x"): "4", ("c", "z"): "3"}
+    assert not replace_documents(path, rows(("b", "x", "9")), 6) and held()["b", "x"] == "4"  # a committed version stays
+
+
+def test_a_failure_between_two_writes_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "library")
+    docs = lambda text: spark.createDataFrame([("a", "x", text), ("a", "y", text)], "org string, name string, text string")
+    chunks = lambda text: spark.createDataFrame([("a", n, f"{text}{i}") for n in "xy" for i in (1, 2)], "org string, name string, content string")
+    replace_documents(path, docs("1"), 1, chunks=chunks("1"))
+    with pytest.raises(Exception):
+        replace_documents(path, docs("2"), 2, chunks=chunks("2").withColumn("content", F.raise_error(F.lit("lost"))))
+    held = lambda: ({r.text for r in documents(spark, path).collect()}, sorted(r.content for r in documents(spark, path, "chunks").collect()))
+    assert held() == ({"1"}, ["11", "11", "12", "12"])
+    assert replace_documents(path, docs("2"), 2, chunks=chunks("2")) and held() == ({"2"}, ["21", "21", "22", "22"])
+    assert not replace_documents(path, docs("2"), 2, chunks=chunks("2")) and held() == ({"2"}, ["21", "21", "22", "22"])
 
 
 def test_audit_never_raises(spark, tmp_path):
@@ -54,9 +78,9 @@ def test_intake_stream(spark, tmp_path):
     run()
     docs(("b", "y.txt", "harmless now", 4)).write.mode("append").parquet(source)
     run()
-    chunks = {(r.org, r.document): (r.content, r.suspicious) for r in spark.read.parquet(f"{lib}/chunks").collect()}
+    chunks = {(r.org, r.document): (r.content, r.suspicious) for r in documents(spark, lib, "chunks").collect()}
     assert chunks == {("a", "x.txt"): ("second text of x", False), ("b", "y.txt"): ("harmless now", False)}
-    assert {r.name: r.chunk_count for r in spark.read.parquet(f"{lib}/documents").collect()} == {"x.txt": 1, "y.txt": 1}
+    assert {r.name: r.chunk_count for r in documents(spark, lib).collect()} == {"x.txt": 1, "y.txt": 1}
 
 
 def test_audit_stream(spark, tmp_path):
