@@ -2,19 +2,20 @@
 
 import uuid
 
+import pyarrow.fs as fs
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import clean_layout, safe_name
 from ..functions.urls import url_rejection
 from ..sources import files as src
-from ..sources.pages import NO_PAGE_TEXT, page_intake
+from ..sources.pages import page_intake
 from ..session import shared_folder, staged
 from . import sql_blocks as b
 from .registry import Tables, query
 
 NAMES = """SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN '../../etc/passwd.txt' WHEN 1 THEN 'C:' || chr(92) || 'dir' || chr(92) || 'rep<o>rt?.PDF' WHEN 2 THEN 'a/b/'
- WHEN 3 THEN '..' WHEN 4 THEN '  .hidden. ' WHEN 5 THEN '' WHEN 6 THEN substr(text, 1, 300) WHEN 7 THEN 'x/./' WHEN 8 THEN 'tab' || chr(9) || '|pipe*.md'
+ WHEN 3 THEN '..' WHEN 4 THEN '  .hidden. ' WHEN 5 THEN '' WHEN 6 THEN text WHEN 7 THEN 'x/./' WHEN 8 THEN 'tab' || chr(9) || '|pipe*.md'
  WHEN 9 THEN '/' ELSE 'notes ' || CAST(doc_id AS STRING) || '.txt' END AS name FROM documents"""
 
 
@@ -55,19 +56,24 @@ FILES = """SELECT org, batch, doc_id, name, hexed, CAST(length(hexed) / 2 AS BIG
  || CASE WHEN doc_id % 16 = 2 AND doc_id % 3 < 2 THEN '' ELSE hex(text) END END AS hexed FROM documents) AS f"""
 
 
+def sql_filled(template: str, *values: str) -> str:
+    parts = template.split("{}")
+    return " || ".join([b.quoted(parts[0]), *[x for value, part in zip(values, parts[1:]) for x in (value, b.quoted(part))]])
+
+
 def sql_triage() -> str:
     """CTEs ending in ``judged`` with kind and error per file."""
     kinds = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in fv.KIND_BY_EXTENSION.items())
     hints = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in fv.LEGACY_HINTS.items())
     return f"""files AS ({FILES}), e AS (SELECT *, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS ext FROM files),
 k AS (SELECT *, CASE ext {kinds} END AS kind0, CASE ext {hints} END AS hint FROM e),
-judged AS (SELECT *, CASE WHEN hint IS NOT NULL THEN '''' || ext || ''' is an old binary format. Open it and use Save As ' || hint || ', then upload that file.'
- WHEN kind0 IS NULL THEN 'Unsupported file type ''' || CASE WHEN ext = '' THEN 'unknown' ELSE ext END || '''. Allowed: {fv.ALLOWED_LABEL}.'
- WHEN hexed = '' THEN 'The file is empty.'
+judged AS (SELECT *, CASE WHEN hint IS NOT NULL THEN {sql_filled(fv.OLD_FORMAT, 'ext', 'hint')}
+ WHEN kind0 IS NULL THEN {sql_filled(fv.UNSUPPORTED_TYPE, "CASE WHEN ext = '' THEN 'unknown' ELSE ext END", b.quoted(fv.ALLOWED_LABEL))}
+ WHEN hexed = '' THEN '{fv.EMPTY_FILE}'
  WHEN NOT CASE WHEN kind0 = 'pdf' THEN regexp_matches(left(hexed, 2048), '^(?:20|09|0A|0B|0C|0D)*255044462D') WHEN kind0 IN ('docx', 'pptx') THEN starts_with(hexed, '504B0304')
   WHEN kind0 = 'image' THEN starts_with(hexed, '89504E470D0A1A0A') OR starts_with(hexed, 'FFD8FF') OR (starts_with(hexed, '52494646') AND substr(hexed, 17, 8) = '57454250')
   ELSE NOT list_contains(regexp_extract_all(left(hexed, 16384), '..'), '00') END
- THEN '''' || name || ''' does not look like a valid ' || upper(kind0) || ' file.' END AS kerror FROM k)"""
+ THEN {sql_filled(fv.NOT_VALID, 'name', 'upper(kind0)')} END AS kerror FROM k)"""
 
 
 def _files(t: Tables):
@@ -99,8 +105,8 @@ def decode_text(t: Tables):
 
 
 SQL_ADMITTED = f"""{sql_decoded()}, batches AS (SELECT org, batch, count(*) AS n FROM files GROUP BY ALL),
-rows AS (SELECT j.org, j.batch, j.doc_id, j.name, CASE WHEN n > 10 THEN 'At most 10 files per upload.' WHEN name = '' THEN 'Invalid file name.' WHEN kerror IS NOT NULL THEN kerror
- WHEN kind0 IN ('txt', 'md') AND coalesce(d.text, '') = '' THEN {b.quoted(src.NO_TEXT)} END AS error FROM judged j JOIN batches USING (org, batch) LEFT JOIN decoded d USING (doc_id))"""
+rows AS (SELECT j.org, j.batch, j.doc_id, j.name, CASE WHEN n > 10 THEN '{fv.TOO_MANY_FILES.format(10)}' WHEN name = '' THEN '{fv.BAD_FILE_NAME}' WHEN kerror IS NOT NULL THEN kerror
+ WHEN kind0 IN ('txt', 'md') AND coalesce(d.text, '') = '' THEN {b.quoted(fv.NO_TEXT)} END AS error FROM judged j JOIN batches USING (org, batch) LEFT JOIN decoded d USING (doc_id))"""
 
 
 @query("split_accepted", f"WITH {SQL_ADMITTED} SELECT doc_id, 'accepted' AS outcome, NULL::VARCHAR AS error FROM rows WHERE error IS NULL UNION ALL SELECT doc_id, 'rejected', error FROM rows WHERE error IS NOT NULL")
@@ -185,7 +191,7 @@ x AS (SELECT page_id, url, error, CASE WHEN error IS NULL THEN array_to_string(l
  CASE WHEN error IS NULL THEN {b.strip(sql_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} ELSE '' END AS title0 FROM r),
 n AS (SELECT *, {sql_safe_name(f"left(CASE WHEN title0 = '' THEN url ELSE title0 END, {fv.MAX_NAME_CHARS})")} AS name0 FROM x)
 SELECT page_id, CASE WHEN name0 = '' THEN left(url, 200) ELSE name0 END AS name, 'url' AS kind, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256, text,
- coalesce(error, CASE WHEN length({b.strip('text')}) < {fv.MIN_PAGE_CHARS} THEN '{NO_PAGE_TEXT}' END) AS error FROM n""")
+ coalesce(error, CASE WHEN length({b.strip('text')}) < {fv.MIN_PAGE_CHARS} THEN '{fv.NO_PAGE_TEXT}' END) AS error FROM n""")
 def pages(t: Tables):
     """Web pages as documents, with the reason where one is refused."""
     return page_intake(t.spread(URLS)).select("page_id", "name", "kind", "size", "sha256", "text", "error")
@@ -193,14 +199,26 @@ def pages(t: Tables):
 
 # files on disk: the documents of an organisation in batches of one file, some of them too large to be read
 CAP = 4000
-ON_DISK = """SELECT source AS org, 'b' || CAST(doc_id AS STRING) AS batch, coalesce(text, '') AS value FROM documents"""
+ON_DISK = """SELECT source AS org, 'b' || CAST(doc_id AS STRING) AS batch, CASE WHEN doc_id % 17 = 3 THEN '' ELSE coalesce(text, '') END AS value FROM documents"""
+
+
+def write_files(rows, path: str) -> None:
+    """A file for every row, under folders of its organisation and batch."""
+
+    def write(part) -> None:
+        for r in part:
+            system, folder = fs.FileSystem.from_uri(f"{path}/{r['org']}/{r['batch']}") if "://" in path else (fs.LocalFileSystem(), f"{path}/{r['org']}/{r['batch']}")
+            system.create_dir(folder)
+            with system.open_output_stream(f"{folder}/document.txt") as out:
+                out.write(r["value"].encode())
+
+    rows.foreachPartition(write)
 
 
-@query("read_files", f"""SELECT 'org=' || org AS org, 'batch=' || batch AS batch, octet_length(encode(value))::BIGINT + 1 AS size,
- CASE WHEN octet_length(encode(value)) + 1 <= {CAP} THEN sha256(value || chr(10)) END AS sha256, CASE WHEN octet_length(encode(value)) + 1 > {CAP} THEN 'File exceeds the 0 MB limit.' END AS error
- FROM ({ON_DISK})""")
+@query("read_files", f"""SELECT org, batch, octet_length(encode(value))::BIGINT AS size, CASE WHEN octet_length(encode(value)) <= {CAP} THEN sha256(value) END AS sha256,
+ CASE WHEN octet_length(encode(value)) > {CAP} THEN '{fv.FILE_TOO_LARGE.format(0)}' WHEN value = '' THEN '{fv.EMPTY_FILE}' END AS error FROM ({ON_DISK})""")
 def read_files(t: Tables):
-    """Files written from the documents and read back; of those over the cap only the size is known."""
+    """Files written from the documents and read back; of those over the cap only the size is known, and those without a byte are errors too."""
     path = f"{shared_folder(t.spark)}/foliant/{uuid.uuid4().hex}/files"
-    t.sql(ON_DISK).repartition("org", "batch").write.partitionBy("org", "batch").text(path)
+    write_files(t.spread(ON_DISK), path)
     return src.read_files(t.spark, path, cap=CAP).select("org", "batch", "size", F.sha2("content", 256).alias("sha256"), "error")

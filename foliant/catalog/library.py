@@ -83,6 +83,18 @@ def library_now(t: Tables):
     return lib.library_as_of(t.sql(inputs.LIBRARY_EVENTS).withColumnRenamed("happened", "ts"))
 
 
+ASKED_AT = f"SELECT item_id AS qid, 'src' || CAST(item_id % 20 AS STRING) AS org, 1704067200 + CAST(item_id * 7919 % (SELECT max(doc_id) + 40 FROM documents) AS BIGINT) * 600 + CAST(item_id % 3 AS BIGINT) - 1 AS at FROM benchmark"
+
+
+@query("library_at_question", f"""WITH e AS ({inputs.LIBRARY_EVENTS}), q AS ({ASKED_AT}),
+last AS (SELECT q.qid, q.org, e.name, e.seq, e.action FROM q JOIN e ON e.org = q.org AND e.happened <= q.at WHERE e.action <> 'clear' QUALIFY row_number() OVER (PARTITION BY q.qid, e.name ORDER BY e.seq DESC) = 1),
+cleared AS (SELECT q.qid, max(e.seq) AS seq FROM q JOIN e ON e.org = q.org AND e.happened <= q.at AND e.action = 'clear' GROUP BY q.qid)
+SELECT l.qid, l.org, l.name, l.seq FROM last l LEFT JOIN cleared c USING (qid) WHERE l.action = 'upload' AND l.seq > coalesce(c.seq, -1)""")
+def library_at_question(t: Tables):
+    """For every question the documents that its library held when it was asked."""
+    return lib.library_at(t.sql(ASKED_AT), t.sql(inputs.LIBRARY_EVENTS).withColumnRenamed("happened", "ts"))
+
+
 SQL_CATALOGUE = f"""{LATEST}, first50 AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY org ORDER BY name) <= 50),
 catalogue AS (SELECT org, string_agg(name || ' (' || upper(kind) || CASE WHEN pages > 0 THEN ', ' || pages || ' pages' ELSE '' END || ')', '; ' ORDER BY name) AS catalogue, count(*) AS listed FROM first50 GROUP BY org)"""
 

@@ -116,18 +116,32 @@ def embed_distinct(t: Tables):
     return _summary(embed.embed_distinct(spread(t.documents).select("doc_id", "text"), MODEL, "text"), "doc_id")
 
 
-STORED = """SELECT d.doc_id, d.text AS content, e.embedding, CASE WHEN d.lang = 'en' THEN 'hash-64' ELSE 'older-model' END AS embed_model
- FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"""
+STORED = """SELECT d.doc_id, d.text AS content, e.embedding, CASE WHEN d.lang = 'en' AND e.vec_id IS NOT NULL THEN 'hash-64' ELSE 'older-model' END AS embed_model
+ FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"""
 
 
 @query("reembed_stale", f"""WITH stored AS ({STORED}), old AS (SELECT * FROM stored WHERE embed_model <> 'hash-64'), {b.CRC}, {b.hash_vectors('old', 'doc_id', 'content', 'hv', 64)},
 kept AS (SELECT doc_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS slot FROM stored WHERE embed_model = 'hash-64')
 SELECT doc_id, 'hash-64' AS embed_model, {_SUMMED.format(dim=64)} FROM (SELECT doc_id, slot, v FROM hv UNION ALL SELECT doc_id, slot, v FROM kept WHERE v <> 0) GROUP BY doc_id""")
 def reembed_stale(t: Tables):
-    """Vectors made by another model are made again; the others stay."""
+    """Vectors made by another model, and vectors that are missing, are made again; the others stay."""
     return _summary(embed.reembed_stale(t.spread(STORED), hash_embedder(64)), "doc_id", "embed_model")
 
 
+@query("embed_stored", f"""WITH {b.CRC}, {b.hash_vectors('documents', 'doc_id', 'text', 'cvec')},
+first AS (SELECT coalesce(text, '') AS text, CASE WHEN bool_or(doc_id % 2 = 0) THEN 1 ELSE 2 END AS run FROM documents GROUP BY ALL),
+counted AS (SELECT doc_id, {_SUMMED.format(dim=384)} FROM documents LEFT JOIN cvec USING (doc_id) GROUP BY doc_id)
+SELECT c.*, run::BIGINT AS run FROM counted c JOIN documents d USING (doc_id) JOIN first f ON f.text = coalesce(d.text, '')""")
+def embed_stored(t: Tables):
+    """Vectors of all documents after runs over half of them, over all, and over all again, with the run that made each: the third makes none."""
+    path, docs = f"{shared_folder(t.spark)}/foliant/{uuid.uuid4().hex}/vectors", spread(t.documents).select("doc_id", "text")
+    for run, rows in ((1, docs.where("doc_id % 2 = 0")), (2, docs), (3, docs)):
+        vectors = embed.embed_stored(rows, MODEL, path, run, "text")
+    made = embed.stored_vectors(t.spark, path, MODEL).select("sha", F.col("run").cast("bigint").alias("run"))
+    keyed = vectors.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(made, "sha")
+    return _summary(keyed, "doc_id", "run")
+
+
 MIXED = """SELECT vec_id AS chunk_id, 'label' || CAST(label AS STRING) AS org, CASE WHEN vec_id % 9 = 4 THEN slice(embedding, 1, 32) ELSE embedding END AS embedding FROM embeddings"""
 
 
@@ -360,7 +374,7 @@ def own_embedder(t: Tables):
 BLANKED = "SELECT source AS org, doc_id AS document_id, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS document, CASE WHEN doc_id % 9 = 2 THEN '  ' || chr(10) WHEN doc_id % 9 = 6 THEN NULL ELSE text END AS text FROM documents"
 
 
-@query("documents_without_text", f"SELECT org, document_id, 'Document produced no indexable text.' AS error FROM ({BLANKED}) WHERE {b.strip('coalesce(text, chr(32))')} = ''")
+@query("documents_without_text", f"SELECT org, document_id, '{fv.NO_INDEXABLE_TEXT}' AS error FROM ({BLANKED}) WHERE {b.strip('coalesce(text, chr(32))')} = ''")
 def documents_without_text(t: Tables):
     """Documents that gave no passage, as error rows."""
     docs = t.spread(BLANKED)

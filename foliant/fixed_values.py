@@ -74,6 +74,18 @@ VOID_ELEMENTS = [
     "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
 ]
 
+# ------------------------------------------------------------------ fixed values: reasons for refusing files and documents
+EMPTY_FILE = "The file is empty."
+FILE_TOO_LARGE = "File exceeds the {} MB limit."
+TOO_MANY_FILES = "At most {} files per upload."
+BAD_FILE_NAME = "Invalid file name."
+OLD_FORMAT = "'{}' is an old binary format. Open it and use Save As {}, then upload that file."
+UNSUPPORTED_TYPE = "Unsupported file type '{}'. Allowed: {}."
+NOT_VALID = "'{}' does not look like a valid {} file."
+NO_TEXT = "No extractable text found (is this a scanned document? Upload it as an image to use OCR)."
+NO_PAGE_TEXT = "No readable text found at that URL."
+NO_INDEXABLE_TEXT = "Document produced no indexable text."
+
 # ------------------------------------------------------------------ fixed values: URL rules
 URL_BAD_SCHEME = "Only http and https URLs are allowed"
 URL_NO_HOST = "URL has no host"

@@ -26,6 +26,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, java(rf"^{SPACE}+|{SPACE}+\z"), "")
 
 
+def filled(template: str, *values: Column) -> Column:
+    """A text in which each ``{}`` is the next value."""
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for value, part in zip(values, parts[1:], strict=True) for x in (value, F.lit(part))])
+
+
 def clean_control(text: Column) -> Column:
     """Remove control characters other than newline, carriage return and tab."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), fv.CONTROL, "")

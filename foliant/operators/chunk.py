@@ -98,4 +98,4 @@ def document_rollup(chunks: DataFrame, keys: list[str], model: str) -> DataFrame
 def documents_without_text(docs: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Documents that produced no passage; they are errors."""
     return docs.join(chunks.select(*keys).distinct(), keys, "left_anti").withColumn(
-        "error", F.lit("Document produced no indexable text."))
+        "error", F.lit(fv.NO_INDEXABLE_TEXT))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from hashlib import sha256
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Embedder, embed_column
@@ -25,6 +28,39 @@ def embed_distinct(chunks: DataFrame, model: Embedder, text: str = "content", ou
     return keyed.join(vectors, "__sha").drop("__sha")
 
 
+def stored_vectors(spark: SparkSession, path: str, model: Embedder, before: int | None = None) -> DataFrame:
+    """``sha, embedding, run`` of all texts that ``model`` has embedded into a folder, in runs before ``before`` if given."""
+    held = spark.read.schema("sha string, embedding array<float>, model string, run int")
+    try:
+        rows = held.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], "sha string, embedding array<float>, model string, run int")
+    rows = rows.where(F.col("model") == model_folder(model)).drop("model")
+    return rows if before is None else rows.where(F.col("run") < before)
+
+
+def model_folder(model: Embedder) -> str:
+    """Folder of a model's vectors; names may hold characters that paths may not."""
+    return sha256(model.name.encode()).hexdigest()[:32]
+
+
+def embed_stored(chunks: DataFrame, model: Embedder, path: str, run: int, text: str = "content", out: str = "embedding") -> DataFrame:
+    """Add unit vectors, embedding only texts that no earlier run has embedded.
+
+    Vectors are kept by model and digest of the text: what is new is written to a folder of its run, which the same run writes again if it is repeated. Rows then meet
+    their vector by digest; a text that fills a large part of the table skews only the side of an inner join that adaptive execution splits.
+    """
+    spark = chunks.sparkSession
+    keyed = chunks.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    known = stored_vectors(spark, path, model, run)
+    fresh = keyed.groupBy(F.col("__sha").alias("sha")).agg(F.first(text).alias("__text")).join(known.select("sha"), "sha", "left_anti")
+    fresh.select("sha", embed_column(F.col("__text"), model).alias("embedding")).write.mode("overwrite").parquet(f"{path}/model={model_folder(model)}/run={run}")
+    vectors = stored_vectors(spark, path, model, run + 1).select(F.col("sha").alias("__sha"), F.col("embedding").alias(out))
+    return keyed.join(vectors, "__sha").drop("__sha")
+
+
 def reembed_stale(chunks: DataFrame, model: Embedder, *, model_col: str = "embed_model", text: str = "content",
                   out: str = "embedding") -> DataFrame:
     """Embed again what another model embedded; the rest is passed on untouched."""

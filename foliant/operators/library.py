@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .ordered import carried, interval_join
 
 
 def list_documents(docs: DataFrame, org: str | None = None) -> DataFrame:
@@ -69,6 +70,25 @@ def library_as_of(events: DataFrame, at: Column | None = None) -> DataFrame:
     return alive.select("org", "name", "last.seq", "last.ts")
 
 
+def name_intervals(events: DataFrame) -> DataFrame:
+    """``org, name, seq, start, end`` of every upload among the events (org, seq, ts, action, name): from its time until the name is uploaded again or deleted or its library
+    cleared; ``end`` is null if none of these happened. Within an organisation ``seq`` orders the events as ``ts`` does.
+    """
+    named = events.where("action <> 'clear'")
+    following = Window.partitionBy("org", "name").orderBy("seq")
+    until = named.withColumn("next", F.lead("ts").over(following)).where("action = 'upload'")
+    # the next clearing: carried backwards over the events of the organisation, in ranges
+    marked = until.select("org", "seq", "name", "ts", "next", F.lit(None).cast(events.schema["ts"].dataType).alias("clear")).unionByName(
+        events.where("action = 'clear'").select("org", "seq", "name", "ts", F.col("ts").alias("next"), F.col("ts").alias("clear")))
+    cleared = carried(marked.withColumn("back", -F.col("seq")), "org", ["back"], "clear", "cleared")
+    return cleared.where("clear IS NULL").select("org", "name", "seq", F.col("ts").alias("start"), F.least("next", "cleared").alias("end"))
+
+
+def library_at(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """``qid, org, name, seq``: the documents that the library of each question's organisation held at the question's own time ``at`` (a whole number, as ``ts`` of the events)."""
+    return interval_join(questions.select("qid", "org", "at"), name_intervals(events), "org").select("qid", "org", "name", "seq")
+
+
 def catalogue(docs: DataFrame) -> DataFrame:
     """``org, catalogue, listed``: the first 50 documents by name as one line, and how many these are."""
     order = Window.partitionBy("org").orderBy("name")
@@ -85,16 +105,34 @@ def removed_documents(audit: DataFrame, current: DataFrame, now: Column, days: i
     the newest deletion.
 
     ``audit``: org, id, ts, action, target. Names overlap if equal without case, or if one holds the other and both
-    have 8 characters. At most 40 deletions per organisation meet the names of the library, by an inner join, so the
-    names of a large organisation can be split over tasks.
+    have 8 characters. Names of the library and at most 40 deletions per organisation meet on what they share, by equality: no deletion is compared with every name.
     """
     recent = audit.where((F.col("action") == "document.delete") & (F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS")))
     newest = Window.partitionBy("org").orderBy(F.desc("id"))
     last = recent.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= fv.REMOVED_EVENTS)
     gone = last.where("target <> ''").groupBy("org", F.col("target").alias("name")).agg(F.max("id").alias("id"))
-    low, cur = F.lower("name"), F.lower("current")
-    shortest = F.least(F.length("name"), F.length("current"))
-    overlap = (low == cur) | ((shortest >= fv.FUZZY_MIN_CHARS) & (F.contains(low, cur) | F.contains(cur, low)))
-    names = current.select("org", F.col("name").alias("current"))
-    back = gone.select("org", "name").join(names, "org").where(overlap | (F.col("name") == F.col("current")))
-    return gone.join(back.select("org", "name").distinct(), ["org", "name"], "left_anti")
+    names = current.select("org", F.col("name").alias("current"), F.lower("name").alias("low")).distinct()
+    lost = gone.select("org", "name", F.lower("name").alias("low"))
+    same = lost.join(names, ["org", "low"]).select("org", "name")
+    inside = contained(lost, names.select("org", F.col("current").alias("other"), "low")).select("org", "name")
+    around = contained(names, lost.select("org", F.col("name").alias("other"), "low")).select("org", F.col("other").alias("name"))
+    back = same.unionByName(inside).unionByName(around).distinct()
+    return gone.join(back, ["org", "name"], "left_anti")
+
+
+def runs_of_letters(low: Column) -> Column:
+    """All runs of as many characters as names must have to be compared, of a name that is long enough."""
+    size = fv.FUZZY_MIN_CHARS
+    return F.when(F.length(low) >= size, F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size))))
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Rows of ``short`` (org, low, ...) with those of ``long`` (org, low, ...) of the same organisation whose ``low`` contains theirs, both of at least 8 characters.
+
+    They meet by equality: one run of 8 characters of the shorter name, that with the least hash, must be among those of the longer one. So names that merely
+    begin alike do not meet.
+    """
+    chosen = F.array_min(F.transform(runs_of_letters(F.col("low")), lambda g: F.struct(F.xxhash64(g).alias("hash"), g.alias("gram"))))
+    left = short.withColumn("gram", chosen["gram"]).where("gram IS NOT NULL")
+    right = long.withColumn("gram", F.explode(F.array_distinct(runs_of_letters(F.col("low"))))).withColumnRenamed("low", "whole")
+    return left.join(right, ["org", "gram"]).where(F.contains("whole", F.col("low")))

@@ -2,33 +2,85 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import fixed_values as fv
-from ..functions.text import clean_layout, safe_name
+from ..functions.text import clean_layout, filled, safe_name
 from ..session import staged
 
-NO_TEXT = "No extractable text found (is this a scanned document? Upload it as an image to use OCR)."
+
+class FolderFiles(DataSource):
+    """Files below a folder, by a listing of its own: also those without a byte, which Spark's file sources leave out.
+
+    Options: ``path`` and ``cap``, the bytes beyond which a file's content is not read. Every folder directly below ``path`` is listed and read by a task of its
+    own, so neither the names nor the contents of all files come together anywhere. Paths may have any scheme that Arrow's file systems know.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder_files"
+
+    def schema(self) -> str:
+        return "path string, length bigint, content binary"
+
+    def reader(self, schema: T.StructType) -> FolderReader:
+        return FolderReader(self.options["path"], int(self.options["cap"]))
+
+
+class Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        super().__init__(path)
+        self.deep = deep
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, path: str, cap: int):
+        self.path, self.cap = path, cap
+
+    def opened(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), re.sub("^file:", "", self.path))
+
+    def partitions(self) -> list[Folder]:
+        system, path = self.opened()
+        below = system.get_file_info(fs.FileSelector(path))
+        return [Folder(path, False)] + [Folder(x.path, True) for x in below if x.type == fs.FileType.Directory]
+
+    def read(self, partition: Folder) -> Iterator[tuple[str, int, bytes | None]]:
+        system, _ = self.opened()
+        folders = [partition.value]
+        while folders:  # one folder's listing at a time
+            for x in system.get_file_info(fs.FileSelector(folders.pop())):
+                if x.type == fs.FileType.Directory:
+                    folders += [x.path] if partition.deep else []
+                elif x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")):
+                    content = None
+                    if x.size <= self.cap:
+                        with system.open_input_stream(x.path) as data:
+                            content = data.read()
+                    yield x.path, x.size, content
 
 
 def read_files(spark: SparkSession, path: str, *, cap: int = fv.MAX_FILE_BYTES) -> DataFrame:
     """``batch, org, name, size, content, error`` of the files under ``path/<org>/<batch>/``.
 
-    The size cap is pushed to the source, so the content of a larger file is never read; it becomes an error row.
-    Spark's file sources leave out files without a single byte; these can only be reported by who lists the folder.
+    The content of a file over the cap is never read; it becomes an error row, and so does a file without a byte. Names that start with a dot or an
+    underscore are left out, as Spark leaves them out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    spark.dataSource.register(FolderFiles)
+    files = spark.read.format("folder_files").option("cap", cap).load(path)
     parts = F.split(F.col("path"), "/")
-    described = lambda df, content, error: df.select(
+    error = F.when(F.col("length") > cap, F.lit(fv.FILE_TOO_LARGE.format(cap // fv.MB))).when(F.col("length") == 0, fv.EMPTY_FILE)
+    return admit_batches(files.select(
         F.element_at(parts, -2).alias("batch"), F.element_at(parts, -3).alias("org"),
-        safe_name(F.col("path")).alias("name"), F.col("length").alias("size"), content.alias("content"), error.alias("error"))
-    read = described(files.where(F.col("length") <= cap), F.col("content"), F.lit(None).cast("string"))
-    large = described(files.where(F.col("length") > cap), F.lit(None).cast("binary"),
-                      F.lit(f"File exceeds the {cap // fv.MB} MB limit."))
-    return admit_batches(read.unionByName(large))
+        safe_name(F.col("path")).alias("name"), F.col("length").alias("size"), "content", error.alias("error")))
 
 
 def admit_batches(files: DataFrame, *, limit: int = fv.MAX_FILES_PER_BATCH) -> DataFrame:
@@ -39,8 +91,8 @@ def admit_batches(files: DataFrame, *, limit: int = fv.MAX_FILES_PER_BATCH) -> D
     """
     sizes = files.groupBy("org", "batch").agg(F.count("*").alias("__files"))
     over = sizes.where(F.col("__files") > limit)
-    error = (F.when(F.col("__files").isNotNull(), f"At most {limit} files per upload.")
-             .when(F.col("name") == "", "Invalid file name.").otherwise(F.col("error")))
+    error = (F.when(F.col("__files").isNotNull(), fv.TOO_MANY_FILES.format(limit))
+             .when(F.col("name") == "", fv.BAD_FILE_NAME).otherwise(F.col("error")))
     return files.join(over, ["org", "batch"], "left").withColumn("error", error).drop("__files")
 
 
@@ -57,12 +109,10 @@ def triage_kind(files: DataFrame, name: str = "name", content: str = "content",
              .when(F.col(raw) == "image", starts(b"\x89PNG\r\n\x1a\n") | starts(b"\xff\xd8\xff") | webp)
              .otherwise(~F.contains(F.substring(data, 1, 8192), F.lit(b"\x00"))))
     reason = (
-        F.when(F.col(hint).isNotNull(), F.concat(F.lit("'"), ext, F.lit("' is an old binary format. Open it and use Save As "), hint,
-                                                 F.lit(", then upload that file.")))
-        .when(F.col(raw).isNull(), F.concat(F.lit("Unsupported file type '"), F.when(F.col(ext) == "", "unknown").otherwise(F.col(ext)),
-                                            F.lit(f"'. Allowed: {fv.ALLOWED_LABEL}.")))
-        .when(F.length(data) == 0, "The file is empty.")
-        .when(~valid, F.concat(F.lit("'"), name, F.lit("' does not look like a valid "), F.upper(raw), F.lit(" file."))))
+        F.when(F.col(hint).isNotNull(), filled(fv.OLD_FORMAT, F.col(ext), F.col(hint)))
+        .when(F.col(raw).isNull(), filled(fv.UNSUPPORTED_TYPE, F.when(F.col(ext) == "", "unknown").otherwise(F.col(ext)), F.lit(fv.ALLOWED_LABEL)))
+        .when(F.length(data) == 0, fv.EMPTY_FILE)
+        .when(~valid, filled(fv.NOT_VALID, F.col(name), F.upper(raw))))
     named = files.withColumn(ext, F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)\z", 1)))
     judged = named.withColumns({raw: look_up(fv.KIND_BY_EXTENSION), hint: look_up(fv.LEGACY_HINTS)}).withColumn(error, reason)
     return judged.withColumn(kind, F.when(F.col(error).isNull(), F.col(raw))).drop(ext, hint, raw)
@@ -100,7 +150,7 @@ def text_segments(files: DataFrame, *, max_chars: int = fv.MAX_TEXT_CHARS) -> Da
     is_text = F.col("error").isNull() & F.col("kind").isin("txt", "md")
     read = judged.withColumn("__text", is_text).withColumn("__whole", decoded(F.when(F.col("__text"), F.col("content")))).withColumns({
         "text": clean_layout(F.substring("__whole", 1, max_chars)), "cut_chars": F.greatest(F.lit(0), F.length("__whole") - max_chars)})
-    error = F.when(F.col("__text") & (F.col("text") == ""), NO_TEXT).otherwise(F.col("error"))
+    error = F.when(F.col("__text") & (F.col("text") == ""), fv.NO_TEXT).otherwise(F.col("error"))
     return read.withColumns({"error": error, "content": F.when(~F.col("__text"), F.col("content"))}).drop("__text", "__whole")
 
 

@@ -10,7 +10,6 @@ from ..functions.html import html_to_text
 from ..functions.text import safe_name, strip
 from ..functions.urls import url_rejection
 
-NO_PAGE_TEXT = "No readable text found at that URL."
 
 
 def page_intake(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
@@ -24,5 +23,5 @@ def page_intake(pages: DataFrame, *, url: str = "url", html: str = "html") -> Da
         *[c for c in read.columns if c not in ("__page", "error")],
         F.when(name != "", name).otherwise(F.substring(url, 1, fv.MAX_NAME_CHARS)).alias("name"),
         F.lit("url").alias("kind"), F.octet_length(text).cast("bigint").alias("size"), F.sha2(text, 256).alias("sha256"),
-        text.alias("text"), F.coalesce("error", F.when(short, NO_PAGE_TEXT)).alias("error"),
+        text.alias("text"), F.coalesce("error", F.when(short, fv.NO_PAGE_TEXT)).alias("error"),
     )

@@ -88,6 +88,21 @@ def usage_stream(questions: DataFrame) -> DataFrame:
     return counted.select("org", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "value")
 
 
+def corrected_usage(counted: DataFrame, late: DataFrame) -> DataFrame:
+    """``org, day, value``: final days with what came too late for them.
+
+    ``counted`` is what :func:`usage_stream` has written, ``late`` the side table of its late rows (org, ts, outcome, and optionally ``sign``, -1 where an answer is taken back). The side table
+    has a folder for each batch, which a replay writes again, so a row corrects once. Days that are still open are left out; their late rows count as soon
+    as the day is final. An organisation may have late rows only.
+    """
+    final = counted.agg(F.max("day").alias("last"))
+    sign = F.col("sign") if "sign" in late.columns else F.lit(1)
+    signed = late.where("outcome = 'answered'").select("org", F.date_format("ts", "yyyy-MM-dd").alias("day"), sign.cast("bigint").alias("value"))
+    rows = counted.select("org", "day", F.col("value").cast("bigint").alias("value")).unionByName(signed)
+    summed = rows.groupBy("org", "day").agg(F.sum("value").alias("value")).where("value <> 0")
+    return summed.join(final, F.col("day") <= F.col("last"), "left_semi")
+
+
 def split_late(rows: DataFrame, *, ts: str = "ts", arrived: str = "arrived") -> tuple[DataFrame, DataFrame]:
     """Rows in time, and rows that arrived more than an hour after they happened; these go to a side table."""
     late = F.col(arrived) > F.col(ts) + F.expr(f"INTERVAL {LATENESS}")
