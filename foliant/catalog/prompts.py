@@ -1,5 +1,7 @@
 """Queries over requests, histories, prompts, answers and sources."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -8,9 +10,12 @@ from ..operators import prompt as pr
 from ..operators import retrieve
 from ..operators.library import catalogue, latest_by_name
 from ..plans import answer as plan
+from ..plans.ingest import passages as cut_passages
+from ..session import shared_folder, staged
+from ..streaming import jobs
 from . import inputs
 from . import sql_blocks as b
-from .guardrails import sql_fenced, sql_kinds, sql_norm, sql_secrets, sql_strip_clean
+from .guardrails import SUSPICIOUS, sql_fenced, sql_kinds, sql_norm, sql_secrets, sql_strip_clean
 from .library import SQL_CATALOGUE, SQL_REMOVED, removed
 from .registry import Tables, query
 from .search import K, MODEL, VECTORS, library, whole_documents
@@ -237,3 +242,50 @@ def conversation_flow(t: Tables):
     first = plan.prompt_questions(library(t), t.sql(ASKED), catalogue(names), gone, MODEL, key="key", turns=t.spread(HISTORY).drop("org"), replies=t.sql(REPLIES))
     line = F.transform(F.slice("messages", 2, F.size("messages")), lambda m: F.concat(m["role"], F.lit(">"), m["content"]))
     return first.prompts.select("qid", "search_query", F.size("messages").cast("bigint").alias("n"), F.array_join(line, "\n").alias("text"))
+
+
+# the whole flow over a library in which many passages give instructions, with images in some questions
+IMAGES = "CASE qid % 5 WHEN 0 THEN 'data:image/png;base64,iVBORw0KGgo=' WHEN 1 THEN 'data:image/svg+xml;base64,AAAA' WHEN 2 THEN 'https://pictures.example.org/a.png' END"
+SQL_ILLUSTRATED = f"""lib AS ({inputs.ATTACKED}), {SQL_ROUTED}, {b.passages()}, {VECTORS}{b.hybrid(MODEL.name, K)},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS turn, min(chunk_id) OVER (PARTITION BY document_id) AS f FROM chunks),
+shown AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY turn, f) AS pos FROM firsts QUALIFY pos <= {K}),
+shown_hits AS (SELECT qid, chunk_id FROM picked UNION ALL SELECT q.qid, s.chunk_id FROM questions q JOIN shown s USING (org) WHERE is_overview = 1 AND q.qid NOT IN (SELECT qid FROM picked)),
+sus AS (SELECT qid, bool_or({SUSPICIOUS}) AS suspicious FROM (SELECT h.qid, {sql_norm('c.content')} AS norm FROM shown_hits h JOIN chunks c USING (chunk_id)) GROUP BY qid),
+{FLAGS.replace('asked AS', 'flagged AS', 1).replace('FROM asked', 'FROM flagged', 1).replace('n AS (SELECT', 'fn AS (SELECT', 1).replace('FROM n)', 'FROM fn)', 1)},
+outcome AS (SELECT j.qid, j.org, blocked, reason, rule, secret, coalesce(suspicious, false) AS suspicious, {IMAGES.replace('qid', 'j.qid')} AS image FROM j LEFT JOIN sus USING (qid)),
+judged AS (SELECT *, NOT blocked AND image IS NOT NULL AND NOT regexp_matches(image, {b.quoted(fv.IMAGE_REF)}) AS bad FROM outcome),
+said_flags AS (SELECT qid, org, blocked OR bad AS refused, CASE WHEN blocked THEN reason WHEN bad THEN {b.quoted(fv.BAD_IMAGE)} ELSE text END AS answer,
+ list_filter([rule, CASE WHEN blocked THEN 'input_blocked' WHEN secret THEN 'secret_in_input' END, CASE WHEN suspicious THEN 'suspicious_document_content' END, CASE WHEN bad THEN 'bad_image' END,
+  CASE WHEN NOT blocked AND NOT bad AND found <> '' THEN 'secret_in_output' END], lambda x: x IS NOT NULL) AS flags, CASE WHEN NOT blocked AND NOT bad THEN image END AS image FROM judged JOIN redacted USING (qid)),
+final AS (SELECT *, list_sort(list_filter(flags, lambda x: x IN ({', '.join(map(b.quoted, fv.SERIOUS_FLAGS))}))) AS serious FROM said_flags)"""
+
+
+def illustrated(t: Tables):
+    """Both halves of the flow: questions with images, a library with suspicious passages."""
+    chunks = staged(cut_passages(t.spread(inputs.ATTACKED), MODEL), "chunks")
+    names = t.sql("SELECT source AS org, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS name, 'txt' AS kind, 0 AS pages FROM documents")
+    nothing = names.select("org", "name", F.lit(0).alias("id")).where(F.lit(False))
+    first = plan.prompt_questions(chunks, t.sql(ASKED).withColumn("image", F.expr(IMAGES)), catalogue(names), nothing, MODEL, key="key")
+    return first, plan.finish_answers(first, t.sql(ANSWERS))[0]
+
+
+@query("answer_with_images", f"WITH {SQL_ILLUSTRATED} SELECT qid, answer, refused::INT::BIGINT AS blocked, array_to_string(flags, ',') AS flags, array_to_string(serious, ',') AS serious, image FROM final")
+def answer_with_images(t: Tables):
+    """Answers, refusals and flags of questions with images over a library with suspicious passages; ``image`` is what the last message for the model carries."""
+    first, final = illustrated(t)
+    shown = first.prompts.select("qid", F.element_at("messages", -1)["image"].alias("image"))
+    return final.join(shown, "qid", "left").select("qid", "answer", F.col("blocked").cast("bigint").alias("blocked"), F.array_join("flags", ",").alias("flags"),
+                                                   F.array_join("serious", ",").alias("serious"), "image")
+
+
+@query("audit_of_answers", f"""WITH {SQL_ILLUSTRATED} SELECT org, CASE WHEN refused THEN 'chat.blocked' ELSE 'chat.flagged' END AS action,
+ array_to_string(CASE WHEN refused THEN flags ELSE serious END, ',') AS flags, count(*) AS n FROM final WHERE refused OR len(serious) > 0 GROUP BY ALL""")
+def audit_of_answers(t: Tables):
+    """The trail of the flow: answers arrive as a stream, and what was blocked or flagged is written as it comes."""
+    path = f"{shared_folder(t.spark)}/foliant/{uuid.uuid4().hex}"
+    _, final = illustrated(t)
+    final.write.parquet(f"{path}/answers")
+    arriving = t.spark.readStream.schema(final.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/answers")
+    jobs.audit_stream(plan.audit_events(arriving, F.current_timestamp()), f"{path}/trail", f"{path}/checkpoint").awaitTermination()
+    flags = F.array_join(F.from_json(F.get_json_object("detail", "$.flags"), "array<string>"), ",").alias("flags")
+    return t.spark.read.parquet(f"{path}/trail").groupBy("org", "action", flags).agg(F.count("*").alias("n"))
