@@ -15,13 +15,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, written
 
 BLOCK_BYTES = 4_000_000
 #: Bytes of text for each part of the names.
 PART_BYTES = 16_000_000
 
 
+def once(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, text, many``: each distinct pair of key and text once. Rows that repeat would all fall into one block; without any, the rows stay as they are."""
+    digest = F.md5(as_bytes(text)).alias("digest")
+    if rows.groupBy(key, digest).count().where("count > 1").isEmpty():
+        return rows.select(key, text, F.lit(1).cast("long").alias("many"))
+    return written(rows.groupBy(key, digest).agg(F.any_value(text).alias(text), F.count("*").alias("many")).drop("digest"), "once")
+
+
+def repeated_again(results: DataFrame, together: int = 10_000) -> DataFrame:
+    """Every row ``many`` times, without that column."""
+    thousands = results.withColumn("__part", F.explode(F.sequence(F.lit(0), F.floor((F.col("many") - 1) / F.lit(together)))))
+    here = F.least(F.lit(together), F.col("many") - F.col("__part") * together)
+    return thousands.withColumn("__one", F.explode(F.sequence(F.lit(1).cast("long"), here))).drop("many", "__part", "__one")
+
+
 class Blocks:
     """Documents dealt to blocks: rows ``block, key, content``; null texts are empty. ``parts`` is the number of parts for names."""
 

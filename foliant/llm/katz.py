@@ -1,12 +1,13 @@
-"""Language-model scores by a bigram model with Katz backoff.
+"""Language-model scores by an n-gram model with Katz backoff.
 
-Counts of up to ``MOST`` are discounted by Good and Turing; what that frees goes to words not seen after a history, in proportion to their unigram
-probability, and among unigrams to one unknown word. Backoff weights make every distribution sum to one exactly, also where no count is small enough to be
-discounted: there one is added to the count of the history.
+Counts of up to ``MOST`` are discounted by Good and Turing. The counts of counts that this needs are smoothed first, by a straight line through their logarithms
+(as in simple Good-Turing): raw ones are uneven where documents come in copies, and may rise where the formula needs them to fall. What discounting frees goes to words not
+seen after a history, in proportion to the probability that the next lower order gives them, and among unigrams to one unknown word. Backoff weights make every
+distribution sum to one exactly, also where no count is small enough to be discounted: there one is added to the count of the history.
 
-Blocks of documents ask the count tables, dealt by name, for the total counts of their bigrams and words; then, history by history, for the backoff weights, whose
-sums each block adds up for the bigrams that it owns (the first block that learns a bigram does). A token is scored by its bigram if that was seen, else by
-the weight of its history and its unigram.
+Blocks of documents ask the count tables, dealt by name, for the total counts of their n-grams of all orders; then, order by order from the bigrams up, for the
+backoff weights of their histories, whose sums each block adds up for the n-grams that it owns (the first block that learns one does). A token is scored by its longest
+n-gram if that was seen, else by the weight of its history and, recursively, the next lower order.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Names, mixed, plain_words, written
-from .exchange import Blocks, answered, asked, grouped, requested
+from .exchange import Blocks, answered, asked, grouped, once, repeated_again, requested
 
 MOST = 5
+#: Counts of counts up to this many take part in the fit.
+FITTED = 100
+#: The fitted line falls at least this steeply: else there would be nothing to discount.
+LEAST_SLOPE = -1.05
 END, BEGIN = np.uint64(0x8F3A11C6D2E45B79), np.uint64(0x17C6E9A3F05B8D42)
 
 
-def bigram(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Names of n-grams from the names of all but their last word, and of that."""
     return mixed(mixed(history) * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
@@ -40,39 +46,54 @@ def large(parts: list[bytes]) -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of a block's documents, each with its history; an end closes every document."""
+    """Tokens of a block's documents with their n-grams of every order up to ``order``; an end closes every document.
 
-    def __init__(self, texts: list[bytes]):
+    ``grams[k]`` are the distinct names of order k + 1 and ``at[k]`` the n-gram of each token; ``histories[k]`` and ``at_history[k]`` the same of what comes before the token.
+    """
+
+    def __init__(self, texts: list[bytes], order: int):
         names = Names()
         words = [names.of(plain_words(t.lower())) for t in texts]
         self.counts = np.array([len(w) + 1 for w in words], np.int64)
-        self.word = np.concatenate([x for w in words for x in (w, [END])]).astype(np.uint64)
-        history = np.empty_like(self.word)
-        history[1:] = self.word[:-1]
-        history[np.cumsum(self.counts) - self.counts] = BEGIN
+        word = np.concatenate([x for w in words for x in (w, [END])]).astype(np.uint64)
+        first = np.cumsum(self.counts) - self.counts
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.words, self.at_word = np.unique(self.word, return_inverse=True)
-        self.histories, self.at_history = np.unique(history, return_inverse=True)
-        self.pairs, first, self.at_pair = np.unique(bigram(history, self.word), return_index=True, return_inverse=True)
-        self.pair_word, self.pair_history = self.at_word[first], self.at_history[first]
+        self.grams, self.at, self.place, self.histories, self.at_history = [], [], [], [None], [None]
+        gram, begin = word, BEGIN
+        for k in range(order):
+            if k:
+                history = np.empty_like(word)
+                history[1:] = gram[:-1]
+                history[first] = begin
+                kinds, at = np.unique(history, return_inverse=True)
+                self.histories.append(kinds)
+                self.at_history.append(at)
+                gram, begin = longer(history, word), longer(np.array([begin]), np.array([BEGIN]))[0]
+            kinds, place, at = np.unique(gram, return_index=True, return_inverse=True)
+            self.grams.append(kinds)
+            self.place.append(place)  # a token that ends in the n-gram
+            self.at.append(at)
 
 
 class Discounts:
-    """Discounted counts from the number of types that occur once, twice, ...: r n_r counts are turned into (r + 1) n_(r+1) where that falls, by Katz's formula;
-    counts too few for it lose a constant share instead."""
+    """Discounted counts from the numbers of types that occur once, twice, ... (``FITTED`` of them).
+
+    With S(r) the fitted number of types of count r, Good and Turing's estimate for r is (r + 1) S(r + 1) / S(r). Katz's formula keeps it for counts up to ``MOST`` in such
+    a way that the types seen once give up all that the unseen ones get.
+    """
 
     def __init__(self, types: list[int]):
-        n = [0, *types]
-        ratio = np.ones(MOST + 1)
-        whole = all(n[1:MOST + 2]) and n[1] > (MOST + 1) * n[MOST + 1]
-        if whole:
-            rest = (MOST + 1) * n[MOST + 1] / n[1]
-            for r in range(1, MOST + 1):
-                ratio[r] = ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest)
-        if not whole or not all(0 < x <= 1 for x in ratio[1:]):
-            lost = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-            ratio[1:] = [(r - lost) / r for r in range(1, MOST + 1)]
-        self.ratio = ratio
+        seen = [r for r, n in enumerate(types[:FITTED], 1) if n]
+        slope = -2.0
+        if len(seen) > 1:
+            # each number is spread over the gap around its count
+            before, after = [0, *seen[:-1]], [*seen[1:], 2 * seen[-1] - seen[-2]]
+            x, y = np.log(seen), np.log([2 * types[r - 1] / (t - q) for q, r, t in zip(before, seen, after)])
+            slope = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+        self.slope = min(slope, LEAST_SLOPE)
+        r = np.arange(1, MOST + 1)
+        kept, rest = (1 + 1 / r) ** (self.slope + 1), (MOST + 1) ** (self.slope + 1)
+        self.ratio = np.concatenate(([1.0], (kept - rest) / (1 - rest)))
 
     def of(self, count: np.ndarray) -> np.ndarray:
         return np.where(count <= MOST, self.ratio[np.minimum(count, MOST)], 1.0)
@@ -102,24 +123,25 @@ def total_counts(part: int, names: list[np.ndarray], extras: list) -> tuple:
     reply += (counts > 0) & (seen == 1)
     out = np.empty(len(order), np.int64)
     out[order] = reply
-    sums = np.array([totals.sum(), (totals > 0).sum(), *[(totals == r).sum() for r in range(1, MOST + 2)]], "<i8")
+    by_count = np.bincount(np.minimum(totals, FITTED + 1), minlength=FITTED + 2)[1:FITTED + 1]
+    sums = np.concatenate(([totals.sum(), (totals > 0).sum()], by_count)).astype("<i8")
     return [small(x) for x in np.split(out, np.cumsum([len(x) for x in names])[:-1])], sums.tobytes()
 
 
-def sums_of(answers: DataFrame, parts: int) -> np.ndarray:
-    """The sums of all parts: two rows, of words and of bigrams."""
+def sums_of(answers: DataFrame, parts: int, order: int) -> np.ndarray:
+    """The sums of all parts: a row for each order."""
+    n = FITTED + 2
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.frombuffer(x, "<i8") for x in batch.column("data").to_pylist()]
             kinds = batch.column("part").to_numpy() // parts
-            n = MOST + 3
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(kinds, n)), pa.array(np.tile(np.arange(n), len(rows))), pa.array(np.concatenate([np.empty(0, np.int64), *rows]))],
                                              names=["kind", "place", "value"])
 
-    out = np.zeros((2, MOST + 3), np.int64)
+    out = np.zeros((order, n), np.int64)
     rows = answers.where("block = -1").select("part", "data").mapInArrow(read, "kind long, place long, value long").groupBy("kind", "place").agg(F.sum("value").alias("value"))
-    for r in rows.collect():  # 2 x 8 numbers
+    for r in rows.collect():  # order x 102 numbers
         out[r["kind"], r["place"]] = r["value"]
     return out
 
@@ -139,59 +161,69 @@ def weights_of(part: int, names: list[np.ndarray], extras: list) -> tuple:
     return ([x.tobytes() for x in np.split(out, np.cumsum([len(x) for x in names])[:-1])],)
 
 
-def scored(docs: DataFrame, held_out: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
+def scored(docs: DataFrame, held_out: Callable[[Column], Column], key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, by a model of n-grams up to ``order``.
 
     Words lie between ASCII white space, A-Z in lower case; each text is closed by an end token, so a null or empty text is that token alone. Rows for which
     ``held_out(key)`` is true or null are scored but not learned from. ``score`` is the log10 probability of the text, ``base_score`` that of unigrams with one added to each count and to
-    an unknown word. Repeated rows are learned as often as they occur. Without rows to learn from, all probability is that of the unknown
-    word. An empty table gives no row. Other columns are not read.
+    an unknown word. Repeated rows are learned as often as they occur; they are counted once, with their number, and get equal scores. Without rows to learn from, all
+    probability is that of the unknown word. An empty table gives no row. Other columns are not read.
     """
-    marked = docs.select(F.struct(F.col(key).alias("key"), F.coalesce(held_out(F.col(key)), F.lit(True)).alias("held_out")).alias("id"), F.col(text).alias("text"))
-    blocks = Blocks(marked, "id", "text")
+    rows = once(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
+    id_of = F.struct("key", F.coalesce(held_out(F.col("key")), F.lit(True)).alias("held_out"), "many")
+    blocks = Blocks(rows.select(id_of.alias("id"), "text"), "id", "text")
     parts = blocks.parts
 
-    def learned(ids: pa.Array, tokens: Tokens) -> np.ndarray:
-        return ~ids.field("held_out").to_numpy(zero_copy_only=False).astype(bool)[tokens.doc]
-
     def ask_counts(number: int, ids: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(texts)
-        train = learned(ids, tokens)
-        for kind, (names, at) in enumerate(((tokens.words, tokens.at_word), (tokens.pairs, tokens.at_pair))):
-            yield from requested(number, names, parts, np.bincount(at[train], minlength=len(names)).astype(np.uint32), kind=kind)
+        tokens = Tokens(texts, order)
+        often = np.where(ids.field("held_out").to_numpy(zero_copy_only=False).astype(bool), 0, ids.field("many").to_numpy())[tokens.doc]
+        for k in range(order):
+            n = len(tokens.grams[k])
+            yield from requested(number, tokens.grams[k], parts, np.bincount(tokens.at[k], often, n).astype(np.uint32), kind=k)
 
     counts = written(answered(blocks.map(ask_counts, asked(1)), [np.uint32], total_counts), "counts")
-    (tokens_all, types_all, *words_by), (_, _, *pairs_by) = sums_of(counts, parts).tolist()
-    unigrams, discounts = Unigrams(tokens_all, words_by), Discounts(pairs_by)
-    words, pairs = counts.where(F.col("part") < parts), counts.where(F.col("part") >= parts)
-
-    def ask_weights(number: int, ids: pa.Array, texts: list[bytes], of_words: list[bytes], of_pairs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(texts)
-        single, reply = large(of_words) >> 1, large(of_pairs)
-        own = (reply & 1).astype(bool)
-        count, history = (reply >> 1)[own], tokens.pair_history[own]
-        n = len(tokens.histories)
-        yield from requested(
-            number, tokens.histories, parts, np.bincount(history, count, n).astype(np.int64),
-            np.bincount(history, discounts.of(count) * count, n), np.bincount(history, unigrams.of(single[tokens.pair_word[own]]), n))
-
-    weights = written(answered(blocks.map(ask_weights, asked(3), words=words, pairs=pairs), [np.int64, np.float64, np.float64], weights_of), "weights")
-
-    def score(number: int, ids: pa.Array, texts: list[bytes], of_words: list[bytes], of_pairs: list[bytes], of_histories: list[bytes]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(texts)
-        single, count = large(of_words) >> 1, large(of_pairs) >> 1
-        divide, weight = np.frombuffer(b"".join(of_histories)).reshape(-1, 2).T
-        alone = np.log10(unigrams.of(single))
-        h = tokens.pair_history
-        seen = np.log10(np.maximum(discounts.of(count) * count / np.maximum(divide[h], 1), 1e-300))
-        pair = np.where(count > 0, seen, np.where(divide[h] > 0, weight[h], 0) + alone[tokens.pair_word])
-        base = np.log10((single + 1) / (tokens_all + types_all + 1))
+    (tokens_all, types_all, *words_by), *above = sums_of(counts, parts, order).tolist()
+    unigrams = Unigrams(tokens_all, words_by)
+    discounts = [unigrams.discounts] + [Discounts(by) for _, _, *by in above]
+    of_order = lambda k: counts.where(F.col("part").between(k * parts, (k + 1) * parts - 1))
+
+    def lower(k: int, single: np.ndarray, divide: np.ndarray | None, history: np.ndarray | None) -> np.ndarray:
+        """Probability of n-grams of order k + 1 that were seen, from their counts and what to divide by."""
+        return unigrams.of(single) if k == 0 else discounts[k].of(single) * single / np.maximum(divide[history], 1)
+
+    weights: list[DataFrame] = []
+    for k in range(1, order):
+
+        def ask_weights(number: int, ids: pa.Array, texts: list[bytes], of_shorter: list[bytes], of_grams: list[bytes], *of_histories: list[bytes], k: int = k) -> Iterator[pa.RecordBatch]:
+            tokens = Tokens(texts, k + 1)
+            shorter, reply = large(of_shorter) >> 1, large(of_grams)
+            own = (reply & 1).astype(bool)
+            count, at = (reply >> 1)[own], tokens.place[k][own]
+            history, suffix = tokens.at_history[k][at], tokens.at[k - 1][at]
+            divide = np.frombuffer(b"".join(of_histories[0])).reshape(-1, 2)[:, 0] if of_histories else None
+            below = lower(k - 1, shorter[suffix], divide, tokens.at_history[k - 1][at] if k > 1 else None)
+            n = len(tokens.histories[k])
+            yield from requested(number, tokens.histories[k], parts, np.bincount(history, count, n).astype(np.int64), np.bincount(history, discounts[k].of(count) * count, n), np.bincount(history, below, n))
+
+        given = {"shorter": of_order(k - 1), "grams": of_order(k)} | ({"histories": weights[-1]} if weights else {})
+        weights.append(written(answered(blocks.map(ask_weights, asked(3), **given), [np.int64, np.float64, np.float64], weights_of), "weights"))
+
+    def score(number: int, ids: pa.Array, texts: list[bytes], *answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(texts, order)
+        count = [(large(x) >> 1)[tokens.at[k]] for k, x in enumerate(answers[:order])]
+        total = np.log10(unigrams.of(count[0]))
+        for k in range(1, order):
+            divide, weight = np.frombuffer(b"".join(answers[order + k - 1])).reshape(-1, 2).T[:, tokens.at_history[k]]
+            seen = np.log10(np.maximum(discounts[k].of(count[k]) * count[k] / np.maximum(divide, 1), 1e-300))
+            total = np.where(count[k] > 0, seen, np.where(divide > 0, weight, 0) + total)
+        base = np.log10((count[0] + 1) / (tokens_all + types_all + 1))
         n = len(texts)
         per_doc = lambda values: np.bincount(tokens.doc, values, n)
         yield pa.RecordBatch.from_arrays(
-            [ids.field("key"), ids.field("held_out"), pa.array(tokens.counts), pa.array(per_doc(single[tokens.at_word] > 0).astype(np.int64)),
-             pa.array(np.full(n, tokens_all)), pa.array(per_doc(base[tokens.at_word])), pa.array(per_doc(pair[tokens.at_pair]))],
-            names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            [ids.field("key"), ids.field("held_out"), pa.array(tokens.counts), pa.array(per_doc(count[0] > 0).astype(np.int64)),
+             pa.array(np.full(n, tokens_all)), pa.array(per_doc(base)), pa.array(per_doc(total)), ids.field("many")],
+            names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "many"])
 
-    fields = f"key {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.map(score, fields, words=words, pairs=pairs, weights=weights).withColumnRenamed("key", key)
+    fields = f"key {docs.schema[key].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, many long"
+    given = {f"counts{k}": of_order(k) for k in range(order)} | {f"weights{k}": w for k, w in enumerate(weights)}
+    return repeated_again(blocks.map(score, fields, **given)).withColumnRenamed("key", key)

@@ -18,9 +18,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Names, mixed, plain_words, written
-from .exchange import Blocks, answered, asked, dealt, grouped, requested
+from .exchange import Blocks, answered, asked, dealt, grouped, once, repeated_again, requested
 
 LEVELS = 4
 #: Runs are named among words only: each naming of runs widens what determines a symbol by a symbol on either side.
@@ -142,17 +143,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """``key, n_words, n_removed, kept_sha256`` and, if asked for, the ``kept`` text of every row.
 
     Words lie between ASCII white space. Words covered by a window of ``width`` words that also starts in a document of a smaller key go; windows are those of the
-    input. Kept words are joined by one space. ``key`` is a whole number. Rows of equal keys are not compared with each other; a row with a null key loses
+    input. Kept words are joined by one space. ``key`` is a whole number. Rows of equal keys are not compared with each other; rows that repeat are handled once and get equal results; a row with a null key loses
     what any keyed document holds and takes nothing from others. Null and short texts lose nothing. An empty table gives no row. Other
     columns are not read.
     """
-    blocks = Blocks(docs, key, text)
+    rows = once(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
+    blocks = Blocks(rows.select(F.struct("key", "many").alias("id"), "text"), "id", "text")
     parts = blocks.parts
+    number_of = lambda ids: keys_as_numbers(ids.field("key"))
 
-    def ask_anchors(number: int, keys: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def ask_anchors(number: int, ids: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         block = Block(Names(), texts, width)
         names, which = np.unique(block.anchors(), return_inverse=True)
-        order = keys_as_numbers(keys)[block.doc[block.starts]]
+        order = number_of(ids)[block.doc[block.starts]]
         low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
         np.minimum.at(low, which, order)
         np.maximum.at(high, which, order)
@@ -168,8 +171,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     shared = written(answered(blocks.map(ask_anchors, asked(1)), [np.uint8], in_several), "anchors")
 
-    def ask_windows(number: int, keys: pa.Array, texts: list[bytes], flags: list[bytes]) -> Iterator[pa.RecordBatch]:
-        _, distinct, second, _, least = candidates(Block(Names(), texts, width), keys_as_numbers(keys), flags)
+    def ask_windows(number: int, ids: pa.Array, texts: list[bytes], flags: list[bytes]) -> Iterator[pa.RecordBatch]:
+        _, distinct, second, _, least = candidates(Block(Names(), texts, width), number_of(ids), flags)
         yield from requested(number, distinct, parts, second, least)
 
     def held_before(part: int, names: list[np.ndarray], extras: list) -> tuple:
@@ -184,8 +187,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     before = written(answered(blocks.map(ask_windows, asked(2), shared=shared), [np.uint32, np.int64], held_before), "windows")
 
-    def cut(number: int, keys: pa.Array, texts: list[bytes], flags: list[bytes], smaller: list[bytes]) -> Iterator[pa.RecordBatch]:
-        block, order = Block(Names(), texts, width), keys_as_numbers(keys)
+    def cut(number: int, ids: pa.Array, texts: list[bytes], flags: list[bytes], smaller: list[bytes]) -> Iterator[pa.RecordBatch]:
+        block, order = Block(Names(), texts, width), number_of(ids)
         places, _, _, name, least = candidates(block, order, flags)
         elsewhere = np.frombuffer(b"".join(smaller), np.uint8).astype(bool)
         gone = places[elsewhere[name] | (order[block.doc[places]] > least[name])]
@@ -198,10 +201,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             lost = int(out.sum())
             removed.append(lost)
             kept.append(b" ".join(own if not lost else [w for w, x in zip(own, out.tolist()) if not x]))
-        columns = [keys, pa.array(block.counts), pa.array(removed, pa.int64()), pa.array([sha256(x).hexdigest() for x in kept])]
+        columns = [ids.field("key"), ids.field("many"), pa.array(block.counts), pa.array(removed, pa.int64()), pa.array([sha256(x).hexdigest() for x in kept])]
         if with_text:
             columns.append(pa.array([x.decode("utf-8", "replace") for x in kept]))
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "many", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
-    fields = f"key {blocks.kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return blocks.map(cut, fields, shared=shared, before=before).withColumnRenamed("key", key)
+    fields = f"key {docs.schema[key].dataType.simpleString()}, many long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    return repeated_again(blocks.map(cut, fields, shared=shared, before=before)).withColumnRenamed("key", key)

@@ -274,47 +274,109 @@ def test_slots_are_ranks_by_key_at_every_size(docs, spark):
                 seen[r["shard"]] += 1
 
 
-def test_katz(docs, none):
+def good_turing(counts):
+    """Kept shares of the counts 1 to 5: a line through the logarithms of the counts of counts, Good and Turing's estimate on it, Katz's cut at 5."""
+    often = Counter(counts)
+    seen = sorted(r for r in often if r <= 100)
+    slope = -2.0
+    if len(seen) > 1:
+        z = []
+        for i, r in enumerate(seen):
+            q = seen[i - 1] if i else 0
+            t = seen[i + 1] if i + 1 < len(seen) else 2 * r - q
+            z.append((math.log(r), math.log(often[r] / (0.5 * (t - q)))))
+        slope = min(float(np.polyfit(*zip(*z), 1)[0]), -1.05)
+    line = lambda r: r ** slope
+    first = 6 * line(6) / line(1)
+    return {r: ((r + 1) * line(r + 1) / line(r) / r - first) / (1 - first) for r in range(1, 6)}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz(docs, none, order):
     held = lambda k: F.crc32(k.cast("string")) % 7 == 2
-    got = rows_of(katz.scored(docs, held))
+    got = rows_of(katz.scored(docs, held, order=order))
     assert len(got) == docs.count()
     rows = [(k, (t or "").encode().lower().split()) for k, t in ((r[0], r[1]) for r in awkward())]
     out = lambda k: k is None or zlib.crc32(str(k).encode()) % 7 == 2
-    single, pairs = Counter(), defaultdict(Counter)
+    counts = [defaultdict(Counter) for _ in range(order)]  # by history, the words after it
     for k, words in rows:
         if not out(k):
-            for h, w in zip(["<s>", *words], [*words, "</s>"]):
-                single[w] += 1
-                pairs[h][w] += 1
-    types = lambda counts: [counts.count(r) for r in range(1, 7)]
-    total = sum(single.values())
-    uni, dis = katz.Unigrams(total, types([*single.values()])), katz.Discounts(types([c for p in pairs.values() for c in p.values()]))
-    p1 = lambda w: float(uni.of(np.array([single[w]]))[0])
-    assert abs(sum(map(p1, single)) + uni.unknown - 1) < 1e-9
-    d = lambda c: float(dis.of(np.array([c]))[0])
-    back = {}
-    for h, p in pairs.items():
-        n = sum(p.values())
-        left = 1 - sum(c * d(c) for c in p.values()) / n
-        n, left = (n + 1, 1 / (n + 1)) if left <= 1e-12 else (n, left)
-        back[h] = n, left / (1 - sum(map(p1, p)))
-        assert abs(sum(c * d(c) / n for c in p.values()) + back[h][1] * (1 - sum(map(p1, p))) - 1) < 1e-9
+            padded = ["<s>"] * (order - 1) + words + ["</s>"]
+            for i in range(order - 1, len(padded)):
+                for n in range(order):
+                    counts[n][tuple(padded[i - n:i])][padded[i]] += 1
+    kept = [good_turing([c for p in by.values() for c in p.values()]) for by in counts]
+    single, total = counts[0][()], sum(counts[0][()].values())
+    d = lambda n, c: c * kept[n].get(c, 1.0)
+    unknown = 1 - sum(d(0, c) for c in single.values()) / total
+
+    @lru_cache(None)
+    def back(history):
+        """What counts after a history are divided by, and the weight of the lower order."""
+        n, p = len(history), counts[len(history)][history]
+        size = sum(p.values())
+        left = 1 - sum(d(n, c) for c in p.values()) / size
+        if left <= 1e-12:
+            size, left = size + 1, 1 / (size + 1)
+        return size, left / (1 - sum(prob(w, history[1:]) for w in p))
+
+    @lru_cache(None)
+    def prob(word, history):
+        if not history:
+            return d(0, single[word]) / total if single[word] else unknown
+        p = counts[len(history)].get(history)
+        if p is None:
+            return prob(word, history[1:])
+        size, weight = back(history)
+        return d(len(history), p[word]) / size if p[word] else weight * prob(word, history[1:])
+
+    for n in range(order):  # distributions sum to one, the unknown word included
+        for history in list(counts[n])[:50]:
+            assert abs(sum(prob(w, history) for w in single) + prob("never seen", history) - 1) < 1e-9
     want = Counter()
     for k, words in rows:
         score = base = known = 0
-        for h, w in zip(["<s>", *words], [*words, "</s>"]):
-            c = pairs[h][w] if h in pairs else 0
-            score += math.log10(c * d(c) / back[h][0]) if c else (math.log10(back[h][1]) if h in back else 0) + math.log10(p1(w))
-            base += math.log10((single[w] + 1) / (total + len(single) + 1))
-            known += single[w] > 0
+        padded = ["<s>"] * (order - 1) + words + ["</s>"]
+        for i in range(order - 1, len(padded)):
+            score += math.log10(prob(padded[i], tuple(padded[i - order + 1:i])))
+            base += math.log10((single[padded[i]] + 1) / (total + len(single) + 1))
+            known += single[padded[i]] > 0
         want[(k, out(k), len(words) + 1, known, total, round(base, 5), round(score, 5))] += 1
     have = Counter((null(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got)
     assert have == want, (sorted(map(str, (have - want)))[:3], sorted(map(str, (want - have)))[:3])
-    assert katz.scored(none, held).count() == 0
-    nothing = rows_of(katz.scored(docs, lambda k: F.lit(True)))
+    assert katz.scored(none, held, order=order).count() == 0
+    nothing = rows_of(katz.scored(docs, lambda k: F.lit(True), order=order))
     assert {(r["train_tokens"], r["score"]) for r in nothing} == {(0, 0.0)}
 
 
+def test_discounts_of_real_counts_differ_by_count():
+    """The counts of counts of the table are uneven (copies), the discounts are those of the formula all the same, and a model with them is better than one without backoff."""
+    import duckdb
+
+    words = duckdb.sql("SELECT regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    for n in (1, 2, 3):
+        counts = Counter(tuple(w[i:i + n]) for (w,) in words for i in range(len(w) - n + 1))
+        types = Counter(counts.values())
+        got = katz.Discounts([types[r] for r in range(1, 101)]).ratio
+        want = good_turing(counts.values())
+        assert got[1:] == pytest.approx([want[r] for r in range(1, 6)], rel=1e-9)
+        assert all(0 < a < b < 1 for a, b in zip(got[1:], got[2:]))
+    for odd in ([], [5], [0] * 100, [0, 7], [0, 0, 0, 9, 0, 3], [1] * 100, list(range(1, 101))):
+        ratio = katz.Discounts([*odd, *[0] * (100 - len(odd))]).ratio
+        assert all(0 < a < 1 for a in ratio[1:])
+
+
+def test_repeated_rows_are_dealt_once(spark):
+    """A third of the rows are equal: they are one row of one block, learned as often as they occur."""
+    from foliant.llm.exchange import once, repeated_again
+
+    hot = [(None, "a hot text that repeats")] * 400 + [(7, "another one")] * 300 + [(i, f"text {i}") for i in range(500)]
+    rows = spark.createDataFrame(hot, "key long, text string").repartition(5)
+    single = once(rows, "key", "text")
+    assert single.count() == 501 or single.count() == 502
+    assert Counter(tuple(r) for r in repeated_again(single, 64).select("key", "text").collect()) == Counter(hot)
+
+
 def test_repeats(docs, none):
     got = rows_of(without_repeats(docs))
     rows = [(r[0], [w.decode() for w in plain(r[1])]) for r in awkward()]
