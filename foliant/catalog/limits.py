@@ -106,6 +106,17 @@ def lockout(t: Tables):
     return folds.lockout(attempts(t).drop("ts")).select("user_id", "id", "outcome", F.col("failures").cast("bigint").alias("failures"))
 
 
+ONE_KEY = LOCK_SQL.replace("SELECT user_id, event_id AS id", "SELECT 1 AS user_id, event_id AS id", 1).replace("PARTITION BY user_id ORDER", "ORDER", 1)
+
+
+@query("lockout_one_key", ONE_KEY)
+def lockout_one_key(t: Tables):
+    """All attempts on one account, cut into slices much smaller than that."""
+    rows = attempts(t).drop("ts").withColumn("user_id", F.lit(1))
+    done = folds.ordered_fold(rows, "user_id", ["at", "id"], folds.Lockout(), slice_rows=max(rows.count() // 7, 1))
+    return done.select("user_id", "id", "outcome", F.col("failures").cast("bigint").alias("failures"))
+
+
 def token_uses(t: Tables):
     at = F.floor(folds.micros("ts") / 20000)
     return t.events.select(F.concat_ws("-", "user_id", (F.col("event_id") % 3).cast("string")).alias("family"), at.alias("at"), F.col("event_id").alias("id"),

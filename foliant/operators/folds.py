@@ -1,26 +1,30 @@
 """Operators whose decisions depend on the decisions before them: rate limits, lock-outs, token families, quotas.
 
-Each is a small state machine per key, run over rows in time order. Keys of ordinary size are spread by hash, sorted,
-and walked row by row with one state at a time. A key with more rows than a task should hold is cut: all rows are
-range-partitioned by key and time into slices, the slices are walked at once, and a slice is walked again only if the
-state that reaches it over its border turns out different from the one it was walked with.
+Each is a small state machine per key, run over rows in time order. All rows are cut into slices of the order of key and time. What a slice does to the state of a key
+that enters it is written down as a small function, made for all slices at once: for lock-outs, where each of the five possible counts leads, and where the end of
+a lock would; for limits, a state if there is a gap in the slice after which nothing before counts. These functions are applied one after the other, key by
+key, which gives the state at every border; then all slices are walked at once. The number of jobs is the same for all sizes, a key may hold any number of rows, and no
+state comes to the driver. A limit without a gap hands its times on, as then every decision depends on the one before.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..session import staged
+from .ordered import running_sum
 
 SECOND = 1_000_000
 SLICE_ROWS = 1_000_000
+PIECE = 1024  # times that a limit without a gap hands on together
 
 
 def pack_state(state) -> str:
@@ -32,9 +36,11 @@ def unpack_state(text: str):
     return ast.literal_eval(text)
 
 
-
 class Machine(Protocol):
-    """State machine of one key. States are JSON values; ``step`` returns the next state and the output columns."""
+    """State machine of one key. States are plain values; ``step`` returns the next state and the output columns.
+
+    ``pieces`` says what rows in order do to any state, in pieces that ``through`` applies one after the other.
+    """
 
     inputs: list[str]
     outputs: str
@@ -43,6 +49,10 @@ class Machine(Protocol):
 
     def step(self, state: Any, row: tuple) -> tuple[Any, tuple]: ...
 
+    def pieces(self, rows: list[tuple]) -> list: ...
+
+    def through(self, piece: Any, state: Any) -> Any: ...
+
 
 class SlidingLog:
     """At most ``limit`` accepted hits within ``window`` seconds; refused hits leave no trace."""
@@ -64,6 +74,23 @@ class SlidingLog:
         wait = max(1, (self.window - (now - live[0])) // SECOND + 1)
         return live, (False, wait)
 
+    def pieces(self, rows):
+        """After a gap longer than the window nothing before counts: then the state at the end is known. Else the times themselves, in pieces of a bounded size."""
+        times = [row[0] for row in rows]
+        last_gap = next((i for i in range(len(times) - 1, 0, -1) if times[i] - times[i - 1] > self.window), 0)
+        if not last_gap:
+            return [("times", times[i:i + PIECE]) for i in range(0, len(times), PIECE)]
+        return [("state", self._after(times[last_gap:], self.start()))]
+
+    def _after(self, times, state):
+        for now in times:
+            state, _ = self.step(state, (now,))
+        return state
+
+    def through(self, piece, state):
+        kind, value = piece
+        return value if kind == "state" else self._after(value, state)
+
 
 class Lockout:
     """Failed log-ins; the fifth locks the account, attempts while locked neither count nor succeed."""
@@ -89,6 +116,35 @@ class Lockout:
             return [0, now + self.lock], ("lock", 0)
         return [failures, until], ("failed", failures)
 
+    def pieces(self, rows):
+        """Where each number of failures leads, and where the first attempt after a lock does: for locks from before, as (last time up to which a lock may end, state)."""
+        n, times = len(rows), [row[0] for row in rows]
+        ends: list = [None] * n + [[[f, None] for f in range(self.limit)]]
+        for i in range(n - 1, -1, -1):
+            if rows[i][1]:
+                ends[i] = [ends[i + 1][0]] * self.limit
+                continue
+            until = times[i] + self.lock
+            after = bisect_left(times, until)
+            locked = ends[after][0] if after < n else [0, until]
+            ends[i] = [*ends[i + 1][1:], locked]
+        by_end = []
+        for i in range(bisect_left(times, times[0] + self.lock) + 1):
+            if i == n:
+                break
+            if by_end and by_end[-1][1] == ends[i][0]:
+                by_end[-1][0] = times[i]
+            else:
+                by_end.append([times[i], ends[i][0]])
+        return [(times[0], ends[0], by_end)]
+
+    def through(self, piece, state):
+        first, ends, by_end = piece
+        failures, until = state
+        if until is None or until <= first:
+            return ends[failures]
+        return next((end for last, end in by_end if until <= last), state)
+
 
 class TokenFamily:
     """Use of refresh tokens, for streams. A rotated token may be used again for 10 seconds; later use revokes the family."""
@@ -160,14 +216,49 @@ def _schema(df: DataFrame, machine: Machine) -> str:
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], machine: Machine, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add the machine's outputs to every row. ``order`` must be total within a key; columns must not be null."""
-    per_key = df.groupBy(key).agg(F.count("*").alias("n"))
-    total, largest = per_key.agg(F.sum("n"), F.max("n")).first()
-    if not largest or largest <= slice_rows:
-        return _fold_by_key(df, key, order, machine)
-    return _fold_by_slice(df, key, order, machine, -(-total // slice_rows))
+    slices = max(1, -(-df.count() // slice_rows))
+    cut = staged(df.repartitionByRange(slices, key, *order).withColumn("__slice", F.spark_partition_id()), "slices")
+    kind = df.schema[key].dataType.simpleString()
+    # keys that cross a border: no more than there are borders
+    crossing = cut.groupBy(key).agg(F.min("__slice").alias("lo"), F.max("__slice").alias("hi")).where("lo < hi").select(key)
+    used = cut.join(crossing, key, "left_semi").select("__slice", key, *dict.fromkeys([*order, *machine.inputs]))
+
+    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        pieces = machine.pieces(list(zip(*[rows[c].tolist() for c in machine.inputs])))
+        return pd.DataFrame({"__slice": rows["__slice"].iloc[0], key: rows[key].iloc[0], "piece": range(len(pieces)), "data": [pack_state(p) for p in pieces]})
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for number, value, piece, data in zip(*[batch[c].tolist() for c in ("__slice", key, "piece", "data")]):
+                if value != current:
+                    current, state = value, machine.start()
+                if piece == 0:
+                    out.append((number, value, pack_state(state)))
+                state = machine.through(unpack_state(data), state)
+            yield pd.DataFrame(out, columns=["__slice", key, "entry"])
+
+    summed = used.groupBy("__slice", key).applyInPandas(summarise, f"__slice int, `{key}` {kind}, piece int, data string")
+    entries = summed.repartition(key).sortWithinPartitions(key, "__slice", "piece").mapInPandas(apply, f"__slice int, `{key}` {kind}, entry string")
+    entries = staged(entries, "entries")
+    names = _names(machine)
 
+    def run(rows: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([key, *order])
+        states = dict(zip(entered[key].tolist(), entered["entry"].tolist()))
+        first = rows[key].iloc[0] if len(rows) else None  # only the first key of a slice may come from another one
+        state = unpack_state(states[first]) if first in states else machine.start()
+        out: list = []
+        _walk(rows, key, machine, first, state, out)
+        return pd.concat([rows.drop(columns="__slice"), pd.DataFrame(out, columns=names, index=rows.index)], axis=1)
+
+    return cut.groupBy("__slice").cogroup(entries.groupBy("__slice")).applyInPandas(run, _schema(df, machine))
 
-def _fold_by_key(df: DataFrame, key: str, order: list[str], machine: Machine) -> DataFrame:
+
+def fold_by_key(df: DataFrame, key: str, order: list[str], machine: Machine) -> DataFrame:
+    """The same for machines whose state is as large as what they have seen: a key's rows pass through one task in order, with one state."""
     names = _names(machine)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,54 +271,6 @@ def _fold_by_key(df: DataFrame, key: str, order: list[str], machine: Machine) ->
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, _schema(df, machine))
 
 
-def _fold_by_slice(df: DataFrame, key: str, order: list[str], machine: Machine, slices: int) -> DataFrame:
-    """Slices meet only in one state per border, kept on the driver: as many small values as there are slices."""
-    ordered = df.repartitionByRange(slices, key, *order).withColumn("__slice", F.spark_partition_id())
-    table = staged(ordered, "slices")
-
-    def ends(entries: dict[int, str]) -> Callable:
-        def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values([key, *order])
-            first = rows[key].iloc[0]
-            entry = entries.get(int(keys[0]))
-            start = unpack_state(entry) if entry else machine.start()
-            last, state = _walk(rows, key, machine, first, start, None)
-            return pd.DataFrame([(keys[0], str(first), str(last), pack_state(state))], columns=["s", "first", "last", "state"])
-
-        return run
-
-    def walk(entries: dict[int, str], only: list[int] | None) -> dict[int, tuple]:
-        part = table if only is None else table.where(F.col("__slice").isin(only))
-        used = part.select("__slice", key, *dict.fromkeys([*order, *machine.inputs]))
-        ended = used.groupBy("__slice").applyInPandas(ends(entries), "s int, first string, last string, state string")
-        return {r["s"]: (r["first"], r["last"], r["state"]) for r in ended.collect()}
-
-    start = pack_state(machine.start())
-    walked: dict[int, str] = {}
-    known = walk({}, None)
-    while True:
-        entries, order_of_slices = {}, sorted(known)
-        for before, after in zip(order_of_slices, order_of_slices[1:]):
-            if known[before][1] == known[after][0]:
-                entries[after] = known[before][2]
-        changed = [s for s in order_of_slices if entries.get(s, start) != walked.get(s, start)]
-        again = [s for s in changed if known[s][0] == known[s][1]]  # only a slice of one key passes its entry on
-        walked = {**walked, **{s: entries.get(s, start) for s in changed}}
-        if not again:
-            break
-        known.update(walk(walked, again))
-
-    names = _names(machine)
-
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([key, *order])
-        entry, out = walked.get(int(keys[0])), []
-        _walk(rows, key, machine, rows[key].iloc[0], unpack_state(entry) if entry else machine.start(), out)
-        return pd.concat([rows.drop(columns="__slice"), pd.DataFrame(out, columns=names, index=rows.index)], axis=1)
-
-    return table.groupBy("__slice").applyInPandas(run, _schema(df, machine))
-
-
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
@@ -262,6 +305,21 @@ def token_reuse(uses: DataFrame, *, grace: int = fv.REUSE_GRACE_SECONDS) -> Data
     return met.join(revoked, "family", "left").select(*[f"`{c}`" for c in uses.columns], outcome.alias("outcome"))
 
 
-def storage_admission(uploads: DataFrame, *, limit: int = fv.MAX_ORG_BYTES, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Uploads (org, seq, name, size) with ``admitted`` and ``used``, the bytes held afterwards."""
-    return ordered_fold(uploads, "org", ["seq"], StorageQuota(limit), slice_rows=slice_rows)
+def storage_admission(uploads: DataFrame, *, limit: int = fv.MAX_ORG_BYTES, ranges: int | None = None) -> DataFrame:
+    """Uploads (org, seq, name, size) with ``admitted`` and ``used``, the bytes held afterwards.
+
+    While all uploads of an organisation are admitted, each adds its size less that of the last one of its name, so what is held is a running sum. Only from the first upload
+    that would go beyond the limit on does a decision depend on the one before: these uploads are walked, after the last one of each name before them.
+    """
+    columns = uploads.columns
+    last = F.lag("size", 1, 0).over(Window.partitionBy("org", "name").orderBy("seq"))
+    summed = staged(running_sum(uploads.withColumn("__more", F.col("size") - last), "org", ["seq"], "__more", "__used", ranges=ranges), "sums")
+    beyond = staged(summed.where(F.col("__used") > limit).groupBy("org").agg(F.min("seq").alias("__from")), "beyond")
+    marked = summed.join(beyond, "org", "left")
+    free = F.col("__from").isNull() | (F.col("seq") < F.col("__from"))
+    admitted = marked.where(free).select(*columns, F.lit(True).alias("admitted"), F.col("__used").cast("bigint").alias("used"))
+    held = marked.where(free & F.col("__from").isNotNull()).groupBy("org", "name").agg(F.max(F.struct("seq", "size")).alias("h"))
+    rest = marked.where(~free).select(*columns).withColumn("__asked", F.lit(True))
+    before = held.select("org", "name", "h.seq", "h.size").withColumn("__asked", F.lit(False))
+    walked = fold_by_key(rest.unionByName(before, allowMissingColumns=True), "org", ["seq"], StorageQuota(limit))
+    return admitted.unionByName(walked.where("__asked").drop("__asked"))

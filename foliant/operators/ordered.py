@@ -68,3 +68,15 @@ def carried(rows: DataFrame, key: str, order: list[str], value: str, out: str, *
     before = staged(ends.select("__range", key, F.last("__last", ignorenulls=True).over(earlier).alias("__before")), "borders")
     inside = Window.partitionBy("__range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return cut.join(before, ["__range", key]).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), "__before")).drop("__range", "__before")
+
+
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, out: str, *, ranges: int | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the key up to this one. ``order`` must be total within a key."""
+    if ranges is None:
+        ranges = max(1, -(-rows.count() // ROWS))
+    cut = staged(rows.repartitionByRange(ranges, key, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("__range", key).agg(F.sum(value).alias("__sum"))
+    before = staged(sums.select("__range", key, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before")), "borders")
+    inside = Window.partitionBy("__range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(before, ["__range", key]).withColumn(out, F.col("__before") + F.sum(value).over(inside)).drop("__range", "__before")
