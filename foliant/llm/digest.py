@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, mixed, pieces, written
 
 WINDOW = 32
-STRETCH = 64
-POINTS = 16
-#: Texts below this many bytes have few windows: there all runs of ``SMALL`` bytes are features too.
+STRETCH = 32
+POINTS = 8
+#: Short texts have few windows: all runs of ``SMALL`` bytes are features too, up to ``SHORT`` bytes; from there to twice as many a share of them that falls to none.
 SHORT, SMALL = 256, 5
 BITS = 2048
 HASHES = 5
@@ -56,12 +56,15 @@ def unevenness(codes: np.ndarray) -> np.ndarray:
 def features(codes: np.ndarray, uneven: np.ndarray) -> np.ndarray:
     """64-bit names of the chosen windows, in the order of their places."""
     m, small = len(uneven), np.empty(0, np.uint64)
-    if SMALL <= len(codes) < SHORT:
+    if SMALL <= len(codes) < 2 * SHORT:
         padded = np.zeros((len(codes) - SMALL + 1, 8), np.uint8)
         padded[:, :SMALL] = np.lib.stride_tricks.sliding_window_view(codes, SMALL)
         small = mixed(padded.view("<u8")[:, 0] + np.uint64(1 << 40))
+        # the share is told by the name, so a text a little longer keeps most of what this one keeps
+        share = min(1.0, (2 * SHORT - len(codes)) / SHORT)
+        small = small[small >> np.uint64(32) < np.uint64(int(share * 2**32))]
     if not m:
-        return small if len(small) else np.array([xxhash.xxh3_64_intdigest(codes.tobytes())] if len(codes) else [], np.uint64)
+        return distinct(small) if len(small) else np.array([xxhash.xxh3_64_intdigest(codes.tobytes())] if len(codes) else [], np.uint64)
     key = ((1 << 20) - np.abs(uneven - TYPICAL)) << 40 | np.arange(m)
     if m <= STRETCH:
         chosen = np.array([key.min() & (1 << 40) - 1])
@@ -83,7 +86,12 @@ def features(codes: np.ndarray, uneven: np.ndarray) -> np.ndarray:
     name = np.zeros(len(chosen), np.uint64)
     for i in range(words.shape[1]):
         name = mixed(name * np.uint64(0xD6E8FEB86659FD93) + words[:, i])
-    return np.concatenate((name, small))
+    return distinct(np.concatenate((name, small)))
+
+
+def distinct(names: np.ndarray) -> np.ndarray:
+    """Each name once, where it comes first: a feature that repeats takes no more room in the filters."""
+    return names[np.sort(np.unique(names, return_index=True)[1])]
 
 
 def filters(names: np.ndarray) -> np.ndarray:

@@ -5,8 +5,9 @@ neighbouring lines; lines above the standard deviation of the smoothed ratios ar
 elements they lie in, else the smallest element around all of them. All of a region is the text, short lines too, but for elements that are
 furniture by tag, role, visibility or name, and for parts without any content line that consist of links.
 
-A name (or a form) may also be that of a wrapper around the page. So an element that is furniture by its name, or a form, stays if it holds an article or
-main, or most of the text of the content lines; where the name says nothing else, or says remarks or advertisements, nine tenths of that text.
+A name, a role or a tag may also be that of a wrapper around the page, or of an element that is never closed. So an element that is furniture by its name, or a form, stays if it holds an article or
+main, or most of the text of the content lines; where the name says nothing else, or says remarks or advertisements, nine tenths of that text; and one that is furniture by its tag or role if
+it holds nine tenths of that text in several blocks.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
  head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 ENDS_PARAGRAPH = BLOCKS - {"br", "option", "legend", "caption", "td", "th", "tr"}
-DROPPED = frozenset("""head script style noscript template svg math canvas iframe object embed audio video nav aside footer button select textarea input datalist
- dialog menu fieldset label""".split())
+DROPPED = frozenset("head script style noscript template svg math canvas iframe object embed audio video select textarea input datalist".split())
+AROUND = frozenset("nav aside footer button dialog menu fieldset label".split())
 WHOLE = frozenset(("html", "body", "article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
@@ -37,8 +38,8 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense
 OWN = frozenset("article entry post story content page body main title".split())
 REMARKS = frozenset("comment comments reply replies ad ads advert promo sponsored related".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: What an element is: part of the page, no text, furniture if the lines agree, the same by nothing but its name, remarks or advertisements.
-PART, NO_TEXT, NAMED, ONLY_NAMED, REMARK = range(5)
+#: What an element is: part of the page, no text, furniture if the lines agree, the same by nothing but its name, remarks or advertisements, furniture by its tag or role.
+PART, NO_TEXT, NAMED, ONLY_NAMED, REMARK, TAGGED = range(6)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -73,20 +74,25 @@ class Lines(HTMLParser):
         return out
 
     def furniture(self, tag: str, attrs: list) -> int:
-        if tag in DROPPED or tag == "header" and not self.content:
+        if tag in DROPPED:
             return NO_TEXT
+        tagged = tag in AROUND or tag == "header" and not self.content
         if tag in WHOLE and tag != "article":
             return PART
         is_form, named = tag == "form", []
         for name, value in attrs:
             if name == "role" and (value or "").lower() == "form":
                 is_form = tag not in WHOLE
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES:
+            elif name == "hidden" or name == "aria-hidden" and value == "true":
                 return PART if tag in WHOLE else NO_TEXT
+            elif name == "role" and (value or "").lower() in ROLES:
+                tagged = tag not in WHOLE
             if name == "style" and value and UNSEEN.search(value):
                 return PART if tag in WHOLE else NO_TEXT
             if name in ("class", "id") and value:
                 named += value.split()
+        if tagged:
+            return TAGGED
         found = NAMED if is_form else PART
         for name in named:
             words = {w.lower() for w in WORDS.findall(name) if not w.isdigit()}
@@ -126,7 +132,7 @@ class Lines(HTMLParser):
         if not self.dropped:
             what = self.furniture(tag, attrs)
             around = [e for _, e in self.open_named]
-            if tag == "main" or tag == "article" and what == PART and all(self.named[e][0] != REMARK for e in around):
+            if tag == "main" or tag == "article" and what == PART and all(self.named[e][0] not in (REMARK, TAGGED) for e in around):
                 self.holding.update(around)
             if what == NO_TEXT:
                 self.dropped = len(self.stack)
@@ -178,19 +184,25 @@ def furniture_of(parser: Lines) -> set[int]:
     lines = parser.without(set())
     if not parser.named or not lines:
         return set()
-    held, whole = dict.fromkeys(parser.named, 0), 0
+    held, blocks, whole = dict.fromkeys(parser.named, 0), dict.fromkeys(parser.named, 0), 0
     kept = (parts for parts, _, _ in parser.lines if any(data.strip() for data, _, _ in parts))
     for parts, content in zip(kept, content_lines(lines)):
+        inside = set()
         for data, named, linked in parts if content else ():
             size = 0 if linked else len(" ".join(data.split()))
             whole += size
             while named:
                 held[named] += size
+                inside |= {named} if size else set()
                 named = parser.named[named][1]
+        for named in inside:
+            blocks[named] += 1
     gone: set[int] = set()
     for element, (what, around) in parser.named.items():  # from the outside to the inside
         most = 2 * held[element] > whole if what == NAMED else 10 * held[element] > 9 * whole
-        if around in gone or not most and element not in parser.holding:
+        if what == TAGGED:  # a menu or button that was never closed, a fieldset or dialog around the page: all of the content, and more than one block of it
+            most = most and blocks[element] > 1
+        if around in gone or not most and (element not in parser.holding or what == TAGGED):
             gone.add(element)
     return gone
 

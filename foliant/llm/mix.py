@@ -58,7 +58,7 @@ def handed_down(capacity: DataFrame, depth: int, budget, weights: DataFrame | No
         shared = (ranked.withColumn("rest", F.col("given") - F.coalesce(F.sum(F.when(F.col("filled"), F.col("most"))).over(all_of), F.lit(0)))
                   .withColumn("open", F.sum(F.when(~F.col("filled"), F.col("weight"))).over(all_of))
                   .withColumn("part", F.when(F.col("filled"), F.col("most")).otherwise(
-                      F.floor(F.col("weight").cast("decimal(18,0)") * F.col("rest").cast("decimal(18,0)") / F.col("open")).cast("long")))
+                      F.call_function("div", F.col("weight").cast("decimal(18,0)") * F.col("rest").cast("decimal(18,0)"), F.col("open"))))
                   .withColumn("over", F.col("rest") - F.sum(F.when(~F.col("filled"), F.col("part"))).over(all_of))
                   .withColumn("turn", F.row_number().over(Window.partitionBy(*above, "filled").orderBy(names[i])))
                   .withColumn("given", F.col("part") + F.when(~F.col("filled") & (F.col("turn") <= F.col("over")), 1).otherwise(0)))
@@ -68,7 +68,12 @@ def handed_down(capacity: DataFrame, depth: int, budget, weights: DataFrame | No
 
 def drawn(seed: int, epoch: Column, key: Column) -> Column:
     """Place of a document in the draw of an epoch: 32 hexadecimal digits, the same in every run."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key))
+
+
+def named(key: str, text: str) -> Column:
+    """What a row is drawn by: its key, or its text where it has none, so that rows without a key have places of their own."""
+    return F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("without key "), F.xxhash64(F.col(f"`{text}`")).cast("string")))
 
 
 def mixed(docs: DataFrame, levels: list[Column], budget: int | None = None, share: tuple[int, int] = (1, 2), weights: DataFrame | None = None,
@@ -79,11 +84,11 @@ def mixed(docs: DataFrame, levels: list[Column], budget: int | None = None, shar
     ``levels`` are the columns of the tree from the top; a null is a branch named ``(none)``. ``budget`` counts tokens, else it is ``share`` of all. ``weights`` has
     ``path array<string>, weight``; nodes without one weigh 1, with weight 0 they and all below are left out. ``tokens`` counts the tokens of a
     row (default: words between ASCII white space). Null and empty texts have no tokens and are never taken. Rows of equal keys follow each other
-    in the draw, in the order of their tokens and text. An empty table gives no row. The four new names replace columns of the same names.
+    in the draw, in the order of their tokens and text; rows without a key are drawn by their text. An empty table gives no row. The four new names replace columns of the same names.
     """
     count = word_count(text) if tokens is None else tokens
     depth, names = len(levels), [f"level{i}" for i in range(len(levels))]
-    narrow = written(docs.select(F.col(key).alias("key"), count.alias("tokens"), *levels_of(docs, levels)), "narrow")
+    narrow = written(docs.select(named(key, text).alias("by"), count.alias("tokens"), *levels_of(docs, levels)), "narrow")
     capacity = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")).withColumn("capacity", F.col("tokens") * epochs)
     if budget is None:
         budget = (narrow.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] * share[0]) // share[1]
@@ -95,7 +100,7 @@ def mixed(docs: DataFrame, levels: list[Column], budget: int | None = None, shar
     def sliced(rows: DataFrame, by: Column) -> DataFrame:
         return rows.withColumn("__drawn", drawn(seed, F.col("passes"), by)).withColumn("__slice", F.conv(F.substring("__drawn", 1, 3), 16, 10).cast("int"))
 
-    sums = sliced(narrow.join(leaves, names), F.col("key")).groupBy(*names, "rest", "__slice").agg(F.sum("tokens").alias("sum"))
+    sums = sliced(narrow.join(leaves, names), F.col("by")).groupBy(*names, "rest", "__slice").agg(F.sum("tokens").alias("sum"))
     upto = F.sum("sum").over(Window.partitionBy(*names).orderBy("__slice"))
     # the slice in which the budget of a leaf ends, and the tokens before it; none where nothing is left to take
     ends = sums.withColumn("upto", upto).where("upto > rest").groupBy(*names).agg(
@@ -105,8 +110,8 @@ def mixed(docs: DataFrame, levels: list[Column], budget: int | None = None, shar
 
     added = ("leaf_budget", "n_tokens", "full_epochs", "part_tokens")
     columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), count.alias("__tokens"), *levels_of(docs, levels))
-    placed = sliced(whole.join(leaves, names), F.col(f"row.`{key}`"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), count.alias("__tokens"), named(key, text).alias("__by"), *levels_of(docs, levels))
+    placed = sliced(whole.join(leaves, names), F.col("__by"))
     order = Window.partitionBy(*names).orderBy("__drawn", F.col(f"row.`{key}`"), "__tokens", F.xxhash64(f"row.`{text}`"))
     start = F.col("before") + F.coalesce(F.sum("__tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at_end = placed.where(F.col("__slice") == F.col("last")).withColumn("__start", start).withColumn(

@@ -128,6 +128,33 @@ def test_mix(docs, none, spark):
     assert taken(mixed(docs, levels, share=(1, 1))).columns == docs.columns
 
 
+def test_budgets_are_whole_numbers_at_any_weight(spark):
+    """Weights that sum far above a million: each part is the whole quotient, not one rounded up on its way."""
+    rows = [(i, " ".join(["w"] * 1000), f"l{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    given = {"l0": 7_000_003, "l1": 2_999_999, "l2": 5}
+    got = rows_of(mixed(docs, [F.col("lang")], budget=9_999, weights=spark.createDataFrame([([k], w) for k, w in given.items()], "path array<string>, weight long")))
+    whole, parts = sum(given.values()), {k: w * 9_999 // sum(given.values()) for k, w in given.items()}
+    over = 9_999 - sum(parts.values())
+    want = {k: parts[k] + (i < over) for i, k in enumerate(sorted(given))}
+    assert whole > 10**7 and {r["lang"]: r["leaf_budget"] for r in got} == want
+
+
+def test_rows_without_a_key_have_places_of_their_own(spark):
+    from foliant.llm.mix import drawn, named
+
+    rows = spark.createDataFrame([(None, f"text {i}") for i in range(500)] + [(7, "a"), (7, "b")], "doc_id long, text string")
+    places = [r["p"] for r in rows.select(drawn(1, F.lit(0), named("doc_id", "text")).alias("p")).collect()]
+    assert len(set(places)) == 501 and len({p[:3] for p in places}) > 400
+
+
+def test_quality_is_held_out_without_an_id(spark):
+    from foliant.llm.queries import held_out
+
+    got = spark.createDataFrame([(None,), (1,), (2,)], "k long").select(held_out(F.col("k")).alias("h")).collect()
+    assert [r["h"] for r in got] == [True, *[zlib.crc32(str(k).encode()) % 5 == 0 for k in (1, 2)]]
+
+
 def test_quality_learns_and_scores(docs, none, spark):
     x = RNG.normal(size=(600, 4))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # nothing but a pair tells the labels
@@ -177,6 +204,21 @@ def test_fingerprints(docs, none):
     assert list(digest.unevenness(codes)) == [sum(int(digest.COUNT_LOG[c]) for c in np.bincount(codes[i:i + 32])) for i in range(469)]
 
 
+def test_likeness_does_not_jump_with_size():
+    """A copy with 16 more bytes is as like its original at any size, also where the kinds of features change."""
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz     ")
+    least = 1.0
+    for n in range(60, 700, 5):
+        text = "".join(rng.choice(letters, n + 16).tolist()).encode()
+        a, b = digest.Digest(text[:n]), digest.Digest(text)
+        least = min(least, a.like(b))
+        assert len(set(a.names.tolist())) == len(a.names)
+    assert least > 0.75
+    lines = digest.Digest(b"=================================================\n" * 40)
+    assert len(lines.names) == len(set(lines.names.tolist()))
+
+
 def test_main_text(spark):
     page = ("<body class='has-menu'><div class='menu'><a href=#>x</a><a>y</a></div><div id=content><h1>T &amp; U</h1><p>Long text of the\n\n article goes here and on and on.</p><p>No.<p>"
             "Another long paragraph with <b>eno</b>ugh words to be content, really.</div><div class='comments'><p>I disagree with this article totally and completely</p></div>"
@@ -204,6 +246,18 @@ def test_main_text_stays_in_wrappers_with_names_of_furniture():
     assert main_text(f"<body><div>{text}</div>{remarks}{side}</body>") == want
 
 
+def test_main_text_of_pages_inside_elements_that_are_mostly_furniture():
+    paragraphs = [f"Paragraph {i} of the article has quite a number of words, so that nobody takes it for a menu." for i in range(5)]
+    article, want = "".join(f"<p>{p}</p>" for p in paragraphs), " ".join(paragraphs)
+    for before, after in (("<form><fieldset>", "</fieldset></form>"), ("<label>", "</label>"), ("<div role=dialog>", "</div>"), ("<div role='banner'>", "</div>"), ("<dialog open>", "</dialog>")):
+        assert main_text(f"<html><body>{before}{article}{after}</body></html>") == want, before
+    for before in ("<nav><a href=/>home</a> <a href=/x>news</a>", "<button>", "<aside>"):  # never closed
+        assert main_text(f"<html><body>{before}{article}</body></html>").endswith(want), before
+    closed = "<nav><a href=/>home</a></nav><aside><p>Something else, told at some length in a box beside the page.</p></aside><fieldset><label>Your name</label></fieldset><button>Go</button>"
+    assert main_text(f"<html><body>{closed}<div>{article}</div><footer><p>All rights reserved by the owner of these pages.</p></footer></body></html>") == want
+    assert main_text(f"<body><aside><article><p>A teaser of another story, with some words.</p></article></aside><main>{article}</main></body>") == want
+
+
 def test_main_text_goes_on_after_marks_the_parser_does_not_know():
     for mark in ("<![ CDATA[ x ]]>", "<![endif--]>", "<![foo[ x ]]>", "<![endif]-->", "<![>", "<![if x]>"):
         got = main_text(f"<p>Words before the mark, enough of them.</p>{mark}<p>Words after it, enough of them too.</p><!--[if x]>y<![endif]--><p>And the end.</p>")
