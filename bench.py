@@ -19,6 +19,9 @@ from foliant.session import build_session  # noqa: E402
 HEADLINE = """chunk_passages hash_vectors postings_stats bm25_topk dense_topk hybrid_search passage_search redact_secrets redact_pii
 flag_suspicious screen_input page_intake clean_history latest_by_name library_as_of removed_documents admit_within_quota rate_limit
 rate_limit_stream""".split()
+#: Timed too, but not part of the total, which stays comparable: the stored index (built and searched, and brought up to date), the flow, intake, one hot key,
+#: and as a control a query whose code has not changed since the first measurement.
+MORE = "indexed_search rebuild_stale answer_batch ingest_stream lockout_one_key library_at_question visible_rows".split()
 
 
 def main() -> None:
@@ -29,11 +32,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = all_queries(), {}
     queries["tokenized_documents"](spark, folder).write.format("noop").mode("overwrite").save()  # starts the workers
-    for name in HEADLINE:
+    for name in HEADLINE + MORE:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "total_query_time", "value": round(sum(seconds.values()), 3), "unit": "sec",
+    print(json.dumps({"metric": "total_query_time", "value": round(sum(seconds[n] for n in HEADLINE), 3), "unit": "sec",
                       "queries": seconds, "sf": Path(folder).name.removeprefix("sf")}))
 
 

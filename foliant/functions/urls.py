@@ -86,16 +86,20 @@ def url_parts(url: Column) -> Column:
 
 def url_rejection(url: Column) -> Column:
     """Reason why a URL may not be fetched, or null."""
-    parts = url_parts(F.coalesce(url, F.lit("")))
+    return _let(url_parts(F.coalesce(url, F.lit(""))), _rejection)
+
+
+def _rejection(parts: Column) -> Column:
     host, port = parts["host"], parts["port"]
-    address = F.when(host.rlike(r"^[0-9.]+$|:"), host)
     local = host == "localhost"
     for suffix in fv.LOCAL_SUFFIXES:
         local = local | host.endswith(suffix)
+    # most hosts are names: only what looks like an address is taken apart
+    private = F.when(host.rlike(r"^[0-9.]+$|:"), ~F.coalesce(is_public(host), F.lit(True))).otherwise(F.lit(False))
     return (
         F.when(~parts["scheme"].isin("http", "https"), fv.URL_BAD_SCHEME)
         .when(host == "", fv.URL_NO_HOST)
         .when(parts["user"].rlike("[^:]"), fv.URL_CREDENTIALS)
         .when((port != "") & ~port.rlike("^0*(80|443)$"), fv.URL_BAD_PORT)
-        .when(local | ~F.coalesce(is_public(address), F.lit(True)), fv.URL_NOT_PUBLIC)
+        .when(local | private, fv.URL_NOT_PUBLIC)
     )

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.vectors import Embedder
 from ..operators.chunk import document_rollup, documents_without_text
-from ..operators.folds import SECOND, Lockout, Machine, SlidingLog, TokenFamily, pack_state, unpack_state
+from ..operators.folds import SECOND, Lockout, Machine, SlidingLog, TokenFamily
 from ..plans.ingest import passages
 from ..sources.library_sink import append_audit, replace_documents
 
@@ -20,28 +20,40 @@ LATENESS = "1 hour"
 
 
 class _Fold(StatefulProcessor):
-    """Runs a state machine per key and, where the state has a life time, forgets it when the watermark is past it.
+    """Runs a state machine per key. What is remembered of a key lies in typed states, of which a trigger reads and writes what it needs.
 
-    What a key gets in one trigger is sorted in memory: bound the trigger at the source (``maxFilesPerTrigger`` and the like).
+    With a ``life``, a key is forgotten when the watermark is so far past its last row. What a key gets in one trigger is sorted in memory: bound the trigger at
+    the source (``maxFilesPerTrigger`` and the like).
     """
 
-    def __init__(self, machine: Machine, names: list[str], key: str, life: int | None):
-        self.machine, self.names, self.key, self.life = machine, names, key, life
+    def __init__(self, machine: Machine, key: str, life: int | None = None):
+        self.machine, self.key, self.life = machine, key, life
+        self.names = [part.split()[0] for part in machine.outputs.split(",")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "value string, until bigint")
+        self.until = handle.getValueState("until", "until bigint") if self.life else None
+        self.states = self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> list:
+        raise NotImplementedError
+
+    def load(self) -> Any:
+        raise NotImplementedError
+
+    def save(self, state: Any) -> None:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "id"])  # one key's part of one trigger
-        state = unpack_state(self.state.get()[0]) if self.state.exists() else self.machine.start()
-        out = []
+        state, out = self.load(), []
         for row in zip(*[batch[c].tolist() for c in self.machine.inputs]):
             state, result = self.machine.step(state, row)
             out.append(result)
-        until = int(batch["at"].iloc[-1] + (self.life or 0)) // 1000 + 1
-        self.state.update((pack_state(state), until))
+        self.save(state)
         if self.life:
+            until = int(batch["at"].iloc[-1] + self.life) // 1000 + 1
+            self.until.update((until,))
             self.handle.registerTimer(until)
         results = pd.DataFrame(out, columns=self.names)
         results.insert(0, "id", batch["id"].to_numpy())
@@ -49,36 +61,96 @@ class _Fold(StatefulProcessor):
         yield results
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.state.get()[1]:
-            self.state.clear()
+        if self.until.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.until.get()[0]:
+            for state in [*self.states, self.until]:
+                state.clear()
         yield pd.DataFrame(columns=[self.key, "id", *self.names])
 
     def close(self) -> None:
         pass
 
 
-def stream_fold(rows: DataFrame, key: str, machine: Machine, *, life: int | None = None) -> DataFrame:
+class _Limit(_Fold):
+    """The accepted hits of the window as a list, never more than the limit allows."""
+
+    def open(self, handle):
+        self.times = handle.getListState("times", "at bigint")
+        return [self.times]
+
+    def load(self):
+        return [t for t, in self.times.get()] if self.times.exists() else self.machine.start()
+
+    def save(self, state):
+        self.times.put([(t,) for t in state])
+
+
+class _Locks(_Fold):
+    """Failures and the end of the lock as one value."""
+
+    def open(self, handle):
+        self.value = handle.getValueState("state", "failures int, until bigint")
+        return [self.value]
+
+    def load(self):
+        return list(self.value.get()) if self.value.exists() else self.machine.start()
+
+    def save(self, state):
+        self.value.update(tuple(state))
+
+
+class _Rotated(dict):
+    """Tokens of a family and when they were rotated: an entry is read when a use asks for it, and written when it changes; the others stay where they are."""
+
+    def __init__(self, stored):
+        super().__init__()
+        self.stored = stored
+
+    def get(self, token, default=None):
+        if token not in self:
+            super().__setitem__(token, self.stored.getValue((token,))[0] if self.stored.containsKey((token,)) else None)
+        return super().get(token, default)
+
+    def __setitem__(self, token, at):
+        super().__setitem__(token, at)
+        self.stored.updateValue((token,), (at,))
+
+
+class _Family(_Fold):
+    """A map of tokens, and whether the family is revoked."""
+
+    def open(self, handle):
+        self.rotated = handle.getMapState("rotated", "token string", "at bigint")
+        self.revoked = handle.getValueState("revoked", "revoked boolean")
+        return [self.rotated, self.revoked]
+
+    def load(self):
+        return [_Rotated(self.rotated), self.revoked.exists()]
+
+    def save(self, state):
+        if state[1]:
+            self.revoked.update((True,))
+
+
+def _run(rows: DataFrame, processor: _Fold) -> DataFrame:
     """``key, id`` and the machine's outputs of a stream with key, ``ts``, ``at`` (microseconds) and ``id``."""
-    names = [part.split()[0] for part in machine.outputs.split(",")]
-    kind = rows.schema[key].dataType.simpleString()
-    watched = rows.withWatermark("ts", LATENESS)
-    return watched.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Fold(machine, names, key, life), outputStructType=f"{key} {kind}, id bigint, {machine.outputs}",
-        outputMode="Append", timeMode="EventTime" if life else "None")
+    key = processor.key
+    return rows.withWatermark("ts", LATENESS).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"`{key}` {rows.schema[key].dataType.simpleString()}, id bigint, {processor.machine.outputs}",
+        outputMode="Append", timeMode="EventTime" if processor.life else "None")
 
 
 def rate_limit_stream(hits: DataFrame, limit: int, window: int) -> DataFrame:
-    return stream_fold(hits, "key", SlidingLog(limit, window), life=window * SECOND)
+    return _run(hits, _Limit(SlidingLog(limit, window), "key", window * SECOND))
 
 
 def lockout_stream(attempts: DataFrame, *, life: int | None = None) -> DataFrame:
     """Without a ``life`` (seconds) failures are never forgotten, as in the batch form; with it, those of an account without attempts for so long are."""
-    return stream_fold(attempts, "user_id", Lockout(), life=life and life * SECOND)
+    return _run(attempts, _Locks(Lockout(), "user_id", life and life * SECOND))
 
 
 def token_stream(uses: DataFrame, *, life: int | None = None) -> DataFrame:
     """``life`` (seconds): how long after its last use a family is remembered, at least as long as a token is valid; without it for ever."""
-    return stream_fold(uses, "family", TokenFamily(), life=life and life * SECOND)
+    return _run(uses, _Family(TokenFamily(), "family", life and life * SECOND))
 
 
 def usage_stream(questions: DataFrame) -> DataFrame:
