@@ -1,7 +1,7 @@
 """From documents to token files, in stages that each write their result and hand it to the next.
 
 Quality first, since what goes early costs nothing later; then one document of each group of near duplicates, removal of benchmark passages, the mixture, and
-the files of token ids.
+the files of token ids. All stages but the last return the columns of ``documents``; columns beyond these are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model does not reject. It learns from the labels of the documents at hand."""
+    """Documents that the quality model does not reject. It learns from the labels of the documents at hand.
+
+    A null or empty text is scored as an empty one. Rows without an id are scored like any other but never learned from; repeated rows stay or go together. Nulls in
+    other columns are kept. An empty table gives an empty one.
+    """
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=held_out)
     return scored(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -55,13 +59,20 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture takes, of nine tenths of all tokens, by weights of domain, language and source."""
+    """Documents that the mixture takes, of nine tenths of all tokens, by weights of domain, language and source.
+
+    A null language or source is a branch of its own. Null, blank and empty texts have no tokens and are never taken. Rows without an id are drawn by their text; repeated rows follow each
+    other in the draw. An empty table gives an empty one.
+    """
     placed = docs.select(*COLUMNS).withColumn("domain", domain())
     return taken(mixed(placed, [F.col("domain"), F.col("lang"), F.col("source")], share=(9, 10), weights=target_weights(spark), seed=7)).select(*COLUMNS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as files of token ids, and what these files hold."""
+    """The documents as files of token ids, and what these files hold.
+
+    A null text is an empty one: its end token alone. Rows without an id come first, rows with the same id side by side, each with its own stretch of ids. An empty table gives no row.
+    """
     return read_tokens(write_tokens(docs, tokenizer_path("word_bpe_49k.json"), keep_words=False))
 
 

@@ -283,14 +283,16 @@ def overview(t: Tables):
 OWN_IDS = "SELECT source AS org, CAST(floor(doc_id / 20) AS BIGINT) AS document_id, 'doc-' || CAST(doc_id AS STRING) || '.txt' AS document, text FROM documents"
 
 
-@query("org_isolation", f"WITH questions AS ({inputs.QUESTIONS}) SELECT org, 0::BIGINT AS foreign_hits, true AS found FROM questions GROUP BY org")
+@query("org_isolation", PASSAGES + VECTORS + b.hybrid(MODEL.name, K) + f""",
+firsts AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS turn, min(chunk_id) OVER (PARTITION BY document_id) AS f FROM chunks),
+shown AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY turn, f) AS place FROM firsts QUALIFY place <= {K})
+SELECT p.qid, 'search' AS kind, p.pos, p.document_id // 20 AS document_id, c.document, c.content FROM picked p JOIN chunks c ON c.chunk_id = p.chunk_id
+UNION ALL SELECT qid, 'overview', place, document_id // 20, document, content FROM shown JOIN questions USING (org)""")
 def org_isolation(t: Tables):
-    """Hits and opening passages that do not belong to the organisation of their question, where all organisations use the same document ids: there are none."""
+    """Hits and opening passages where all organisations use the same document ids: those that each has when all ids differ."""
     chunks, questions = staged(passages(t.spread(OWN_IDS), MODEL), "chunks"), asked(t)
-    shown = retrieve.hybrid_search(chunks, questions, MODEL.name, k=K).unionByName(retrieve.overview(chunks, questions, k=K)).select("qid", "document_id", "document", "content")
-    held = chunks.select("org", "document_id", "document", "content").distinct().withColumn("own", F.lit(1))
-    seen = questions.select("qid", "org").join(shown, "qid", "left").join(held, ["org", "document_id", "document", "content"], "left")
-    return seen.groupBy("org").agg(F.count(F.when(F.col("content").isNotNull() & F.col("own").isNull(), 1)).alias("foreign_hits"), (F.count("content") > 0).alias("found"))
+    rows = lambda found, kind: found.select("qid", F.lit(kind).alias("kind"), F.col("pos").cast("bigint").alias("pos"), "document_id", "document", "content")
+    return rows(retrieve.hybrid_search(chunks, questions, MODEL.name, k=K), "search").unionByName(rows(retrieve.overview(chunks, questions, k=K), "overview"))
 
 
 @query("mixed_dim_search", EXTERNAL_SQL.replace(f"FROM ({inputs.LIBRARY}))", f"FROM ({inputs.LIBRARY}) WHERE document_id % 9 <> 4)", 1) + b.hybrid(EXTERNAL, K) + "\n" + _HIT)
