@@ -157,8 +157,10 @@ class Digest:
         return likeness((self.names, self.chain), (other.names, other.chain))
 
 
-FIELDS = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
-SHOWN = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+#: The first filters of an edited text are those of the text: only their number is kept, and the others.
+FIELDS = "n_chars long, edited_sha256 string, fingerprint binary, shared int, edited_fingerprint binary, near_edited double, near_next double"
+SHOWN = ["n_chars", "edited_sha256", "fingerprint", "shared", "edited_fingerprint", "near_edited", "near_next"]
+KINDS = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def compared(raw: bytes, own: Digest, following: bytes, after: Digest) -> tuple:
@@ -167,13 +169,16 @@ def compared(raw: bytes, own: Digest, following: bytes, after: Digest) -> tuple:
     changed, kept = edited(text, following[:4 * len(text) + 8].decode("utf-8", "ignore"))
     changed_raw = changed.encode()
     other = Digest(changed_raw, own, len(text[:kept].encode()))
-    return len(text), sha256(changed_raw).hexdigest(), own.packed, other.packed, own.like(other), own.like(after)
+    many = min(len(own.chain), len(other.chain))
+    differing = np.flatnonzero((own.chain[:many] != other.chain[:many]).any(1))
+    shared = int(differing[0]) if len(differing) else many
+    return len(text), sha256(changed_raw).hexdigest(), own.packed, shared, other.packed[:4] + other.chain[shared:].tobytes(), own.like(other), own.like(after)
 
 
 def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range, in order: each is compared with the next one. The first and the last go on with their bytes, for the ranges beside."""
     part, last, first = TaskContext.get().partitionId(), None, True
-    for batch, texts in pieces(batches, "content"):
+    for batch, texts in pieces(batches, "content", 1_000_000):
         keys = batch.column("key")
         shown, who = [], []
         if last is not None:
@@ -194,15 +199,13 @@ def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rows(part: int, keys: pa.Array, shown: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*shown)) if shown else [()] * len(SHOWN)
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     return pa.RecordBatch.from_arrays(
         [keys, pa.array([part] * len(keys), pa.int64()), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.binary()),
-         *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["key", "part", "edge", "raw", *SHOWN])
+         *[pa.array(c, k) for c, k in zip(columns, KINDS)]], names=["key", "part", "edge", "raw", *SHOWN])
 
 
 def edge(part: int, side: str, key: pa.Array, raw: bytes) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([key, pa.array([part], pa.int64()), pa.array([side]), pa.array([raw], pa.binary()), *[pa.nulls(1, k) for k in kinds]],
+    return pa.RecordBatch.from_arrays([key, pa.array([part], pa.int64()), pa.array([side]), pa.array([raw], pa.binary()), *[pa.nulls(1, k) for k in KINDS]],
                                       names=["key", "part", "edge", "raw", *SHOWN])
 
 
@@ -233,4 +236,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_
         F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("next"))
     pairs = lasts.join(neighbours, "part").join(firsts.select(F.col("part").alias("next"), F.col("raw").alias("following")), "next").select("key", "raw", "following")
     shown = walked.where("edge IS NULL").select("key", *SHOWN).union(pairs.mapInArrow(across, f"key {kind}, {FIELDS}"))
-    return shown.select(F.col("key").alias(key), *[F.base64(c).alias(c) if c.endswith("fingerprint") else F.col(c) for c in SHOWN])
+    begun = F.substring("fingerprint", 5, F.col("shared") * F.lit(BITS // 8))
+    whole = F.concat(F.substring("edited_fingerprint", 1, 4), begun, F.substring("edited_fingerprint", 5, F.octet_length("edited_fingerprint")))
+    return shown.select(F.col("key").alias(key), "n_chars", "edited_sha256", F.base64("fingerprint").alias("fingerprint"), F.base64(whole).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -116,3 +116,23 @@ def test_benchmark_passages_without_an_id_or_with_the_same_id_go(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], AWKWARD).repartition(3)
     got = sorted_rows(corpus_pipeline.without_benchmark(spark, docs, FOLDER))
     assert got == sorted([(None, "clean text"), (None, None), (5, "a clean namesake"), (6, "clean"), (6, "clean")], key=str)
+
+
+def test_quality_mixture_and_token_files_of_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty, blank and very long texts, repeated rows and extra columns: each stage gives what its docstring says."""
+    rng = np.random.default_rng(6)
+    good = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(6).collect()]
+    long = " ".join(rng.choice(["some", "words", "again", "and", "more."], 40_000).tolist())
+    rows = [(1, good[0], "en", "s"), (1, good[0], "en", "s"), (None, good[1], None, None), (None, good[1], None, None), (None, good[2], "en", None), (2, None, None, "s"), (3, "", "de", "s"), (4, " \n ", "de", "s"),
+            (5, long, "en", "s"), (5, good[3], "fr", "s"), (6, good[4], "", "")]
+    docs = spark.createDataFrame([(k, t, lang, source, None, "x", 1) for k, t, lang, source in rows], AWKWARD + ", score string, part long").repartition(3)
+    plain = sorted_rows(docs)
+    kept = corpus_pipeline.good(spark, docs, FOLDER)
+    got = sorted_rows(kept)
+    assert kept.columns == corpus_pipeline.COLUMNS and all(got.count(x) == plain.count(x) for x in got) and {(1, good[0]), (None, good[1]), (None, good[2]), (5, good[3])} <= set(got)
+    mixed = corpus_pipeline.mixture(spark, docs, FOLDER)
+    got = sorted_rows(mixed)
+    assert mixed.columns == corpus_pipeline.COLUMNS and all(t and t.strip() for _, t in got) and all(got.count(x) <= plain.count(x) for x in got) and got
+    files = corpus_pipeline.token_files(spark, docs, FOLDER).orderBy("start").collect()
+    assert [r["doc_id"] for r in files] == sorted((k for k, *_ in rows), key=lambda k: (k is not None, k or 0)) and files[0]["start"] == 0
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(files, files[1:])) and [r["n_tokens"] for r in files if r["doc_id"] in (2, 3)] == [1, 1]
