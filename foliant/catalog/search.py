@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import query_terms, tokenize
+from ..functions.text import content_words, query_terms, tokenize
 from ..functions.vectors import Embedder, hash_embedder
 from ..operators import chunk, embed, index, retrieve
 from ..operators.dense import dense_topk as search_vectors
@@ -236,9 +236,10 @@ qvec AS (SELECT vec_id AS qid, unnest(embedding) AS v, generate_subscripts(embed
 def _external(t: Tables):
     given = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
     documents = whole_documents(t)
-    chunks = staged(documents.join(given, "chunk_id").unionByName(embed.embed(documents.join(given, "chunk_id", "left_anti"), hash_embedder(64))), "chunks")
+    chunks = documents.join(given, "chunk_id").unionByName(embed.embed(documents.join(given, "chunk_id", "left_anti"), hash_embedder(64)))
+    chunks = staged(chunks.withColumn("doc_len", F.size(content_words(F.col("content")))), "chunks")
     questions = t.sql(inputs.QUESTIONS).join(t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
-    return chunks, questions
+    return chunks, staged(questions, "questions")
 
 
 @query("hybrid_search", EXTERNAL_SQL + b.hybrid(EXTERNAL, K) + "\n" + _HIT)

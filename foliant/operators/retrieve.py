@@ -120,7 +120,8 @@ def candidates(chunks: DataFrame, questions: DataFrame, pool: int, **index: Data
     The dense leg scores what the keyword leg found while it meets all vectors anyway, and word coverage of what it finds itself is known from the postings: so
     neither a text nor a vector is looked up. A passage whose vector cannot be compared with a question's takes no part in it.
     """
-    scores = bm25_scores(chunks, questions, **index)
+    # read three times: for ranks, for what the dense leg is to score, and for coverage
+    scores = staged(bm25_scores(chunks, questions, **index), "scores")
     keyword = rank_keyword(scores, pool)
     named = keyword.groupBy("qid").agg(F.collect_list("chunk_id").alias("wanted"))  # at most ``pool`` for a question
     nearest = dense_leg(chunks, questions.join(named, "qid", "left"), pool)
@@ -186,7 +187,8 @@ def hits(picked: DataFrame, texts: DataFrame) -> DataFrame:
 
 def comparable(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Passages whose vectors have the dimension of the questions' vectors; others are in neither leg nor in the statistics of words."""
-    dims = questions.select(F.size("qvec").alias("__dim")).distinct()  # a row for each model in use
+    # a row for each model in use, written so that Spark knows it is small: nearly all passages have one dimension, which must not become a shuffle's key
+    dims = staged(questions.select(F.size("qvec").alias("__dim")).distinct(), "dims")
     return chunks.withColumn("__dim", F.size("embedding")).join(dims, "__dim", "left_semi").drop("__dim")
 
 
