@@ -162,8 +162,9 @@ def ingest_stream(t: Tables):
     """Documents taken in as a stream of two batches, in which names come again and some texts are blank: passages, and the number of them that the documents table knows."""
     path = f"{shared_folder(t.spark)}/foliant/{uuid4().hex}"
     arriving, half = t.sql(ARRIVING), t.sql(f"SELECT {HALF.strip('()').replace('SELECT ', '')}").first()[0]
-    arriving.where(F.col("seq") <= half).coalesce(1).write.parquet(f"{path}/in/1")
-    arriving.where(F.col("seq") > half).coalesce(1).write.parquet(f"{path}/in/2")
+    # the files of a folder, however many, are one batch of the stream
+    arriving.where(F.col("seq") <= half).write.parquet(f"{path}/in/1")
+    arriving.where(F.col("seq") > half).write.parquet(f"{path}/in/2")
     stream = lambda part: t.spark.readStream.schema(arriving.schema).parquet(f"{path}/in/{{{part}}}")
     for seen in ("1", "1,2"):
         start_intake(stream(seen), f"{path}/library", hash_embedder(), f"{path}/checkpoint").awaitTermination()
