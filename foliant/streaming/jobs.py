@@ -45,7 +45,8 @@ class _Fold(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "id"])  # one key's part of one trigger
+        frames = list(rows)
+        batch = (pd.concat(frames) if len(frames) > 1 else frames[0]).sort_values(["at", "id"])  # one key's part of one trigger
         state, out = self.load(), []
         for row in zip(*[batch[c].tolist() for c in self.machine.inputs]):
             state, result = self.machine.step(state, row)
@@ -55,10 +56,8 @@ class _Fold(StatefulProcessor):
             until = int(batch["at"].iloc[-1] + self.life) // 1000 + 1
             self.until.update((until,))
             self.handle.registerTimer(until)
-        results = pd.DataFrame(out, columns=self.names)
-        results.insert(0, "id", batch["id"].to_numpy())
-        results.insert(0, self.key, batch[self.key].to_numpy())
-        yield results
+        columns = zip(*out)
+        yield pd.DataFrame({self.key: batch[self.key].to_numpy(), "id": batch["id"].to_numpy(), **dict(zip(self.names, columns))})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.until.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.until.get()[0]:
@@ -103,11 +102,11 @@ class _Rotated(dict):
 
     def __init__(self, stored):
         super().__init__()
-        self.stored = stored
+        self.stored, self.begun = stored, stored.exists()  # a new family has no entry to ask for
 
     def get(self, token, default=None):
         if token not in self:
-            super().__setitem__(token, self.stored.getValue((token,))[0] if self.stored.containsKey((token,)) else None)
+            super().__setitem__(token, self.stored.getValue((token,))[0] if self.begun and self.stored.containsKey((token,)) else None)
         return super().get(token, default)
 
     def __setitem__(self, token, at):
