@@ -100,9 +100,9 @@ class _Locks(_Fold):
 class _Rotated(dict):
     """Tokens of a family and when they were rotated: an entry is read when a use asks for it, and written when it changes; the others stay where they are."""
 
-    def __init__(self, stored):
+    def __init__(self, stored, begun: bool = True):
         super().__init__()
-        self.stored, self.begun = stored, stored.exists()  # a new family has no entry to ask for
+        self.stored, self.begun = stored, begun  # a new family has no entry to ask for
 
     def get(self, token, default=None):
         if token not in self:
@@ -123,7 +123,7 @@ class _Family(_Fold):
         return [self.rotated, self.revoked]
 
     def load(self):
-        return [_Rotated(self.rotated), self.revoked.exists()]
+        return [_Rotated(self.rotated, self.rotated.exists()), self.revoked.exists()]
 
     def save(self, state):
         if state[1]:

@@ -122,6 +122,6 @@ def test_blocks_are_taken_apart_a_few_at_a_time(monkeypatch):
 
 def test_a_new_family_asks_for_no_token():
     written = {}
-    stored = SimpleNamespace(exists=lambda: False, updateValue=lambda k, v: written.update({k: v}))
-    state, out = folds.TokenFamily().step([jobs._Rotated(stored), False], (5, "x", 9))
+    stored = SimpleNamespace(updateValue=lambda k, v: written.update({k: v}))
+    state, out = folds.TokenFamily().step([jobs._Rotated(stored, False), False], (5, "x", 9))
     assert out == ("rotated",) and written == {("x",): (5,)} and state[0].get("x") == 5
