@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import hash_embedder
+from foliant.operators import dense
+from foliant.operators import index as tables
 from foliant.operators.dense import dense_topk, pruning_report
 from foliant.operators.embed import embed
 from foliant.operators.retrieve import hybrid_search
@@ -122,3 +124,44 @@ def test_texts_and_vectors_stay_where_they_are(spark, tmp_path):
     texts = next(line for line in physical.splitlines() if "FileScan" in line and "content" in line)
     above = physical.splitlines()[:physical.splitlines().index(texts)]
     assert any("BroadcastHashJoin" in line for line in above) and not any(" Exchange hash" in line for line in above)
+
+
+def test_a_refresh_keeps_no_second_copy_of_passages(spark, tmp_path, monkeypatch):
+    kept, write = {}, index.staged
+    monkeypatch.setattr(index, "staged", lambda df, name: (kept.update({name: set(df.columns)}), write(df, name))[1])
+    path, texts = str(tmp_path / "index"), {("a", d): TEXT.format(d, "two") for d in range(3)}
+    for version in (1, 2):
+        index.refresh(path, library(spark, texts), MODEL, version)
+        texts["a", 1], texts["b", 1] = TEXT.format(1, "nine"), TEXT.format(1, "one")
+    assert kept and not any(columns & {"content", "embedding"} for columns in kept.values())
+
+
+def test_postings_are_the_same_by_slices(spark, tmp_path, monkeypatch):
+    rows = [("a" if i % 3 else "b", i, i // 2, f"red pump {i % 4} " * (i % 3)) for i in range(40)] + [("a", 7, 3, "red valve"), ("a", 7, 3, "red valve"), ("b", 9, 5, "blue"), ("a", None, 4, "green")]
+    columns, folder = "org string, chunk_id long, document_id long, content string", str(tmp_path / "texts")
+    spark.createDataFrame(rows, columns).repartition(5).write.parquet(folder)
+    texts = spark.read.schema(columns).parquet(folder)
+    want = tables.postings(texts).join(texts.select("org", "chunk_id", "document_id"), ["org", "chunk_id"]).withColumn("bucket", index.bucket_of(F.col("org"), F.col("term"), 4))
+    shape = lambda parts: sorted(map(tuple, (r for p in parts for r in p.select(*index.POSTING).collect())))
+    whole = list(index._posted(texts, spark, folder, 4))
+    monkeypatch.setattr(index, "SLICE_BYTES", 1)
+    slices = list(index._posted(texts, spark, folder, 4))
+    assert len(whole) == 2 and len(slices) == 6 and shape(whole) == shape(slices) == shape([want])
+
+
+def test_questions_go_to_the_blocks(spark, monkeypatch):
+    """No block of passages goes through a shuffle while the questions are few; beyond that the results are the same."""
+    rng = np.random.default_rng(4)
+    x, q = clustered(rng, 600, 8, 0.3), clustered(rng, 5, 8, 0.3)
+    vectors = spark.createDataFrame([("ab"[i % 2], i, i // 4, [float(v) for v in r]) for i, r in enumerate(x)], "org string, chunk_id long, document_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, "ab"[i % 2], [float(v) for v in r], [3, 4]) for i, r in enumerate(q)], "qid long, org string, qvec array<float>, wanted array<long>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dense.scored_blocks(vectors, asked, 5, block=32)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+        sent = sorted(dense_topk(vectors, asked, 5, block=32).collect())
+        monkeypatch.setattr(dense, "SENT", 0)
+        assert "Exchange hashpartitioning" in dense.scored_blocks(vectors, asked, 5, block=32)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(dense_topk(vectors, asked, 5, block=32).collect()) == sent and len(sent) >= 25
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

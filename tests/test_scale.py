@@ -16,6 +16,7 @@ from foliant.catalog import limits, search
 from foliant.catalog.registry import Tables
 from foliant.functions.vectors import PIECE_ROWS, hash_embedder, hash_features, text_pieces, unit_rows
 from foliant.operators import chunk, dense, embed, folds, index
+from foliant import session
 from foliant.session import shared_folder, spread
 from foliant.streaming import jobs
 
@@ -125,3 +126,14 @@ def test_a_new_family_asks_for_no_token():
     stored = SimpleNamespace(updateValue=lambda k, v: written.update({k: v}))
     state, out = folds.TokenFamily().step([jobs._Rotated(stored, False), False], (5, "x", 9))
     assert out == ("rotated",) and written == {("x",): (5,)} and state[0].get("x") == 5
+
+
+def test_staged_tables_leave_no_shuffle_files_and_can_go(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, key, value, put=type(spark.conf).set: (seen.append((key, value)), put(self, key, value))[1])
+    table = session.staged(spark.range(100).groupBy((F.col("id") % 3).alias("k")).count(), "counted", compression="zstd")
+    assert (session.CLEANUP, "true") in seen and spark.conf.get(session.CLEANUP) == "false" and table.count() == 3
+    files = session.data_files(spark, table.staged_at)
+    assert files and all(f.endswith(".zstd.parquet") and size for f, size in files)
+    session.discard(table)
+    assert not glob.glob(f"{table.staged_at}*")
