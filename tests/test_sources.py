@@ -41,6 +41,9 @@ def test_replacing_documents(spark, tmp_path):
     assert library(spark, path).versions() == [5]
     replace_documents(path, rows(("b", "x", "4")))
     assert held() == {("a", "y"): "1", ("b", "x"): "4", ("c", "z"): "3"}
+    assert library(spark, path).expire() == [1, 2, 3, 4] and library(spark, path).expire() == []  # what the compaction wrote once more
+    assert sorted(p.name for p in (tmp_path / "library" / "documents").iterdir()) == ["version=5", "version=6"]
+    assert held() == {("a", "y"): "1", ("b", "x"): "4", ("c", "z"): "3"}
     assert not replace_documents(path, rows(("b", "x", "9")), 6) and held()["b", "x"] == "4"  # a committed version stays
 
 
@@ -88,3 +91,17 @@ def test_audit_stream(spark, tmp_path):
     stream = spark.readStream.schema("org string, action string, target string").parquet(str(tmp_path / "in"))
     jobs.audit_stream(stream, str(tmp_path / "audit"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 3
+
+
+def test_rows_stay_where_they_are_when_tombstones_are_met(spark, tmp_path):
+    path = str(tmp_path / "library")
+    rows = lambda *r: spark.createDataFrame(list(r), "org string, name string, text string")
+    replace_documents(path, rows(("a", "x", "1"), ("a", "y", "1")))
+    replace_documents(path, rows(("a", "x", "2")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = documents(spark, path)
+        assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, read.select("name", "text").collect())) == [("x", "2"), ("y", "1")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
