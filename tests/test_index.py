@@ -1,5 +1,7 @@
 """The stored index: replaced texts, small segments, interrupted and repeated refreshes, compaction; and dense search by bounds."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from foliant.operators.embed import embed
 from foliant.operators.retrieve import hybrid_search
 from foliant.plans import search_index as index
 from foliant.plans.ingest import passages
+from foliant.session import staged
 
 MODEL = hash_embedder()
 TEXT = "The {} pump has a warranty of {} years, and spare parts are kept for as long."
@@ -165,3 +168,11 @@ def test_questions_go_to_the_blocks(spark, monkeypatch):
         assert sorted(dense_topk(vectors, asked, 5, block=32).collect()) == sent and len(sent) >= 25
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_consumed_table_goes_before_words_are_counted(spark, tmp_path, monkeypatch):
+    path, there = str(tmp_path / "index"), []
+    chunks = staged(library(spark, {("a", d): TEXT.format(d, "two") for d in range(3)}), "chunks")
+    monkeypatch.setattr(index, "postings", lambda *a, **b: (there.append(os.path.exists(chunks.staged_at)), tables.postings(*a, **b))[1])
+    assert [r.action for r in index.refresh(path, chunks, MODEL, 1, consumed=True).collect()] == ["build"] and there == [False]
+    assert "two" in found(index.indexed_search(spark, path, ask(spark, ("a", "warranty of the pump")), MODEL))[0][4]
